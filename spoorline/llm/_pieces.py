@@ -46,7 +46,7 @@ class Splitter:
         return out
 
     def encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
