@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._sample import sampled
 from .quality import held_out
 
 #: Hashed n-gram and affix features; lexicon words a language; training documents a language, and words of them.
@@ -139,14 +140,14 @@ def fit(docs: DataFrame, folds: int = 5, fold: int = 0) -> Model:
     moves, by AdaGrad.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     size = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(size)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.empty(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(min(1.0, DOCS_PER_LANG / size[lang]) * (1 << 20)))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")]).collect()
-    sample.sort(key=lambda r: (r.doc_id is None, r.doc_id, r.lang, r.text))
+    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, DOCS_PER_LANG / size[lang]))])
+    sample = known.where(sampled("doc_id", share[F.col("lang")])).distinct().collect()
+    sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     data, offsets = np.frombuffer(b"".join(r.text.encode() for r in sample), np.uint8), np.cumsum([0] + [len(r.text.encode()) for r in sample])
     w = read_words(data, offsets)
     label = np.array([langs.index(r.lang) for r in sample])[w.row]

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._sample import sampled
+
 KINDS = ("email", "ip", "card", "phone")
 #: Documents with digits or @ that train the field; hashed observation features; marginal that makes a span.
 SAMPLE, FEATURES, SURE = 2_000, 1 << 12, 0.9
@@ -223,7 +225,7 @@ def fit(docs: DataFrame) -> Model:
     """Trains on a hashed sample of about 2,000 texts that hold a digit or @; none gives a model that adds nothing."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     share = min(1.0, SAMPLE / max(1, texts.count()))
-    rows = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))).distinct().collect()
+    rows = texts.where(sampled("text", share)).distinct().collect()
     return train(sorted(r.text for r in rows))
 
 

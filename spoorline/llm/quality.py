@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._sample import sampled
 
 #: Hashed features; labelled rows of each class in the linear model's sample; label rows up to which they are broadcast.
 BITS, PER_CLASS, BROADCAST_ROWS = 18, 3_000, 2_000_000
@@ -133,9 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Mo
     n = np.ones((2, 1 << BITS))
     n[:, counts[:, 0]] += counts[:, 1:].T
     ratios = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    part = {k: int(min(1.0, PER_CLASS / v) * (1 << 20)) for k, v in size.items()}
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    picked = known.where(((F.col("y") == 1) & (place < part[1])) | ((F.col("y") == 0) & (place < part[0])))
+    part = F.when(F.col("y") == 1, min(1.0, PER_CLASS / size[1])).otherwise(min(1.0, PER_CLASS / size[0]))
+    picked = known.where(sampled("doc_id", part)).distinct()
     sample = docs.join(F.broadcast(picked), "doc_id").mapInArrow(_rows, "doc_id long, y int, f binary").collect()
     sample.sort(key=lambda r: (r.doc_id, r.y))
     rows = [np.frombuffer(bytes(r.f), np.int32) for r in sample]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import splitter
+from ._sample import sampled
 
 #: Entries and longest entry of the broadcast table, about 8 MB in a worker; and documents it is drawn from.
 TABLE, LONGEST, SAMPLE = 65_536, 32, 4_000
@@ -66,7 +67,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     spec = spark.sparkContext.broadcast(text)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))).select("text")
+    sample = docs.where(F.col("text").isNotNull() & sampled("doc_id", share)).select("text")
     top = sample.mapInArrow(lambda it: _frequent(it, spec), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(TABLE)
     words = [r.w for r in top.select("w").collect()]
     table = spark.sparkContext.broadcast(dict(zip(words, map(len, splitter(text).encode(words)), strict=True)))
