@@ -32,6 +32,12 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+        """As ``write``, in buckets by ``key``: what is grouped by it later is not shuffled again."""
+        name = f"spoorline_{uuid.uuid4().hex}"
+        df.write.bucketBy(buckets, key).option("path", f"{self.root}/{name}").saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)

@@ -89,7 +89,7 @@ def _split(batches: Iterator[pa.RecordBatch], spec, parts: int) -> Iterator[pa.R
         rows: list[tuple] = []
         for doc_id, text in zip(ids, texts, strict=True):
             t = text.as_py() or ""
-            rows.append((bundle, doc_id, pack(np.fromiter(map(codes.__getitem__, split(t)), np.int64))))
+            rows.append((bundle, doc_id, squeeze(pack(np.fromiter(map(codes.__getitem__, split(t)), np.int64)))))
             chars += len(t)
             if len(codes) >= BUNDLE_WORDS or chars >= BUNDLE_CHARS:
                 yield _listed(bundle, codes, parts)
@@ -132,7 +132,7 @@ def _joined(docs: pd.DataFrame, table: pd.DataFrame, pieces, digest: bool) -> pd
     spelled = [b"".join(map(piece.__getitem__, flat[a : a + n].tolist())) for a, n in zip(at.tolist(), size.tolist(), strict=True)]
     out = []
     for doc_id, packed in zip(docs["doc_id"], docs["codes"], strict=True):
-        codes = unpack(packed)
+        codes = unpack(loosen(packed))
         n = size[codes]
         own = flat[np.repeat(at[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())].astype("<u4")
         text = b"".join(map(spelled.__getitem__, codes.tolist())).decode("utf-8", "replace")
@@ -151,6 +151,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False
     the list of distinct words, dealt by hash into parts, and each document as positions in the list. A part
     brings together its words of all bundles (about 16,000,000 characters of text stand behind one), encodes each
     distinct word once and sends the ids back to the lists; each bundle's ids then meet its documents by position.
+    Documents are written in buckets by bundle, so their positions are not shuffled.
     Pieces come through a broadcast table of the vocabulary (50,257 entries). Shuffles carry packed words, ids and
     positions, not texts, and no group grows with the input.
 
@@ -164,7 +165,8 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(64, -(-total // PART_CHARS))
-    staged = scratch.write(docs.mapInArrow(lambda it: _split(it, spec, parts), "bundle long, part int, size binary, body binary, doc_id long, codes binary"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUNDLE_CHARS))
+    staged = scratch.write_bucketed(docs.mapInArrow(lambda it: _split(it, spec, parts), "bundle long, part int, size binary, body binary, doc_id long, codes binary"), "bundle", buckets)
     lists = staged.where("part is not null").select("bundle", "part", "size", "body", "codes")
     table = lists.groupBy("part").applyInPandas(lambda g: _encoded(g, spec), "of long, size binary, ids binary, at binary")
     rows = staged.where("part is null").select("bundle", "doc_id", "codes")
