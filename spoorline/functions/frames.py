@@ -64,8 +64,14 @@ class Tracks:
 
     def __init__(self, keys: list[str], order: str = "frame") -> None:
         self.keys, self.order = keys, order
-        self.rows: WindowSpec = Window.partitionBy(*keys).orderBy(order)
-        self.whole: WindowSpec = Window.partitionBy(*keys)
+
+    @property
+    def rows(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(self.order)
+
+    @property
+    def whole(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys)
 
     def trailing(self, size: int) -> WindowSpec:
         return self.rows.rowsBetween(-(size - 1), 0)

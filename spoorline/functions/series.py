@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .frames import Tracks, changed
@@ -51,8 +51,10 @@ def ewm_mean(df: DataFrame, tracks: Tracks, columns: dict[str, tuple[str, int]])
     """
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in columns])
 
+    order = tracks.order
+
     def weigh(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(tracks.order, kind="stable")
+        g = g.sort_values(order, kind="stable")
         for name, (column, span) in columns.items():
             g[name] = g[column].astype(float).ewm(span=span, min_periods=1).mean()
         return g
@@ -65,7 +67,7 @@ def missing_streak(df: DataFrame, tracks: Tracks, missing: dict[str, Column]) ->
 
     A run counts from 1 if it opens the track, else from 2: the present row before it belongs to its island.
     """
-    spans = {f"_i_{n}": F.sum(F.when(m, 0).otherwise(1)).over(tracks.rows.rowsBetween(-(1 << 62), 0)) for n, m in missing.items()}
+    spans = {f"_i_{n}": F.sum(F.when(m, 0).otherwise(1)).over(tracks.rows.rowsBetween(Window.unboundedPreceding, 0)) for n, m in missing.items()}
     df = df.withColumns(spans)
     first = {}
     for n, m in missing.items():
@@ -77,7 +79,7 @@ def missing_streak(df: DataFrame, tracks: Tracks, missing: dict[str, Column]) ->
 def gap_fill(df: DataFrame, tracks: Tracks, columns: list[str], limit: int) -> DataFrame:
     """``df`` with gaps filled: at most ``limit`` rows of a gap on the line between its ends, then ``limit`` rows of the
     value before, then ``limit`` rows of the value after; the rest of a long gap stays missing."""
-    past, ahead = tracks.rows.rowsBetween(-(1 << 62), 0), tracks.rows.rowsBetween(0, 1 << 62)
+    past, ahead = tracks.rows.rowsBetween(Window.unboundedPreceding, 0), tracks.rows.rowsBetween(0, Window.unboundedFollowing)
     df = df.withColumn("_n", F.row_number().over(tracks.rows))
     ends = {}
     for c in columns:
