@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .frames import Tracks, changed
+from .frames import Tracks, changed, clip
 
 
 def roll_quantile(x: Column, q: float, frame: WindowSpec, least: int) -> Column:
@@ -34,7 +34,7 @@ def roll_corr(x: Column, y: Column, frame: WindowSpec, least: int) -> Column:
     cov = n * F.sum(a * b).over(frame) - sx * sy
     vx, vy = n * F.sum(a * a).over(frame) - sx * sx, n * F.sum(b * b).over(frame) - sy * sy
     r = F.when((vx > 1e-12) & (vy > 1e-12), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-    return F.when(n >= least, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return F.when(n >= least, clip(r, -1, 1))
 
 
 def lagged_abs_diff(a: Column, b: Column, tracks: Tracks, size: int) -> Column:
