@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from . import bpe_tables, decontaminate, langid, licenses, lines, minhash, pii, quality, subspace, token_counts
 
 BYTE_BPE = "byte_bpe_50k.json"
+#: For SQL: text with A-Z in lower case, and the words in it.
+_LOWERED = f"translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,4 +132,55 @@ def oracle_sql() -> dict[str, str]:
         degree as (select u, count(*) as n from pair group by u)
         select e.vec_id, coalesce(d.n, 0) as n_links, l.c as component_id, e.vec_id = l.c as kept
         from embeddings e join low l on l.u = e.vec_id left join degree d on d.u = e.vec_id"""
-    return {"op3_lines": lines_sql, "op5_subspace": vectors_sql}
+    license_table = ", ".join(f"('{t.label}', {t.base}, {t.key}, {t.words}, {t.offset})" for t in licenses.TEMPLATES)
+    licenses_sql = f"""
+        with doc as (
+            select doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') as w from documents
+        ), template(label, base, phrase, body, off) as (values {license_table}),
+        place as (
+            select doc_id, w, label, base, body, off,
+                   unnest([i for i in range(1, len(w) + 1) if w[i] = phrase[1] and w[i : i + len(phrase) - 1] = phrase]) as i
+            from doc join template on list_has_all(w, phrase)
+        ), hit as (
+            select doc_id, label, base, i - 1 as start,
+                   len([k for k in range(1, len(body) + 1) if i - off + k > 1 and w[i - off + k - 1] = body[k]]) / len(body)::double as share
+            from place
+        ), found as (
+            select doc_id, count(*) filter (where base) as n, min(start) filter (where base) as lo, max(start) filter (where base) as hi,
+                   string_agg(distinct label, ',' order by label) filter (where base) as base_labels,
+                   string_agg(distinct label, ',' order by label) as labels, max(share) as score
+            from hit group by doc_id
+        )
+        select doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_base, lo::bigint as first_word, hi::bigint as last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score
+        from doc left join found using (doc_id)"""
+    contamination_sql = f"""
+        with doc as (
+            select doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') as w from documents
+        ), item as (
+            select item_id::varchar as item_id, regexp_extract_all({_LOWERED}, '{_WORD}') as w from benchmark
+        ), item_window as (
+            select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as words from (
+                select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i
+                from item where len(w) > 0
+            )
+        ), doc_window as (
+            select doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') as words from (
+                select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i
+                from doc join (select distinct k from item_window) on len(w) >= k
+            )
+        ), found as (
+            select distinct doc_id, item_id, i, k from doc_window join item_window using (k, words)
+        ), hit as (
+            select doc_id, count(distinct place) as n from (
+                select doc_id, unnest(range(i, i + k)) as place from (select distinct doc_id, i, k from found)
+            ) group by doc_id
+        ), items as (
+            select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as ids
+            from (select distinct doc_id, item_id from found) group by doc_id
+        )
+        select doc_id, len(w)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit,
+               coalesce(items.n, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+               coalesce(hit.n > 0 and 20 * hit.n >= len(w), false) as contaminated
+        from doc left join hit using (doc_id) left join items using (doc_id)"""
+    return {"op3_lines": lines_sql, "op5_subspace": vectors_sql, "op8_licenses": licenses_sql, "op9_decontaminate": contamination_sql}

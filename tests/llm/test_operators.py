@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -117,3 +118,14 @@ def test_contamination_against_brute_force(spark):
                     hit.update(range(i, i + n))
                     items |= found
         assert got[r.doc_id] == (len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    db = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        db.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    got, want = queries.queries()[name](spark, SF), db.sql(queries.oracle_sql()[name])
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want.project(", ".join(columns)).fetchall()))
