@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
@@ -30,11 +34,15 @@ def out_of_fold(df: DataFrame, features: list[str], group: str, label: str = "la
     assigned = df.join(group_folds(df, group, "label", folds), group)
     if assigned.where("label = 1").isEmpty() or assigned.where("label = 0").isEmpty():
         return assigned.withColumn("score", F.lit(0.0))
-    assigned, out = flagged(assigned, features), None
-    for k in range(folds):
+    assigned = flagged(assigned, features)
+
+    def scored(k: int) -> DataFrame:
         model = boosted_trees(features, **settings).fit(assigned.where(F.col("fold") != k))
-        part = model.transform(assigned.where(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1])
-        out = part if out is None else out.unionByName(part)
+        return model.transform(assigned.where(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1])
+
+    # A fit is a long row of short jobs, so the folds are fitted at the same time.
+    with ThreadPoolExecutor(folds) as pool:
+        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(scored), range(folds)))
     return out.drop("_v", "rawPrediction", "probability", "prediction", *[f"_{x}_{c}" for c in features for x in "fm"])
 
 

@@ -512,7 +512,7 @@ def all_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def gbt_classifier_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _scored(spark, sf_dir).select("doc_id", "source", "quality", F.log1p("n_chars").alias("size"), F.col("toxic").cast("double").alias("toxic"))
-    return learn.out_of_fold(d, ["size", "toxic"], "source", "quality", trees=3, depth=3).select("doc_id", "fold", "label", "score")
+    return learn.out_of_fold(d, ["size", "toxic"], "source", "quality").select("doc_id", "fold", "label", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

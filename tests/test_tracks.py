@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions import series
 from spoorline.functions.frames import Tracks, ind, scale, scale_signed
-from spoorline.operators import evaluate, intervals, reshape
+from spoorline.operators import evaluate, intervals, learn, reshape
 from spoorline.plans import catalogue
 from spoorline.plans.pair import pair_features
 from spoorline.plans.single import single_features
@@ -173,6 +173,20 @@ def test_catalogue_against_duckdb(spark, duck, name):
     assert canon(catalogue.queries()[name](spark, SF).toPandas()) == canon(duck.execute(catalogue.oracle_sql()[name]).df())
 
 
+def test_trees_are_fitted_at_full_size(spark, monkeypatch):
+    made, build = [], learn.boosted_trees
+
+    def small(features, **settings):
+        made.append(build(features, **settings).getStages()[-1])
+        return build(features, **{**settings, "trees": 1, "depth": 1})
+
+    monkeypatch.setattr(learn, "boosted_trees", small)
+    out = catalogue.queries()["gbt_classifier_oof"](spark, SF)
+    assert [(g.getMaxIter(), g.getMaxDepth(), g.getStepSize()) for g in made] == [(250, 6, 0.08)] * 5
+    rows = out.select("doc_id").collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == spark.read.parquet(f"{SF}/labels.parquet").count()
+
+
 def test_flagship_has_no_overlaps(spark):
     rows = sorted(catalogue.flagship(spark, SF).select("track", "start_frame", "stop_frame").collect())
     assert rows and all(r[1] < r[2] for r in rows)
