@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines go, all but their first place; n_chars follows the text."""
-    out = lines.remove_boilerplate(docs)
+    """Cross-site boilerplate lines and widespread passages go, all but their first place; n_chars follows the text."""
+    out = lines.remove_boilerplate(docs, long_limits=lines.LONG_LIMITS)
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", changed).select(docs.columns)
 

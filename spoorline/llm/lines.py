@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
+#: A line of more words is long: whole passages, which rarely repeat by chance. ``LONG_LIMITS`` are its (sites, documents).
+LONG_WORDS, LONG_LIMITS = 50, (8, 12)
 #: Sketch size (2^12 registers, 1.6 % standard error); estimates within a quarter of the limit are counted exactly.
 LG_K, NEAR = 12, 1.25
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", long_limits: tuple[int, int] | None = None) -> DataFrame:
     """``docs`` with columns n_lines, n_removed (long) and text without cross-site boilerplate.
 
     A line (split at \\n, compared byte for byte) on ``min_sites`` distinct sites or more is boilerplate; its
     first place, by smallest (doc_id, position), stays and all others go. Blank lines stay and count as lines.
 
+    With ``long_limits`` (sites, documents) a line of over 50 words is boilerplate from so many distinct sites, or
+    from so many distinct documents of whatever sites; a document without an id does not count.
+
     One aggregation gives each line hash (96 bits) a mergeable sketch of its sites. Lines whose estimate is
     within a quarter of the limit get an exact distinct count; others are decided by the sketch, whose error is
     far smaller. The flagged lines are written, so Spark broadcasts them only if they are small by its own
@@ -30,13 +35,28 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     scratch = Scratch(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     key = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("th"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = key.where(F.trim("line") != "").select("d", "th", "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"))
-    seen = line.groupBy("a", "b").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sk"), F.min(F.struct(F.col("d").isNull().alias("z"), "d", "pos", "th")).alias("first"))
-    spread = scratch.write(seen.withColumn("est", F.hll_sketch_estimate("sk")).where(F.col("est") >= min_sites / NEAR).select("a", "b", "first", "est"))
-    near = spread.where(F.col("est") < min_sites * NEAR)
-    exact = line.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(F.count_distinct("site").alias("n")).where(F.col("n") >= min_sites)
-    sure = spread.where(F.col("est") >= min_sites * NEAR)
-    flagged = scratch.write(sure.select("a", "b", "first").unionByName(near.join(exact, ["a", "b"], "left_semi").select("a", "b", "first")))
+    wordy = F.when(F.length("line") > 2 * LONG_WORDS, F.size(F.split(F.trim("line"), r"\s+")) > LONG_WORDS).otherwise(False)
+    line = key.where(F.trim("line") != "").select("d", "th", "site", "pos", F.xxhash64("line").alias("a"), F.hash("line").alias("b"), *([wordy.alias("long")] if long_limits else []))
+    sketches, counts = [F.hll_sketch_agg("site", F.lit(LG_K)).alias("sk")], [F.count_distinct("site").alias("n")]
+    ests = {"est": F.hll_sketch_estimate("sk")}
+    if long_limits:
+        own = F.when(F.col("long"), F.col("d"))
+        sketches += [F.hll_sketch_agg(own, F.lit(LG_K)).alias("dk"), F.max("long").alias("long")]
+        counts += [F.count_distinct(own).alias("m"), F.max("long").alias("long")]
+        ests["docs"] = F.hll_sketch_estimate("dk")
+
+    def reached(sites: str, documents: str, by: float = 1.0) -> Column:
+        if not long_limits:
+            return F.col(sites) >= min_sites * by
+        many = (F.col(sites) >= min(min_sites, long_limits[0]) * by) | (F.col(documents) >= long_limits[1] * by)
+        return F.when(F.col("long"), many).otherwise(F.col(sites) >= min_sites * by)
+
+    seen = line.groupBy("a", "b").agg(*sketches, F.min(F.struct(F.col("d").isNull().alias("z"), "d", "pos", "th")).alias("first"))
+    spread = scratch.write(seen.withColumns(ests).where(reached("est", "docs", 1 / NEAR)).drop("sk", "dk"))
+    sure = reached("est", "docs", NEAR)
+    near = spread.where(~sure)
+    exact = line.join(near.select("a", "b"), ["a", "b"], "left_semi").groupBy("a", "b").agg(*counts).where(reached("n", "m"))
+    flagged = scratch.write(spread.where(sure).select("a", "b", "first").unionByName(near.join(exact, ["a", "b"], "left_semi").select("a", "b", "first")))
     gone = line.join(flagged, ["a", "b"]).where(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("pos") == F.col("first.pos")) & (F.col("th") == F.col("first.th"))))
     gone = gone.groupBy("d", "th").agg(F.collect_set("pos").alias("_gone"))
     out = docs.join(gone, docs.doc_id.cast("long").eqNullSafe(gone.d) & (F.xxhash64(docs.text) == gone.th), "left").drop("d", "th")

@@ -8,8 +8,10 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from spoorline.llm import bpe_tables, decontaminate, langid, licenses, lines, minhash, pii, quality, queries, subspace, token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +54,20 @@ def test_lines(spark):
     assert out[99].text is None and out[99].n_lines == 0 and out[98].text == ""
 
 
+def test_long_lines_of_few_sites(spark):
+    hot, wide, rare, short = (f"{k} " + " ".join(f"{k}{i}" for i in range(60)) for k in ("hot", "wide", "rare", "short"))
+    short = " ".join(short.split()[:50])
+    rows = [(i, f"{hot}\n{short}\nown {i}", "s0") for i in range(12)]
+    rows += [(20 + i, f"{wide}\nown {i}", f"s{i}") for i in range(8)] + [(40 + i, f"{rare}\nown {i}", f"s{i % 7}") for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    out = {r.doc_id: r for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    first = {0, 20}
+    for i, text, _ in rows:
+        want = text if i in first or i >= 40 else "\n".join(x for x in text.split("\n") if x not in (hot, wide))
+        assert (out[i].text, out[i].n_chars) == (want, len(want))
+    assert sum(r.n_removed for r in lines.remove_boilerplate(docs).collect()) == 0
+
+
 def test_languages_and_quality_hold_out(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").toPandas().set_index("doc_id").lang
