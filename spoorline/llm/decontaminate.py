@@ -123,12 +123,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Items are winnowed: of each 9 consecutive 5-word hashes the smallest stays, so any 13 shared words share
     a fingerprint. Documents are winnowed alike and looked up in the broadcast fingerprints; each hit's
     diagonal is compared in full. The benchmark goes over in blocks of at most 4,000,000 words, one broadcast
-    each, whose spans are merged per document; with one block there is no shuffle.
+    each, whose spans are merged per document and joined back to the rows; with one block there is no shuffle.
 
     Null and wordless texts have no words and no hits. Items without an id or words are ignored; rows that
     repeat an id add up to one item. An empty benchmark leaves every document clean. Rows repeated in ``docs``
-    give repeated results (with several blocks, one result per distinct doc_id and text). Other columns are
-    ignored.
+    give repeated results. Other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
@@ -146,7 +145,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if blocks > 1:
         for part in parts[1:]:
             out = out.unionByName(part)
-        out = out.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = out.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = merged.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_words", "spans", "items")
+        out = docs.select("doc_id", "th").join(merged, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left").drop("_id", "_th")
     covered = F.expr(
         "aggregate(array_sort(spans), struct(0L as n, 0 as upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) as n, greatest(a.upto, x.e) as upto), a -> a.n)"
     )

@@ -136,6 +136,20 @@ def test_contamination_against_brute_force(spark):
         assert got[r.doc_id] == (len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w))
 
 
+def test_blocks_of_the_benchmark_keep_repeated_rows(spark, monkeypatch):
+    a, b = (" ".join(f"{k}{i}" for i in range(20)) for k in "ab")
+    rows = [(1, f"{a} x {b}"), (1, f"{a} x {b}"), (None, b), (None, b), (2, None), (2, None), (3, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate([a, b] * 4)], "item_id string, text string")
+
+    def result():
+        return sorted(repr((r.doc_id, r.n_words, sorted(map(tuple, r.spans)), r["items"], r.n_hit, r.contaminated)) for r in decontaminate.contamination(docs, bench).collect())
+
+    whole = result()
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    assert len(whole) == len(rows) and result() == whole
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     db = duckdb.connect()
