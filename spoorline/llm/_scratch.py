@@ -10,19 +10,39 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is set (and belongs to this machine) only where none is."""
+    """The checkpoint folder of the session. Where none is set, a local session gets one; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spoorline-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
-    """Written tables of one operator call."""
+    """Written tables of one operator call. Results read them when they are computed, so the folder goes with the session."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/spoorline-{uuid.uuid4().hex}", 0
+        path, fs = self._file_system(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _file_system(self, path: str) -> tuple:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
@@ -33,21 +53,28 @@ class Scratch:
         return out
 
     def write_bucketed(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
-        """As ``write``, in buckets by ``key``: what is grouped by it later is not shuffled again."""
+        """As ``write``, in buckets by ``key``: what is grouped by it later is not shuffled again.
+
+        Only tables have buckets, so the session's current database holds an external one for a moment; the frame
+        that is returned knows files and buckets without it.
+        """
         name = f"spoorline_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets, key).option("path", f"{self.root}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"drop table {name}")
+        return out
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = self._file_system(table.scratch_path)
+            fs.delete(path, True)
 
 
 def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component_id) of every id in links (u, v): the smallest id that links reach.
 
-    Alternating large-star and small-star rounds; each halves path lengths, so a few rounds end it.
+    Alternating large-star and small-star rounds; each halves path lengths, so a few rounds end it. ``rounds`` is a
+    guard: a path of 2^60 links would be needed to reach it, and then it raises.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -69,6 +96,8 @@ def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFram
     now = scratch.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     was = mark(now)
     for _ in range(rounds):
+        if not was[0]:
+            break
         new = scratch.write(star(star(now, True), False))
         scratch.drop(now)
         now, seen = new, mark(new)
