@@ -104,6 +104,15 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """As ``grams``, of the runs that start at ``at`` only."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(k):
+        out = (out + h[at + i]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        out ^= out >> np.uint64(29)
+    return mix(out + np.uint64(k))
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each row's distinct ``k``-word shingles, sorted, and how often each occurs; a row of fewer words has one."""
     h, at = words(data, offsets)

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._scratch import Scratch, fresh
 
 WINDOW, GRAM = 13, 5
-#: Benchmark words in one broadcast (8 bytes each); a larger benchmark goes over the documents in blocks.
-BLOCK_WORDS = 4_000_000
+#: Fingerprints of a winnowing span: 9 consecutive 5-word hashes lie in each 13 words.
+SPAN = WINDOW - GRAM + 1
+#: Words of a benchmark up to which its fingerprints and windows are broadcast (about 20 bytes each); a larger one is joined.
+BROADCAST_WORDS = 4_000_000
 
 
-def winnow(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+def winnow(g: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """For each window of ``span`` hashes its smallest, the rightmost of equals: window starts and positions."""
     n = len(g) - span + 1
     if n <= 0:
@@ -30,58 +33,77 @@ def winnow(g: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return start, start + at
 
 
+def _rows_of(at: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.searchsorted(at, p, "right") - 1
+
+
+def fingerprints(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed 5-word hashes of the rows that start at ``at`` in ``h``, and their places."""
+    g = _text.grams(h, GRAM)
+    start, pos = winnow(g)
+    pos = np.unique(pos[start + WINDOW <= at[_rows_of(at, start) + 1]]) if len(start) else pos
+    return g[pos], pos
+
+
+def _starts(n: int, at: np.ndarray, k: int) -> np.ndarray:
+    """Where ``k`` words of one row start."""
+    p = np.arange(max(0, n - k + 1))
+    return p[p + k <= at[_rows_of(at, p) + 1]]
+
+
 class Index:
-    """Winnowed fingerprints of benchmark items, with their words for the extension of hits."""
+    """Winnowed fingerprints of benchmark items, and their distinct windows with the items that hold them."""
 
     def __init__(self, items: list[tuple[str, np.ndarray]]) -> None:
-        self.ids, self.words = [x[0] for x in items], [x[1] for x in items]
-        prints: list[tuple[np.ndarray, int, np.ndarray]] = []
-        short: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
+        self.ids = [x[0] for x in items]
+        prints, windows = [np.empty(0, np.uint64)], {}
+        for k, (_, w) in enumerate(items):
+            own = np.array([0, len(w)])
             if len(w) >= WINDOW:
-                g = _text.grams(w, GRAM)
-                at = np.unique(winnow(g, WINDOW - GRAM + 1)[1])
-                prints.append((g[at], k, at))
-            elif len(w):
-                short.setdefault(len(w), []).append((int(_text.grams(w, len(w))[0]), k))
-        h = np.concatenate([x[0] for x in prints]) if prints else np.empty(0, np.uint64)
-        item = np.concatenate([np.full(len(x[0]), x[1]) for x in prints]) if prints else np.empty(0, np.int64)
-        at = np.concatenate([x[2] for x in prints]) if prints else np.empty(0, np.int64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.at = h[order], item[order], at[order]
-        self.short = {n: (np.array(sorted({x[0] for x in own}), np.uint64), {h: [k for g, k in own if g == h] for h in {x[0] for x in own}}) for n, own in short.items()}
-
-    def spans(self, h: np.ndarray, at: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
-        """row -> (start, end, item) of maximal shared spans, in words of the row; ``at``: where rows start in ``h``."""
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        row_of = lambda p: np.searchsorted(at, p, "right") - 1
-        if len(self.h):
-            g = _text.grams(h, GRAM)
-            start, pos = winnow(g, WINDOW - GRAM + 1)
-            pos = np.unique(pos[start + WINDOW <= at[row_of(start) + 1]]) if len(start) else pos
-            lo, hi = np.searchsorted(self.h, g[pos], "left"), np.searchsorted(self.h, g[pos], "right")
-            hit = np.flatnonzero(hi > lo)
-            count = (hi - lo)[hit]
-            entry = np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            p = np.repeat(pos[hit], count)
-            if len(p):
-                diagonals = np.unique(np.stack([row_of(p), self.item[entry], p - self.at[entry]]), axis=1)
-                for row, k, d in diagonals.T.tolist():
-                    w, first, last = self.words[k], int(at[row]), int(at[row + 1])
-                    a, b = max(d, first), min(d + len(w), last)
-                    same = np.concatenate([[False], h[a:b] == w[a - d : b - d], [False]])
-                    edge = np.flatnonzero(same[1:] != same[:-1])
-                    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                        if e - s >= WINDOW:
-                            out.setdefault(row, []).append((a + s - first, a + e - first, k))
-        for n, (hashes, owners) in self.short.items():
-            g = _text.grams(h, n)
-            pos = np.flatnonzero(np.isin(g, hashes))
-            row = row_of(pos)
-            for p, r in zip(pos.tolist(), row.tolist(), strict=True):
-                if p + n <= at[r + 1]:
-                    out.setdefault(r, []).extend((p - int(at[r]), p - int(at[r]) + n, k) for k in owners[int(g[p])])
-        return out
+                prints.append(fingerprints(w, own)[0])
+            n = min(WINDOW, len(w))
+            if n:
+                windows.setdefault(n, []).append((np.unique(_text.grams(w, n)), k))
+        self.prints = np.unique(np.concatenate(prints))
+        self.windows = {}
+        for n, own in windows.items():
+            h, item = np.concatenate([x[0] for x in own]), np.concatenate([np.full(len(x[0]), x[1]) for x in own])
+            order = np.argsort(h, kind="stable")
+            keys, first = np.unique(h[order], return_index=True)
+            self.windows[n] = (keys, np.append(first, len(h)), item[order])
+
+    def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each window size: starts in ``h`` of the windows that items hold, and their places among the keys."""
+        for n, (keys, _, _) in self.windows.items():
+            if n == WINDOW:
+                g, pos = fingerprints(h, at)
+                pos = pos[_known(self.prints, g)[0]]
+                p = np.unique((pos[:, None] - np.arange(SPAN)).ravel())
+                p = p[p >= 0]
+                p = p[p + n <= at[_rows_of(at, p) + 1]]
+            else:
+                p = _starts(len(h), at, n)
+            found, place = _known(keys, _text.grams_at(h, p, n))
+            yield n, p[found], place
+
+
+def _known(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the hashes that are among the sorted keys, and their places there."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    on = np.flatnonzero(keys[place] == h)
+    return on, place[on]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> list[dict]:
+    """Maximal ranges of covered words."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    s, e = start[order], np.maximum.accumulate((start + size)[order])
+    cut = np.flatnonzero(np.r_[True, s[1:] > e[:-1]])
+    return [{"s": int(a), "e": int(b)} for a, b in zip(s[cut], np.append(e[cut[1:] - 1], e[-1]), strict=True)]
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,68 +116,163 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _HIT = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+_KEYS = pa.list_(pa.int64())
 
 
 def _scanned(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+    """Words, covered spans and items of each document, from the broadcast index."""
+    ix = index.value
     for batch in batches:
         n, spans, items = [], [], []
         for i, j, data, offsets in _text.chunks(batch.column("text")):
             h, at = _text.words(data, offsets)
             n += np.diff(at).tolist()
-            found = index.value.spans(h, at)
+            start, size, owner, row = ([np.empty(0, np.int64)] for _ in range(4))
+            for k, p, place in ix.hits(h, at):
+                start.append(p)
+                size.append(np.full(len(p), k))
+                r, w = np.unique(np.stack([_rows_of(at, p), place]), axis=1)
+                _, first, item = ix.windows[k]
+                c = first[w + 1] - first[w]
+                row.append(np.repeat(r, c))
+                owner.append(item[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())])
+            start, size, owner, row = (np.concatenate(x) for x in (start, size, owner, row))
+            own, of = _rows_of(at, start), np.unique(np.stack([row, owner]), axis=1)
+            hit = set(own.tolist())
             for r in range(j - i):
-                own = found.get(r, ())
-                spans.append([{"s": s, "e": e} for s, e in sorted({(s, e) for s, e, _ in own})])
-                items.append(sorted({index.value.ids[k] for _, _, k in own}))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(spans, _HIT), pa.array(items, pa.list_(pa.string()))],
-            names=["doc_id", "th", "n_words", "spans", "items"],
-        )
+                on = np.flatnonzero(own == r) if r in hit else np.empty(0, np.int64)
+                spans.append(_spans(start[on] - at[r], size[on]))
+                items.append(sorted({ix.ids[k] for k in of[1, of[0] == r].tolist()}) if r in hit else [])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(spans, _HIT), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "th", "n_words", "spans", "items"])
+
+
+def _item_keys(batches: Iterator[pa.RecordBatch], windows: bool) -> Iterator[pa.RecordBatch]:
+    """Per item its distinct fingerprints (an item of fewer words than a window: its one hash), or its distinct windows."""
+    for batch in batches:
+        out, sizes = [], []
+        for w in batch.column("w"):
+            w = np.frombuffer(w.as_buffer(), np.uint64)
+            n = min(WINDOW, len(w))
+            sizes.append(n)
+            out.append((np.unique(_text.grams(w, n)) if windows or n < WINDOW else np.unique(fingerprints(w, np.array([0, len(w)]))[0])).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(sizes, pa.int32()), pa.array(out, _KEYS)], names=["item_id", "k", "keys"])
+
+
+def _doc_prints(batches: Iterator[pa.RecordBatch], short: list[int]) -> Iterator[pa.RecordBatch]:
+    """Per document its words and distinct fingerprints, with the hashes of all windows of the short sizes."""
+    for batch in batches:
+        n, keys = [], []
+        for i, j, data, offsets in _text.chunks(batch.column("text")):
+            h, at = _text.words(data, offsets)
+            n += np.diff(at).tolist()
+            g, pos = fingerprints(h, at)
+            every, where = [g], [pos]
+            for k in short:
+                p = _starts(len(h), at, k)
+                every.append(_text.grams_at(h, p, k))
+                where.append(p)
+            g, row = np.concatenate(every), _rows_of(at, np.concatenate(where))
+            order = np.argsort(row, kind="stable")
+            edge = np.searchsorted(row[order], np.arange(j - i + 1))
+            keys += [np.unique(g[order[a:b]]).view(np.int64) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(keys, _KEYS)], names=["doc_id", "th", "n_words", "keys"])
+
+
+_WINDOW = pa.list_(pa.struct([("k", pa.int32()), ("key", pa.int64()), ("at", _HIT)]))
+
+
+def _doc_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Per document its distinct windows of the given sizes, each with the ranges it covers."""
+    for batch in batches:
+        out = []
+        for _, _, data, offsets in _text.chunks(batch.column("text")):
+            h, at = _text.words(data, offsets)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                own = []
+                for k in sizes:
+                    if b - a < k:
+                        continue
+                    g = _text.grams(h[a:b], k)
+                    order = np.argsort(g, kind="stable")
+                    edge = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1], True])
+                    own += [{"k": k, "key": int(g[order[s]].view(np.int64)), "at": _spans(order[s:e], np.full(e - s, k))} for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                out.append(own)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, _WINDOW)], names=["doc_id", "th", "w"])
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = []
+        for own in batch.column("spans").to_pylist():
+            s = np.array([(x["s"], x["e"]) for x in own], np.int64).reshape(-1, 2)
+            spans.append(_spans(s[:, 0], s[:, 1] - s[:, 0]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "items")), pa.array(spans, _HIT)], names=["_id", "_th", "items", "spans"])
+
+
+_SPANS = "array<struct<s:int,e:int>>"
+
+
+def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """As the scan with a broadcast index, for a benchmark of any size: fingerprints, then windows of documents that hit."""
+    short = [r.k for r in items.mapInArrow(lambda it: _item_keys(it, True), "item_id string, k int, keys array<long>").select("k").distinct().collect()]
+    sizes = sorted(short)
+    prints = items.mapInArrow(lambda it: _item_keys(it, False), "item_id string, k int, keys array<long>").select(F.explode("keys").alias("key")).distinct()
+    windows = items.mapInArrow(lambda it: _item_keys(it, True), "item_id string, k int, keys array<long>").select("item_id", "k", F.explode("keys").alias("key"))
+    windows = windows.groupBy("k", "key").agg(F.collect_set("item_id").alias("own"))
+    scratch = Scratch(docs.sparkSession)
+    seen = docs.mapInArrow(lambda it: _doc_prints(it, [k for k in sizes if k < WINDOW]), "doc_id long, th long, n_words long, keys array<long>")
+    hit = scratch.write(seen.select("doc_id", "th", F.explode("keys").alias("key")).join(prints, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
+    same = lambda d, h: d.doc_id.eqNullSafe(h._id) & d.th.eqNullSafe(h._th)
+    own = docs.join(hit, same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"])
+    own = own.mapInArrow(lambda it: _doc_windows(it, sizes), "doc_id long, th long, w array<struct<k:int,key:long,at:array<struct<s:int,e:int>>>>")
+    own = own.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode("w").alias("w")).select("_id", "_th", "w.*").join(windows, ["k", "key"])
+    own = own.groupBy("_id", "_th").agg(F.flatten(F.collect_list("at")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("items"))
+    own = own.mapInArrow(_merged, f"_id long, _th long, items array<string>, spans {_SPANS}")
+    counts = docs.mapInArrow(lambda it: _doc_prints(it, []), "doc_id long, th long, n_words long, keys array<long>").select("doc_id", "th", "n_words")
+    out = counts.join(own, same(counts, own), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select("doc_id", "th", "n_words", none("spans", _SPANS), none("items", "array<string>"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, items, n_hit, contaminated) of every row of ``docs`` (doc_id, text).
 
-    ``spans`` are the word ranges shared with an item of ``benchmark`` (item_id, text) over 13 words or more
-    (an item of fewer words: all of it), ``items`` the sorted ids, ``n_hit`` the words in any span; a document
-    is contaminated when they are a twentieth of its words or more.
+    ``spans`` are the maximal ranges of words covered by windows of 13 consecutive words of an item of ``benchmark``
+    (item_id, text; an item of fewer words is one window), ``items`` the sorted ids of items with such a window,
+    ``n_hit`` the words covered; a document is contaminated when they are a twentieth of its words or more.
 
     Items are winnowed: of each 9 consecutive 5-word hashes the smallest stays, so any 13 shared words share
-    a fingerprint. Documents are winnowed alike and looked up in the broadcast fingerprints; each hit's
-    diagonal is compared in full. The benchmark goes over in blocks of at most 4,000,000 words, one broadcast
-    each, whose spans are merged per document and joined back to the rows; with one block there is no shuffle.
+    a fingerprint. Documents are winnowed alike; a fingerprint that hits is extended to the windows around it, whose
+    hashes are looked up, so a text that repeats itself costs no more than another of its length.
+
+    The fingerprints and windows of up to 4,000,000 benchmark words are broadcast, and documents are scanned once
+    without a shuffle. A larger benchmark is joined: distinct fingerprints of documents with those of items, then the
+    windows of the documents that hit. Both ways give the same rows.
 
     Null and wordless texts have no words and no hits. Items without an id or words are ignored; rows that
-    repeat an id add up to one item. An empty benchmark leaves every document clean. Rows repeated in ``docs``
-    give repeated results. Other columns are ignored.
+    repeat an id add up to one item. An empty benchmark leaves every document clean. Each row of ``docs`` gives one
+    row, repeated ones too. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    hashed = items.mapInArrow(_hashed, "item_id string, w binary").where("length(w) > 0")
+    hashed = Scratch(spark).write(items.mapInArrow(_hashed, "item_id string, w binary").where("length(w) > 0"))
     total = hashed.agg(F.sum(F.length("w"))).first()[0] or 0
-    blocks = max(1, -(-(total // 8) // BLOCK_WORDS))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    parts = []
-    for block in range(blocks):
-        own = hashed if blocks == 1 else hashed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-        rows = own.toLocalIterator()
-        index = spark.sparkContext.broadcast(Index([(r.item_id, np.frombuffer(bytes(r.w), np.uint64)) for r in rows]))
-        parts.append(docs.mapInArrow(lambda it, index=index: _scanned(it, index), "doc_id long, th long, n_words long, spans array<struct<s:int,e:int>>, items array<string>"))
-    out = parts[0]
-    if blocks > 1:
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        merged = out.groupBy("doc_id", "th").agg(F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = merged.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "n_words", "spans", "items")
-        out = docs.select("doc_id", "th").join(merged, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left").drop("_id", "_th")
-    covered = F.expr(
-        "aggregate(array_sort(spans), struct(0L as n, 0 as upto), (a, x) -> struct(a.n + greatest(0, x.e - greatest(x.s, a.upto)) as n, greatest(a.upto, x.e) as upto), a -> a.n)"
-    )
+    if total // 8 <= BROADCAST_WORDS:
+        index = spark.sparkContext.broadcast(Index([(r.item_id, np.frombuffer(bytes(r.w), np.uint64)) for r in hashed.collect()]))
+        out = docs.mapInArrow(lambda it: _scanned(it, index), f"doc_id long, th long, n_words long, spans {_SPANS}, items array<string>")
+    else:
+        out = _joined(docs, hashed)
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
     out = out.withColumn("n_hit", covered)
     return out.select("doc_id", "n_words", "spans", "items", "n_hit", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "th")
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(bad._id) & (F.xxhash64(F.col("text").cast("string")) == bad._th), "left_anti")
+    """``docs`` without contaminated rows; all columns stay, whatever their names.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty.
+    """
+    i, t = fresh(docs, "_id", "_th")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad[i]) & (F.xxhash64(docs["text"].cast("string")) == bad[t]), "left_anti")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
@@ -136,18 +137,31 @@ def test_contamination_against_brute_force(spark):
         assert got[r.doc_id] == (len(w), len(hit), sorted(items), bool(hit) and 20 * len(hit) >= len(w))
 
 
-def test_blocks_of_the_benchmark_keep_repeated_rows(spark, monkeypatch):
+def test_a_large_benchmark_gives_the_same_rows(spark, monkeypatch):
     a, b = (" ".join(f"{k}{i}" for i in range(20)) for k in "ab")
-    rows = [(1, f"{a} x {b}"), (1, f"{a} x {b}"), (None, b), (None, b), (2, None), (2, None), (3, "clean")]
+    rows = [(1, f"{a} x {b}"), (1, f"{a} x {b}"), (None, b), (None, b), (2, None), (2, None), (3, "clean"), (4, "two words"), (5, ""), (6, "go " * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate([a, b] * 4)], "item_id string, text string")
+    texts = [a, b] * 4 + ["two words", "go " * 20, "", None]
+    bench = spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(texts)], "item_id string, text string")
 
     def result():
         return sorted(repr((r.doc_id, r.n_words, sorted(map(tuple, r.spans)), r["items"], r.n_hit, r.contaminated)) for r in decontaminate.contamination(docs, bench).collect())
 
     whole = result()
-    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", 40)
     assert len(whole) == len(rows) and result() == whole
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and not decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count()
+
+
+def test_texts_that_repeat_themselves_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, "the " * 100_000), (2, "a b " * 50_000)], "doc_id long, text string").withColumns({"_id": F.lit(1), "_th": F.lit(2), "th": F.lit(3)})
+    bench = spark.createDataFrame([("i", "the " * 10_000), ("j", "a b " * 10_000)], "item_id string, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_hit, list(r["items"]), [tuple(s) for s in r.spans]) for r in decontaminate.contamination(docs, bench).collect()}
+    assert got == {1: (100_000, ["i"], [(0, 100_000)]), 2: (100_000, ["j"], [(0, 100_000)])} and time.time() - began < 20
+    assert decontaminate.remove_contaminated(docs, bench).count() == 0
+    kept = decontaminate.remove_contaminated(docs, bench.limit(0))
+    assert kept.columns == docs.columns and kept.count() == 2
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
