@@ -19,8 +19,8 @@ from ._scratch import Scratch
 
 #: A bundle of documents ends at so many distinct words or characters of text.
 BUNDLE_WORDS, BUNDLE_CHARS = 200_000, 24_000_000
-#: Text behind one part of the distinct words.
-PART_CHARS = 16_000_000
+#: Text behind one part of the distinct words (their lists are about a fifteenth of it), fewest and most parts, most buckets.
+PART_CHARS, FEWEST_PARTS, MOST_PARTS, MOST_BUCKETS = 512_000_000, 64, 65_536, 65_536
 
 
 class _Codes(dict):
@@ -142,6 +142,16 @@ def _joined(docs: pd.DataFrame, table: pd.DataFrame, pieces, digest: bool) -> pd
     return frame
 
 
+def layout(chars: int, tasks: int) -> tuple[int, int]:
+    """Parts of the distinct words, and buckets of the bundles, for so many characters of text.
+
+    Beyond the most parts and buckets each holds more, not fewer: a bundle's list has at most 200,000 words, and at
+    65,536 parts a row of it still carries some of them; a bucket holds several bundles, which are joined one by one.
+    """
+    parts = min(MOST_PARTS, max(FEWEST_PARTS, -(-chars // PART_CHARS)))
+    return parts, min(MOST_BUCKETS, max(tasks, -(-chars // BUNDLE_CHARS)))
+
+
 def encode_and_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded) of every row of ``docs`` (doc_id, text), as the tokenizers library gives them.
 
@@ -149,11 +159,11 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False
 
     Each task splits its documents into words and writes, for bundles of at most about 24,000,000 characters,
     the list of distinct words, dealt by hash into parts, and each document as positions in the list. A part
-    brings together its words of all bundles (about 16,000,000 characters of text stand behind one), encodes each
+    brings together its words of all bundles (about 512,000,000 characters of text stand behind one), encodes each
     distinct word once and sends the ids back to the lists; each bundle's ids then meet its documents by position.
-    Documents are written in buckets by bundle, so their positions are not shuffled.
-    Pieces come through a broadcast table of the vocabulary (50,257 entries). Shuffles carry packed words, ids and
-    positions, not texts, and no group grows with the input.
+    Documents are written in buckets by bundle, so their positions are not shuffled; the catalog has to take a table
+    for that moment. Pieces come through a broadcast table of the vocabulary (50,257 entries), by which each distinct
+    word of a bundle is spelled once. Shuffles carry packed words, ids and positions, not texts.
 
     Null encodes as empty. Repeated rows give repeated results; other columns are ignored; an empty table gives
     an empty result.
@@ -164,8 +174,7 @@ def encode_and_decode(docs: DataFrame, tokenizer_path: str, digest: bool = False
     spec, pieces = spark.sparkContext.broadcast(text), spark.sparkContext.broadcast(piece_bytes(text))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(64, -(-total // PART_CHARS))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUNDLE_CHARS))
+    parts, buckets = layout(total, int(spark.conf.get("spark.sql.shuffle.partitions")))
     staged = scratch.write_bucketed(docs.mapInArrow(lambda it: _split(it, spec, parts), "bundle long, part int, size binary, body binary, doc_id long, codes binary"), "bundle", buckets)
     lists = staged.where("part is not null").select("bundle", "part", "size", "body", "codes")
     table = lists.groupBy("part").applyInPandas(lambda g: _encoded(g, spec), "of long, size binary, ids binary, at binary")
