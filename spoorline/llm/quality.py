@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from . import _text
 from ._sample import sampled
 
-#: Hashed features; labelled rows of each class in the linear model's sample; label rows up to which they are broadcast.
-BITS, PER_CLASS, BROADCAST_ROWS = 18, 3_000, 2_000_000
+#: Hashed features; labelled rows of each class in the linear model's sample.
+BITS, PER_CLASS = 18, 3_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
@@ -74,6 +74,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(out, pa.binary())], names=["doc_id", "y", "f"])
 
 
+def log_count_ratios(counts: np.ndarray) -> np.ndarray:
+    """Of rows (feature, rows of class 0 and of class 1 that have it): log of the smoothed shares of class 1 over class 0."""
+    n = np.ones((2, 1 << BITS))
+    n[:, counts[:, 0]] += counts[:, 1:].T
+    return np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+
+
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Hinge-loss weights by dual coordinate descent over unit rows; a constant feature gives the bias."""
     rng, w, bias = np.random.default_rng(7), np.zeros(len(ratios)), 0.0
@@ -115,7 +122,8 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Model:
     """A model from rows of ``labels`` (doc_id, quality 0 or 1) outside the held-out fold.
 
-    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver); the linear model
+    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver; Spark broadcasts the
+    labels only where they are small by its own threshold); the linear model
     is fitted on a hashed sample of about 3,000 rows of each class, and its sigmoid on a fifth of them that it
     has not seen, weighted to the share of the classes. Without rows of both classes every score is the share
     of class 1, or a half if there are no labels.
@@ -128,12 +136,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Mo
         share = 0.5 if not size else 0.999 if 1 in size else 0.001
         none = np.zeros(1 << BITS)
         return Model(none, none, 0.0, 1.0, float(np.log(share / (1 - share))))
-    small = sum(size.values()) <= BROADCAST_ROWS
-    train = docs.join(F.broadcast(known) if small else known, "doc_id")
+    train = docs.join(known, "doc_id")
     counts = train.select("y", "text").mapInArrow(_class_counts, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0"), F.sum("n1")).toPandas().to_numpy()
-    n = np.ones((2, 1 << BITS))
-    n[:, counts[:, 0]] += counts[:, 1:].T
-    ratios = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
+    ratios = log_count_ratios(counts)
     part = F.when(F.col("y") == 1, min(1.0, PER_CLASS / size[1])).otherwise(min(1.0, PER_CLASS / size[0]))
     picked = known.where(sampled("doc_id", part)).distinct()
     sample = docs.join(F.broadcast(picked), "doc_id").mapInArrow(_rows, "doc_id long, y int, f binary").collect()
@@ -170,7 +175,10 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without rows that the model rejects; all columns stay, and no row is shuffled."""
+    """``docs`` without rows that the model rejects (score under 0.5); all columns stay, and no row is shuffled.
+
+    Null and empty texts score the model's bias and stay or go by it; repeated rows stay or go together.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
