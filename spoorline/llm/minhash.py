@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._scratch import Scratch, components
+from ._scratch import Scratch, components, fresh
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -64,10 +64,11 @@ def dart_signature(elements: np.ndarray, weights: np.ndarray, k: int = K) -> np.
 def _signed(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
     mult = _text.mix(np.arange(1, ROWS + 1, dtype=np.uint64))
     for batch in batches:
-        n, bands, sigs = [], [], []
+        n, total, bands, sigs = [], [], [], []
         for _, _, data, offsets in _text.chunks(batch.column("text")):
             for s, count in _text.shingle_sets(data, offsets, SHINGLE):
                 n.append(len(s))
+                total.append(int(count.sum()) if weighted else len(s))
                 if not len(s):
                     bands.append([])
                     sigs.append(b"")
@@ -77,8 +78,8 @@ def _signed(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.Re
                 bands.append(_text.mix(rows + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)).view(np.int64))
                 sigs.append(sig.astype(np.uint32).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(n, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["doc_id", "h1", "h2", "n", "bands", "sig"],
+            [batch.column("doc_id"), batch.column("h1"), batch.column("h2"), pa.array(n, pa.int32()), pa.array(total, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+            names=["doc_id", "h1", "h2", "n", "w", "bands", "sig"],
         )
 
 
@@ -89,9 +90,16 @@ def _close(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield batch.select(["u", "v"]).filter(ok)
 
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(s: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Each shingle once per occurrence, numbered: the Jaccard similarity of these sets is the weighted one."""
+    more = np.repeat(s, count)
+    nth = np.arange(len(more)) - np.repeat(np.cumsum(count) - count, count)
+    return np.sort(np.where(nth > 0, _text.mix(more + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), more))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch], weighted: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [s.tobytes() for _, _, data, offsets in _text.chunks(batch.column("text")) for s, _ in _text.shingle_sets(data, offsets, SHINGLE)]
+        out = [(_counted(s, n) if weighted else s).tobytes() for _, _, data, offsets in _text.chunks(batch.column("text")) for s, n in _text.shingle_sets(data, offsets, SHINGLE)]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.binary())], names=["id", "s"])
 
 
@@ -140,39 +148,24 @@ def _block_links(g: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, weighted: bool = False, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
-
-    Documents link when the Jaccard similarity of their sets of five-word shingles reaches ``similarity``
-    (with ``weighted`` signatures count repeats, while the final check stays on sets). A component_id is the
-    smallest doc_id that links reach; the document of that id is kept.
-
-    Byte-equal texts meet first, in one aggregation, so a group of copies counts as one text. Signatures of
-    distinct texts go into 30 bands of 5 rows (a pair at 0.8 is missed once in 150,000 times). Texts of a
-    bucket are compared with one centre each, first the smallest id, then the text with most links; buckets
-    that still hold several components are compared completely, in blocks of 256 by 256 texts of which only
-    a spanning forest leaves the task. So no group is emitted as pairs and no pair of a bucket is skipped.
-
-    Null and wordless texts link with nothing and are kept; texts under five words have one shingle, all
-    their words; rows that share a doc_id count as one document; rows without one keep a null component and
-    are kept. Other columns are ignored. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def _grouped(docs: DataFrame, weighted: bool, similarity: float) -> DataFrame:
+    """(doc_id, h1, h2, n, component_id) of every row; h1 and h2 are hashes of its text."""
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     keyed = docs.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    feats = scratch.write(keyed.mapInArrow(lambda it: _signed(it, weighted), "doc_id long, h1 long, h2 long, n int, bands array<long>, sig binary"))
+    feats = scratch.write(keyed.mapInArrow(lambda it: _signed(it, weighted), "doc_id long, h1 long, h2 long, n int, w long, bands array<long>, sig binary"))
     texts = feats.where("n > 0 and doc_id is not null")
-    reps = scratch.write(texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    bands = reps.select("id", F.explode("bands").alias("bh"))
+    reps = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("w").alias("w"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    reps = scratch.write(reps.withColumn("id", F.monotonically_increasing_id()))
+    bands = reps.select("id", "w", F.explode("bands").alias("bh"))
     shingles: list[DataFrame] = []
 
     def shingles_of(ids: DataFrame) -> DataFrame:
-        """Of ids whose shingles are not yet written; rows of one id and several texts give the first."""
+        """Of texts whose shingles are not yet written."""
         for have in shingles:
             ids = ids.join(have.select("id"), "id", "left_anti")
-        own = keyed.join(reps.select("h1", "h2", "id").join(ids, "id"), ["h1", "h2"]).where("doc_id = id").select("id", "text")
-        new = scratch.write(own.mapInArrow(_shingled, "id long, s binary").dropDuplicates(["id"]))
+        own = keyed.join(reps.select("h1", "h2", "id", "doc").join(ids, "id"), ["h1", "h2"]).where("doc_id = doc").select("id", "text")
+        new = scratch.write(own.mapInArrow(lambda it: _shingled(it, weighted), "id long, s binary").dropDuplicates(["id"]))
         shingles.append(new)
         out = shingles[0]
         for have in shingles[1:]:
@@ -185,14 +178,34 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, similarity: float =
         close = scratch.write(close.mapInArrow(lambda it: _close(it, similarity - MARGIN), "u long, v long"))
         s = shingles_of(close.select(F.col("u").alias("id")).union(close.select("v")).distinct())
         full = close.join(s.toDF("u", "a"), "u").join(s.toDF("v", "b"), "v").select("u", "v", "a", "b")
-        return scratch.write(full.mapInArrow(lambda it: _exact(it, similarity), "u long, v long"))
+        out = scratch.write(full.mapInArrow(lambda it: _exact(it, similarity), "u long, v long"))
+        scratch.drop(close)
+        return out
 
     def open_buckets(comp: DataFrame) -> DataFrame:
-        """Members (bh, id, comp) of buckets that hold several components; buckets of equal members count once."""
+        """Members (bh, id, w, comp) of buckets that hold several components; buckets of equal members count once."""
         member = bands.join(comp.withColumnRenamed("component_id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         several = member.groupBy("bh").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
         several = several.where("n > 2 and lo <> hi").groupBy("n", "lo", "hi", "mark").agg(F.min("bh").alias("bh"))
-        return scratch.write(member.join(several.select("bh", "n"), "bh"))
+        return scratch.write(member.join(several.select("bh"), "bh"))
+
+    def complete(rest: DataFrame) -> DataFrame:
+        """Links within open buckets, block by block.
+
+        Similar texts differ in size by the similarity at most, so a bucket falls into size classes of that ratio and
+        a class meets itself and the next. Blocks of a class have about 256 texts.
+        """
+        ranked = rest.withColumn("k", F.floor(F.log("w") / -math.log(similarity)).cast("int"))
+        size = ranked.groupBy("bh", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        size = size.groupBy("bh").agg(F.map_from_entries(F.collect_list(F.struct("k", "blocks"))).alias("blocks"))  # a few classes a bucket
+        ranked = ranked.join(size, "bh").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("k")]).cast("int"))
+        every = """concat(
+            transform(sequence(0, blocks[k] - 1), o -> struct(k as k, false as up, least(own, o) as i, greatest(own, o) as j)),
+            case when map_contains_key(blocks, k + 1) then transform(sequence(0, blocks[k + 1] - 1), o -> struct(k as k, true as up, own as i, o as j)) else array() end,
+            case when map_contains_key(blocks, k - 1) then transform(sequence(0, blocks[k - 1] - 1), o -> struct(k - 1 as k, true as up, o as i, own as j)) else array() end)"""
+        dealt = ranked.select("bh", "id", "comp", F.explode(F.expr(every)).alias("t")).select("bh", "id", "comp", "t.*")
+        s = shingles_of(rest.select("id").distinct())
+        return scratch.write(dealt.join(s, "id").groupBy("bh", "k", "up", "i", "j").applyInPandas(lambda g: _block_links(g, similarity), "u long, v long"))
 
     centre = bands.groupBy("bh").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).where("n > 1")
     links = verified(bands.join(centre, "bh").where("id <> u").select("u", F.col("id").alias("v")).distinct())
@@ -206,20 +219,44 @@ def near_duplicates(docs: DataFrame, weighted: bool = False, similarity: float =
         comp = components(scratch, links)
         rest = open_buckets(comp)
         if not rest.isEmpty():
-            s = shingles_of(rest.select("id").distinct())
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-            dealt = rest.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            dealt = dealt.select("bh", "id", "comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-            found = dealt.join(s, "id").groupBy("bh", "i", "j").applyInPandas(lambda g: _block_links(g, similarity), "u long, v long")
-            comp = components(scratch, links.union(scratch.write(found)))
-    group = reps.select("h1", "h2", "id").join(comp, "id", "left").select("h1", "h2", F.coalesce("component_id", "id").alias("c"))
+            comp = components(scratch, links.union(complete(rest)))
+    linked = comp.join(reps.select("id", "doc"), "id")
+    low = linked.groupBy("component_id").agg(F.min("doc").alias("c"))
+    group = reps.select("h1", "h2", "id", "doc").join(linked.select("id", "component_id").join(low, "component_id").select("id", "c"), "id", "left")
+    group = group.select("h1", "h2", F.coalesce("c", "doc").alias("c"))
     out = feats.select("doc_id", "h1", "h2", "n").join(group, ["h1", "h2"], "left")
-    out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("doc_id")))
+    return out.withColumn("component_id", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))).drop("c")
+
+
+def near_duplicates(docs: DataFrame, weighted: bool = True, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
+
+    Documents link when the Jaccard similarity of their five-word shingles reaches ``similarity``: shingles are
+    weighted by their counts (smaller counts over larger ones), or with ``weighted`` off taken as sets. A component_id
+    is the smallest doc_id that links reach; rows whose doc_id it is are kept.
+
+    Byte-equal texts meet first, in one aggregation, so a group of copies counts as one text. Signatures of
+    distinct texts go into 30 bands of 5 rows (a pair at 0.8 is missed once in 150,000 times). Texts of a
+    bucket are compared with one centre each, first the first text, then the text with most links; buckets
+    that still hold several components are compared completely, in size classes and blocks of about 256 by 256 texts
+    of which only a spanning forest leaves the task. So no group is emitted as pairs and no pair of a bucket is skipped.
+
+    Null and wordless texts link with nothing and are kept; texts under five words have one shingle, all
+    their words. Repeated rows give repeated results. Rows of one doc_id and several texts each have the component of
+    their own text, and are kept where it is their doc_id. Rows without a doc_id have no component, link nothing and are
+    kept. n_shingles counts distinct shingles. Other columns are ignored. An empty table gives an empty result.
+    """
+    out = _grouped(docs, weighted, similarity)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the near copies of another row; all columns stay. Repeated rows of a kept document stay."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without the near copies of another row; all columns stay, whatever their names.
+
+    Rows go by doc_id and text, so another text of the same id stays; null and wordless texts, rows without an id and
+    repeated rows of a kept document stay; an empty table stays empty.
+    """
+    i, a, b = fresh(docs, "_id", "_h1", "_h2")
+    gone = _grouped(docs, True, SIMILARITY).where("doc_id <> component_id").select(F.col("doc_id").alias(i), F.col("h1").alias(a), F.col("h2").alias(b)).distinct()
+    text = docs["text"].cast("string")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[i]) & (F.xxhash64(text) == gone[a]) & (F.xxhash64(F.lit(1), text) == gone[b]), "left_anti")
