@@ -7,20 +7,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
 from ._sample import sampled
 from .quality import held_out
 
-#: Hashed n-gram and affix features; lexicon words a language; training documents a language, and words of them.
+#: Hashed n-gram and affix features; lexicon words a language; training documents a language, and the words at which they are enough.
 BITS, LEXICON, DOCS_PER_LANG, WORDS_PER_LANG = 17, 2_000, 250, 120_000
 EPOCHS = 25
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 
 
+def _spelled(text: Column) -> Column:
+    """In lower case, with a space for all beyond ASCII that is neither a letter nor a mark on one."""
+    return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{M}\x00-\x7F]+", " ")
+
+
 @dataclass
 class Words:
     """Distinct words of some rows (``which``: of each word in order), with row and line of each word."""
@@ -34,7 +39,7 @@ class Words:
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Runs of letters (a-z and all beyond ASCII, of lower-cased text) and the features of the distinct ones.
+    """Runs of letters (of text as ``_spelled`` leaves it) and the features of the distinct ones.
 
     Features: all 2-, 3- and 4-byte grams of the word between two boundary marks; those with a mark are its
     affixes.
@@ -134,12 +139,12 @@ def forward_backward(scores: np.ndarray, chain: np.ndarray, moves: np.ndarray, e
 def fit(docs: DataFrame, folds: int = 5, fold: int = 0) -> Model:
     """A model from text and non-null lang of ``docs`` outside the held-out fold.
 
-    A hashed sample of about 250 documents a language (and at most 120,000 words of each) trains it: words take
-    their document's language, and lines of the sample are joined two and two at random, so chains switch
-    languages as mixed texts do. Weights follow the likelihood's gradient, observed less expected features and
+    A hashed sample of about 250 documents a language trains it (in random order, as many as are needed to reach
+    120,000 words, always whole texts): words take their document's language, and lines of the sample are joined two
+    and two at random, so chains switch languages as mixed texts do. Weights follow the likelihood's gradient, observed less expected features and
     moves, by AdaGrad.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _spelled(F.col("text")).alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     size = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(size)
@@ -151,11 +156,14 @@ def fit(docs: DataFrame, folds: int = 5, fold: int = 0) -> Model:
     data, offsets = np.frombuffer(b"".join(r.text.encode() for r in sample), np.uint8), np.cumsum([0] + [len(r.text.encode()) for r in sample])
     w = read_words(data, offsets)
     label = np.array([langs.index(r.lang) for r in sample])[w.row]
-    rank = np.empty(len(label), np.int64)
-    for y in range(len(langs)):
-        rank[label == y] = np.arange((label == y).sum())
-    on = np.flatnonzero(rank < WORDS_PER_LANG)
     rng = np.random.default_rng(11)
+    shuffled = rng.permutation(len(sample))
+    size_of, lang_of = np.bincount(w.row, minlength=len(sample)), np.array([langs.index(r.lang) for r in sample])
+    used = np.zeros(len(sample), bool)
+    for y in range(len(langs)):
+        own = shuffled[lang_of[shuffled] == y]
+        used[own[np.cumsum(size_of[own]) - size_of[own] < WORDS_PER_LANG]] = True
+    on = np.flatnonzero(used[w.row])
     lines = np.unique(w.line[on])
     place = rng.permutation(len(lines))
     chain = place[np.searchsorted(lines, w.line[on])]
@@ -223,5 +231,5 @@ def identify(docs: DataFrame, model: Model, words_out: bool = False) -> DataFram
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(text).alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letters"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _spelled(text).alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letters"))
     return docs.mapInArrow(lambda it: _labelled(it, sent, words_out), "doc_id long, lang_pred string, score double" + ", word_langs array<string>" * words_out)
