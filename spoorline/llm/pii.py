@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ._sample import sampled
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that the field labels: those of the patterns, and secrets, which only it has.
+LABELS = (*KINDS, "secret")
 #: Documents with digits or @ that train the field; hashed observation features; marginal that makes a span.
 SAMPLE, FEATURES, SURE = 2_000, 1 << 12, 0.9
 ROUNDS = 12
@@ -25,6 +27,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
+#: What trains the field on secrets: a value that is assigned to a name of one.
+_SECRET = re.compile(r"(?i)\b(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s{0,4}[:=]\s{0,4}[\"']?([^\s\"']+)")
+_BEFORE = re.compile(r"([A-Za-z_-]{2,30})[\"']?\s{0,4}([:=]?)\s{0,4}[\"']?\Z")
 _TRIM = " \t\r\n.,;:!?\"'()[]{}<>*&%$#|"
 
 
@@ -88,25 +93,26 @@ def graph(text: str) -> Graph:
         core = text[a:b] if a < b else token
         a, b = (a, b) if a < b else (m.start(), m.end())
         shape, n = _shape(core), sum("0" <= c <= "9" for c in core)
-        names = [f"s{shape}", f"n{min(n, 20)}", f"@{core.count('@')}", f".{min(core.count('.'), 5)}", f"l{min(len(core), 40) // 2}", f"all{n == len(core)}", f"p{core[:1] if not core[:1].isalnum() else 'x'}", "1"]
+        before = _BEFORE.search(text, max(0, a - 40), a)
+        context = [f"w{before[1].lower()}", f"={before[2]}"] if before else ["w", "="]
+        names = [*context, f"s{shape}", f"n{min(n, 20)}", f"@{core.count('@')}", f".{min(core.count('.'), 5)}", f"l{min(len(core), 40) // 2}", f"all{n == len(core)}", f"p{core[:1] if not core[:1].isalnum() else 'x'}", "1"]
         feats.append([zlib.crc32(x.encode()) % FEATURES for x in names])
         if spans and text[spans[-1][1] : a].strip(_TRIM) == "" and a - spans[-1][1] <= 3:
             chain.append((i - 1, i))
         for kind, value in ((0, core), (1, shape)):
-            if (before := last.get((kind, value))) is not None and (kind == 0 or text[slice(*spans[before])] != core):
-                skip.append((before, i, kind))
+            if (twin := last.get((kind, value))) is not None and (kind == 0 or text[slice(*spans[twin])] != core):
+                skip.append((twin, i, kind))
             last[kind, value] = i
         spans.append((a, b))
     return Graph(spans, feats, chain, skip)
 
 
-def silver(g: Graph, base: list[tuple[str, int, int]]) -> np.ndarray:
-    """0: none, else 1 + the kind whose span covers a token's middle."""
+def silver(text: str, g: Graph, base: list[tuple[str, int, int]]) -> np.ndarray:
+    """0: none, else 1 + the label whose span covers a token's middle; patterns go before assigned secrets."""
     y = np.zeros(len(g.spans), np.int64)
-    for kind, a, b in base:
-        for i, (s, e) in enumerate(g.spans):
-            if a <= (s + e) // 2 < b:
-                y[i] = 1 + KINDS.index(kind)
+    middle = np.array([(s + e) // 2 for s, e in g.spans])
+    for kind, a, b in [*(("secret", *m.span(1)) for m in _SECRET.finditer(text)), *base]:
+        y[(a <= middle) & (middle < b)] = 1 + LABELS.index(kind)
     return y
 
 
@@ -114,16 +120,17 @@ def silver(g: Graph, base: list[tuple[str, int, int]]) -> np.ndarray:
 class Model:
     observe: np.ndarray  # feature, label
     chain: np.ndarray  # label, label
-    skip: np.ndarray  # skip kind: what equal labels of both ends gain
+    skip: np.ndarray  # skip kind: what equal labels of both ends gain, never a loss
 
 
 def train(texts: list[str]) -> Model:
-    """Weights by pseudo-likelihood on the pattern spans: each token given its neighbours in chain and skips."""
-    k = len(KINDS) + 1
+    """Weights by pseudo-likelihood on the pattern spans and assigned secrets: each token given its neighbours in chain and
+    skips. Skip weights are kept at 0 or more, so that equal and similar tokens draw together."""
+    k = len(LABELS) + 1
     feats, ys, left, right, same = [], [], [], [], []
     for text in texts:
         g = graph(text)
-        y = silver(g, base_spans(text))
+        y = silver(text, g, base_spans(text))
         lft, rgt, sm = np.zeros((len(y), k)), np.zeros((len(y), k)), np.zeros((len(y), 2, k))
         for a, b in g.chain:
             lft[b, y[a]] += 1
@@ -156,12 +163,13 @@ def train(texts: list[str]) -> Model:
             g = g - 1e-5 * x
             q += g * g
             x += 0.3 * g / np.sqrt(q)
+        np.maximum(model.skip, 0.0, out=model.skip)
     return model
 
 
 def marginals(g: Graph, model: Model) -> np.ndarray:
     """Label probabilities of each token by loopy sum-product messages over chain and skip edges."""
-    k = len(KINDS) + 1
+    k = len(LABELS) + 1
     own = np.array([model.observe[f].sum(axis=0) for f in g.feats])
     edges = [(a, b) for a, b in g.chain] + [(a, b) for a, b, _ in g.skip]
     if not edges:
@@ -203,8 +211,8 @@ def all_spans(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list
             y = int(q.argmax())
             before = int(np.searchsorted(starts, b))  # spans that start before this token ends
             if y and q[y] >= SURE and not (before and ends[before - 1] > a):
-                added.append((KINDS[y - 1], a, b))
-    return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+                added.append((LABELS[y - 1], a, b))
+    return base, sorted(base + added, key=lambda s: (LABELS.index(s[0]), s[1], s[2]))
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -233,7 +241,8 @@ def personal_data(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, base, spans) of every row of ``docs`` (doc_id, text); spans are arrays of (kind, start, end) in code points.
 
     ``base`` are the pattern spans, ``spans`` these and the tokens that the field labels: repeated or similar
-    tokens share potentials, so one that stands without the context its twin has is labelled alike. Only tokens
+    tokens share potentials, so one that stands without the context its twin has is labelled alike. The field also
+    labels secrets, which it learns from values assigned to a token, key or password. Only tokens
     with a digit or @ can be entities, so a text without either is settled at once; messages run within one
     document over at most three edges a token.
 
