@@ -43,23 +43,49 @@ def lagged_abs_diff(a: Column, b: Column, tracks: Tracks, size: int) -> Column:
     return F.when(F.count(gap).over(frame) == size, F.avg(gap).over(frame))
 
 
-def ewm_mean(df: DataFrame, tracks: Tracks, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """``df`` with exponentially weighted means: name -> (column, span). Weights decay over missing rows too.
+def ewm_mean(df: DataFrame, tracks: Tracks, columns: dict[str, tuple[str, int]], block: int = 256) -> DataFrame:
+    """``df`` with exponentially weighted means: name -> (column, span above 1). Weights decay over missing rows too.
 
-    One pass per track in pandas: each value depends on the whole past, so a track is the smallest unit. Tracks
-    are short beside a task's memory (a day at 30 frames a second is 2.6 million rows).
+    A track is cut into blocks of rows. Windows sum within a block; each block's sums (one row of them) are handed on
+    from block to block in pandas and met by the block's rows again. So no row of a track goes through Python, and a
+    long track is no large group. A mean is handed on beside its weight, which may decay to nothing in a long gap.
     """
-    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{n}` double" for n in columns])
-
-    order = tracks.order
-
-    def weigh(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
-        for name, (column, span) in columns.items():
-            g[name] = g[column].astype(float).ewm(span=span, min_periods=1).mean()
-        return g
-
-    return df.groupBy(*tracks.keys).applyInPandas(weigh, fields)
+    keys = [*tracks.keys, "_block"]
+    df = df.withColumn("_at", F.row_number().over(tracks.rows) - 1)
+    df = df.withColumn("_block", F.floor(F.col("_at") / block).cast("long")).withColumn("_at", F.col("_at") % block)
+    upto = Tracks(keys, tracks.order).rows.rowsBetween(Window.unboundedPreceding, 0)
+    keep = {name: 1 - 2 / (span + 1) for name, (_, span) in columns.items()}
+    inner, ends = {}, []
+    for name, (column, _) in columns.items():
+        x, r = F.col(column).cast("double"), F.lit(keep[name])
+        weight, left = F.pow(r, -F.col("_at")), F.pow(r, F.lit(block - 1) - F.col("_at"))
+        known = lambda w, x=x: F.when(x.isNotNull(), w)
+        inner |= {f"_n_{name}": F.sum(x * weight).over(upto) * F.pow(r, F.col("_at")), f"_d_{name}": F.sum(known(weight)).over(upto) * F.pow(r, F.col("_at"))}
+        ends += [F.coalesce(F.sum(x * left), F.lit(0.0)).alias(f"n_{name}"), F.coalesce(F.sum(known(left)), F.lit(0.0)).alias(f"d_{name}")]
+
+    def hand_on(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("_block")
+        out = g[keys].copy()
+        for name, r in keep.items():
+            far, mean, weight, means, weights = r**block, None, 0.0, [], []
+            for n, d in zip(g[f"n_{name}"], g[f"d_{name}"], strict=True):
+                means.append(mean)
+                weights.append(weight)
+                total = d + weight * far
+                mean = (n + (mean or 0.0) * weight * far) / total if total > 0 else mean
+                weight = total
+            out[f"_m_{name}"], out[f"_w_{name}"] = pd.array(means, "Float64"), weights
+        return out
+
+    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`_m_{n}` double, `_w_{n}` double" for n in columns])
+    carried = df.groupBy(*keys).agg(*ends).groupBy(*tracks.keys).applyInPandas(hand_on, kinds)
+    out, made = df.withColumns(inner).join(carried, keys), {}
+    for name in columns:
+        weight = F.col(f"_w_{name}") * F.pow(F.lit(keep[name]), F.col("_at") + 1)
+        total = F.coalesce(f"_d_{name}", F.lit(0.0)) + weight
+        mean = (F.coalesce(f"_n_{name}", F.lit(0.0)) + F.coalesce(f"_m_{name}", F.lit(0.0)) * weight) / total
+        made[name] = F.when(total > 0, mean).otherwise(F.col(f"_m_{name}"))
+    return out.withColumns(made).drop("_at", "_block", *inner, *[f"_{k}_{n}" for n in columns for k in "mw"])
 
 
 def missing_streak(df: DataFrame, tracks: Tracks, missing: dict[str, Column]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import series
 from ..functions.frames import Tracks, ind, norm, per_fps, scale, wrap_once
 from ..operators import evaluate, intervals, learn, meta, reshape
+from . import feature_queries
 from .pair import pair_features
 from .single import single_features
 
@@ -527,6 +528,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _query()(flagship)
 
+for _name, (_made, _text) in feature_queries.all_groups(tracks, TRACKS).items():
+    _queries[_name], _sql[_name] = _made, _text
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)

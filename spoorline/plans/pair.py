@@ -195,28 +195,32 @@ def _contact(b: Layers, parts: list[str]) -> None:
         b.rolls(2, F.col(f"{s}_front_contact_5"), {f"{s}_contact_duration_{{w}}": SUM}, [30, 60], None, least=1)
 
 
-def pair_features(df: DataFrame, parts: list[str], keys: list[str], frame: str = "frame") -> DataFrame:
-    """(keys, frame, features) of ordered pairs as ``ordered_pairs`` gives them, with fps; one shuffle and sort on the keys."""
+GROUPS = ("missing", "posture", "ends", "chase", "bodies", "contact")
+
+
+def pair_features(df: DataFrame, parts: list[str], keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """(keys, frame, features) of ordered pairs as ``ordered_pairs`` gives them, with fps; ``groups`` limits what is computed."""
     t = Tracks(keys, frame)
 
     def build(rows: DataFrame, fps: float) -> DataFrame:
-        b = Layers(t, fps)
-        _distances(b, parts)
-        a_miss, a_nose, a_centre = missing_layer(b, parts, "A_", "A_")
-        b_miss, b_nose, b_centre = missing_layer(b, parts, "B_", "B_")
-        mean = b.let(1, "AB_kp_missing_ratio_mean", (a_miss + b_miss) / 2)
-        b.let(1, "AB_kp_missing_ratio_diff", a_miss - b_miss)
-        b.let(1, "AB_both_center_ok", a_centre * b_centre)
-        b.rolls(2, mean, {"AB_miss_m{w}": M}, [15, 30, 60, 120], 5)
-        _posture(b, parts)
-        _noses_tails_ears(b, parts)
-        _chase(b, parts)
-        _bodies(b, parts)
-        _contact(b, parts)
+        b, streaks = Layers(t, fps), {}
+        if "posture" in groups:
+            _distances(b, parts)
+        if "missing" in groups:
+            a_miss, a_nose, a_centre = missing_layer(b, parts, "A_", "A_")
+            b_miss, b_nose, b_centre = missing_layer(b, parts, "B_", "B_")
+            mean = b.let(1, "AB_kp_missing_ratio_mean", (a_miss + b_miss) / 2)
+            b.let(1, "AB_kp_missing_ratio_diff", a_miss - b_miss)
+            b.let(1, "AB_both_center_ok", a_centre * b_centre)
+            b.rolls(2, mean, {"AB_miss_m{w}": M}, [15, 30, 60, 120], 5)
+            streaks = {"A_nose_missing_streak": a_nose < 0.5, "B_nose_missing_streak": b_nose < 0.5}
+        for name, build_group in (("posture", _posture), ("ends", _noses_tails_ears), ("chase", _chase), ("bodies", _bodies), ("contact", _contact)):
+            if name in groups:
+                build_group(b, parts)
         rows = rows.withColumns(b.at.pop(0))
-        rows = series.missing_streak(rows, t, {"A_nose_missing_streak": a_nose < 0.5, "B_nose_missing_streak": b_nose < 0.5})
+        if streaks:
+            rows = series.missing_streak(rows, t, streaks)
         rows = b.apply(rows)
-        names = [*b.names, "A_nose_missing_streak", "B_nose_missing_streak"]
-        return rows.select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in names])
+        return rows.select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in [*b.names, *streaks]])
 
     return per_fps(df, build)
