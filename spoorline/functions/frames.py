@@ -38,6 +38,12 @@ def norm(x: Column, y: Column) -> Column:
     return F.sqrt(x * x + y * y)
 
 
+def cosine(a: str, b: str) -> Column:
+    """Of two array columns of doubles."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+
+
 def clip(x: Column, low: Column | float | None = None, high: Column | float | None = None) -> Column:
     """Bounded; a NULL stays NULL."""
     out = x

@@ -18,6 +18,11 @@ def f1_by(df: DataFrame, keys: list[str], label: str, predicted: str) -> DataFra
     return counts.select(*keys, f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
 
 
+def mean_f1(scores: DataFrame) -> DataFrame:
+    """(f1): the mean over rows of ``f1_by``."""
+    return scores.agg(F.avg("f1").alias("f1"))
+
+
 def sweep(df: DataFrame, keys: list[str], label: str, score: str, steps: int = 100) -> DataFrame:
     """(keys, threshold, f1): F1 of score >= threshold for thresholds 0, 1/steps, ..., 1.
 

@@ -61,13 +61,18 @@ def without_overlaps(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(*keys, F.explode(chosen).alias("_r")).select(*keys, "_r.*").select(*columns)
 
 
+def unpredicted(videos: DataFrame, found: DataFrame) -> DataFrame:
+    """``videos`` whose video_id has no row in ``found``."""
+    return videos.join(found.select("video_id").distinct(), "video_id", "left_anti")
+
+
 def default_batches(listed: DataFrame, extent: DataFrame, found: DataFrame, compat: bool = False) -> DataFrame:
     """Intervals for recordings without any: their frames dealt to the actions that each (agent, target) lists.
 
     ``listed``: video_id, agent_id, target_id, action; ``extent``: video_id, lo, hi (frames, both included);
     ``found``: video_id of recordings with intervals. With ``compat`` empty batches stay.
     """
-    own = listed.distinct().join(found.select("video_id").distinct(), "video_id", "left_anti").join(extent, "video_id")
+    own = unpredicted(listed.distinct(), found).join(extent, "video_id")
     w = Window.partitionBy("video_id", "agent_id", "target_id")
     own = own.withColumn("i", F.row_number().over(w.orderBy("action")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
     own = own.withColumn("size", F.ceil((F.col("hi") + 1 - F.col("lo")) / F.col("n")).cast("long"))

@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,22 +28,53 @@ def flagged(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in features}).withColumns({f"_m_{c}": F.col(c).isNull().cast("double") for c in features})
 
 
-def out_of_fold(df: DataFrame, features: list[str], group: str, label: str = "label", folds: int = 5, **settings) -> DataFrame:
-    """``df`` (rows of known label) with fold and score. Groups stay in one fold; without positives every score is 0."""
+def once(df: DataFrame) -> DataFrame:
+    """``df`` computed once: in the session's checkpoint folder, or cached where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
+def out_of_fold(df: DataFrame, features: list[str], group: str, label: str = "label", folds: int = 5, save: str | None = None, **settings) -> DataFrame:
+    """``df`` (rows of known label) with fold and score. Groups stay in one fold; without positives every score is 0.
+
+    Features without any value are left out. With ``save`` the folds' models are written to ``save``/fold=<k>.
+    """
     df = df.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    assigned = df.join(group_folds(df, group, "label", folds), group)
-    if assigned.where("label = 1").isEmpty() or assigned.where("label = 0").isEmpty():
-        return assigned.withColumn("score", F.lit(0.0))
-    assigned = flagged(assigned, features)
+    assigned = once(flagged(df.join(group_folds(df, group, "label", folds), group), features))
+    known = assigned.agg(F.max("label").alias("_hi"), F.min("label").alias("_lo"), *[F.count(f"`{c}`").alias(c) for c in features]).first()
+    if known is None or known["_hi"] != 1 or known["_lo"] != 0:
+        return assigned.withColumn("score", F.lit(0.0)).drop(*[f"_m_{c}" for c in features])
+    used = [c for c in features if known[c]]
 
     def scored(k: int) -> DataFrame:
-        model = boosted_trees(features, **settings).fit(assigned.where(F.col("fold") != k))
-        return model.transform(assigned.where(F.col("fold") == k)).withColumn("score", vector_to_array("probability")[1])
+        rows = assigned.where(F.col("fold") != k)
+        have = rows.agg(*[F.count(f"`{c}`").alias(c) for c in used]).first()
+        model = boosted_trees([c for c in used if have[c]], **settings).fit(rows)
+        if save:
+            model.write().overwrite().save(f"{save}/fold={k}")
+        return scores(model, assigned.where(F.col("fold") == k))
 
     # A fit is a long row of short jobs, so the folds are fitted at the same time.
     with ThreadPoolExecutor(folds) as pool:
-        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(scored), range(folds)))
-    return out.drop("_v", "rawPrediction", "probability", "prediction", *[f"_{x}_{c}" for c in features for x in "fm"])
+        own = [r.fold for r in assigned.select("fold").distinct().collect()]
+        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(scored), sorted(own)))
+    return out.drop(*[f"_m_{c}" for c in features])
+
+
+def scores(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
+    """``df`` (as ``flagged`` gives it) with the model's probability of 1."""
+    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    return out.drop("_v", "rawPrediction", "probability", "prediction", *[f"_f_{c}" for c in model.stages[0].getInputCols()])
+
+
+def mean_score(df: DataFrame, folder: str, folds: list[int], name: str) -> DataFrame:
+    """``df`` with the mean probability of the models saved in ``folder``."""
+    models = [PipelineModel.load(f"{folder}/fold={k}") for k in folds]
+    features = sorted({c for m in models for c in m.stages[0].getInputCols()})
+    own = [f"_s{i}" for i in range(len(models))]
+    out = flagged(df, features)
+    for model, s in zip(models, own, strict=True):
+        out = scores(model, out, s)
+    return out.withColumn(name, sum(F.col(s) for s in own) / len(own)).drop(*own, *[f"_m_{c}" for c in features])
 
 
 def tuned_threshold(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -52,14 +52,17 @@ def vocabulary(train: DataFrame, columns: tuple[str, ...] = CATEGORIES, limit: i
     return out
 
 
-def _known(c: str, values: list[str]) -> Column:
+def _known(c: str, values: list[str], compat: bool) -> Column:
     text = F.col(c).cast("string")
-    return F.when(text.isNull(), F.lit(MISSING)).when(text.isin(*values) if values else F.lit(False), text).otherwise(F.lit(UNKNOWN))
+    return F.when(text.isNull(), F.lit(UNKNOWN if compat else MISSING)).when(text.isin(*values) if values else F.lit(False), text).otherwise(F.lit(UNKNOWN))
 
 
-def one_hot(vocab: dict[str, list[str]]) -> dict[str, Column]:
-    """``column=value`` over the vocabulary, the unknown and the missing value."""
-    return {f"{c}={v}": (_known(c, values) == v).cast("byte") for c, values in vocab.items() for v in [*values, UNKNOWN, MISSING]}
+def one_hot(vocab: dict[str, list[str]], compat: bool = True) -> dict[str, Column]:
+    """``column=value`` over the vocabulary, the unknown and the missing value.
+
+    With ``compat``, as surveyed, a missing value counts as unknown, so the column of the missing value is always 0.
+    """
+    return {f"{c}={v}": (_known(c, values, compat) == v).cast("byte") for c, values in vocab.items() for v in [*values, UNKNOWN, MISSING]}
 
 
 def label_codes(vocab: dict[str, list[str]]) -> dict[str, Column]:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import series
+from ..functions.frames import Tracks, per_fps
+
 #: Parts that are dropped from recordings of more than five parts.
 NOISY_PARTS = (
     "headpiece_bottombackleft", "headpiece_bottombackright", "headpiece_bottomfrontleft", "headpiece_bottomfrontright",
@@ -80,10 +83,10 @@ def paint_labels(frames: DataFrame, intervals: DataFrame, listed: DataFrame, key
     An annotated action that is not listed gives its 1s only. Intervals become their frames, so the join is an
     equi-join whatever their lengths.
     """
-    painted = intervals.where("start_frame <= stop_frame").select(*keys, "action", F.explode(F.sequence("start_frame", "stop_frame")).alias(frame)).distinct()
-    ones = frames.select(*keys, frame).join(painted, [*keys, frame]).withColumn("label", F.lit(1))
-    zeros = frames.select(*keys, frame).join(listed.select(*keys, "action").distinct(), keys).join(painted, [*keys, frame, "action"], "left_anti").withColumn("label", F.lit(0))
-    return zeros.unionByName(ones)
+    painted = intervals.where("start_frame <= stop_frame").select(*keys, "action", F.explode(F.sequence("start_frame", "stop_frame")).alias(frame), F.lit(1).alias("label"))
+    ones = frames.select(*keys, frame).join(painted, [*keys, frame])
+    zeros = frames.select(*keys, frame).join(listed.select(*keys, "action").distinct(), keys).withColumn("label", F.lit(0))
+    return zeros.unionByName(ones).groupBy(*keys, frame, "action").agg(F.max("label").alias("label"))
 
 
 def with_fps(tracks: DataFrame, meta: DataFrame, lookup: DataFrame | None = None, default: float = 30.0) -> DataFrame:
@@ -108,10 +111,41 @@ def union_all(*tables: DataFrame) -> DataFrame:
     return out
 
 
-def samples(points: DataFrame, meta: DataFrame, parts: list[str]) -> DataFrame:
-    """Scaled wide tracks of the recordings in ``meta``: the generator that features and labels start from."""
+def head(df: DataFrame, order: list, n: int) -> DataFrame:
+    """The first ``n`` rows in an order: a preview."""
+    return df.orderBy(*order).limit(n)
+
+
+def distinct_values(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, values): the sorted distinct values of each key."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_set(column)).alias("values"))
+
+
+def frame_extent(points: DataFrame, frame: str = "video_frame") -> DataFrame:
+    """(video_id, lo, hi): first and last frame of each recording."""
+    return points.groupBy("video_id").agg(F.min(frame).cast("long").alias("lo"), F.max(frame).cast("long").alias("hi"))
+
+
+def arenas(*metas: DataFrame) -> DataFrame:
+    """(video_id, arena_width_cm, arena_height_cm, arena_shape) over all tables; the first table that knows a recording wins."""
+    columns = ["video_id", "arena_width_cm", "arena_height_cm", "arena_shape"]
+    every = union_all(*[m.select(*columns, F.lit(i).alias("_rank")) for i, m in enumerate(metas)])
+    return first_of(every, ["video_id"], ["_rank", *columns[1:]]).drop("_rank")
+
+
+def sections(meta: DataFrame) -> DataFrame:
+    """(section, body_parts_tracked): places of the distinct lists of parts in their order; the first, 0, is left out."""
+    known = meta.where("body_parts_tracked is not null").select("body_parts_tracked").distinct()
+    placed = known.withColumn("section", F.row_number().over(Window.orderBy("body_parts_tracked")) - 1)  # a handful of part lists
+    return placed.where("section >= 1").select("section", "body_parts_tracked")
+
+
+def samples(points: DataFrame, meta: DataFrame, parts: list[str], gap_seconds: float = 0.25) -> DataFrame:
+    """Scaled wide tracks of the recordings in ``meta``, with gaps up to ``gap_seconds`` filled (one frame at least)."""
     used = drop_noisy_parts(points.join(meta.select("video_id", "pix_per_cm_approx"), "video_id"))
-    return with_fps(pivot_parts(rescale(used), parts), meta)
+    wide = with_fps(pivot_parts(rescale(used), parts), meta)
+    tracks, columns = Tracks(["video_id", "mouse_id"], "video_frame"), [f"{p}_{a}" for p in parts for a in "xy"]
+    return per_fps(wide, lambda rows, fps: series.gap_fill(rows, tracks, columns, max(1, round(gap_seconds * fps))))
 
 
 def solution(annotations: DataFrame, meta: DataFrame, skip_prefix: str = "MABe22_") -> DataFrame:

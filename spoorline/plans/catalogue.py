@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..functions.frames import Tracks, ind, norm, per_fps, scale, wrap_once
+from ..functions.frames import Tracks, cosine, ind, norm, per_fps, scale
 from ..operators import evaluate, intervals, learn, meta, reshape
+from ..sources import tables
 from . import feature_queries
 from .pair import pair_features
 from .single import single_features
@@ -99,13 +100,13 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""select doc_id, upper(lang) as lang_upper, round(n_chars / 12.5, 6) as scaled, contains(text, 'the') as has_word
     from documents where not starts_with(source, 'src1') and lang is not null""")
 def scan_filter_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents").where(~F.col("source").startswith("src1") & F.col("lang").isNotNull())
+    d = tables.without_prefix(_table(spark, sf_dir, "documents"), "source", "src1").where("lang is not null")
     return d.select("doc_id", F.upper("lang").alias("lang_upper"), r6(F.col("n_chars") / 12.5).alias("scaled"), F.col("text").contains("the").alias("has_word"))
 
 
 @_query(f"with {TRACKS} select track, frame, cast(x is not null as int) + cast(y is not null as int) as n_known from t")
 def derived_null_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).select("track", "frame", (F.col("x").isNotNull().cast("int") + F.col("y").isNotNull().cast("int")).alias("n_known"))
+    return tracks(spark, sf_dir).select("track", "frame", tables.count_known(["x", "y"]).alias("n_known"))
 
 
 _META = {
@@ -133,11 +134,12 @@ def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("o_orderkey", *[F.round(made[n], 4).alias(n) for n in _META_OUT])
 
 
-@_query("""select o_orderkey, cast(o_orderpriority = '1-URGENT' as int) as urgent, cast(o_orderpriority = '2-HIGH' as int) as high,
-    cast(o_orderpriority not in ('1-URGENT', '2-HIGH') as int) as other, 0 as none,
-    case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end as code from orders""")
+@_query("""select o_orderkey, cast(coalesce(p = '1-URGENT', false) as int) as urgent, cast(coalesce(p = '2-HIGH', false) as int) as high,
+    cast(coalesce(p not in ('1-URGENT', '2-HIGH'), true) as int) as other, 0 as none,
+    case p when '1-URGENT' then 0 when '2-HIGH' then 1 else 2 end as code
+    from (select o_orderkey, case when o_orderkey % 7 <> 3 then o_orderpriority end as p from orders)""")
 def onehot_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders")
+    o = _table(spark, sf_dir, "orders").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 != 3, F.col("o_orderpriority")))
     vocab = meta.vocabulary(o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")), ("o_orderpriority",))
     made = meta.one_hot(vocab)
     names = {"1-URGENT": "urgent", "2-HIGH": "high", meta.UNKNOWN: "other", meta.MISSING: "none"}
@@ -162,12 +164,12 @@ def noisy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""select l_orderkey, l_partkey, l_suppkey, coalesce(case when p_size < 25 then p_size end, case when s_suppkey % 3 = 0 then s_nationkey end, 30)::double as rate
-    from lineitem left join part on l_partkey = p_partkey left join supplier on l_suppkey = s_suppkey""")
+    from lineitem left join part on l_partkey = p_partkey left join supplier on l_partkey = s_suppkey""")
 def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") < 25, F.col("p_size")).alias("own"))
-    s = _table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("other"))
-    return li.join(p, "l_partkey", "left").join(s, "l_suppkey", "left").select("l_orderkey", "l_partkey", "l_suppkey", F.coalesce("own", "other", F.lit(30)).cast("double").alias("rate"))
+    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("video_id"), "l_suppkey")
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("video_id"), F.when(F.col("p_size") < 25, F.col("p_size")).alias("frames_per_second"))
+    s = _table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("video_id"), F.col("s_nationkey").alias("fps"))
+    return reshape.with_fps(li, p, s).select("l_orderkey", F.col("video_id").alias("l_partkey"), "l_suppkey", F.col("fps").cast("double").alias("rate"))
 
 
 @_query(f"""with {TRACKS}, p as (select distinct track, unnest(generate_series(frame, frame + 5)) as frame from t where event_type = 'purchase')
@@ -190,13 +192,16 @@ def ordered_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select c_custkey, c_name from customer c where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 10 = 0)")
 def anti_join_unpredicted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    own = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("video_id"), "c_name")
+    found = _table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("video_id"))
+    return intervals.unpredicted(own, found).withColumnRenamed("video_id", "c_custkey")
 
 
 @_query("select c_custkey from customer where c_custkey in (select o_custkey from orders group by o_custkey having count(*) = 1)")
 def semi_join_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return _table(spark, sf_dir, "customer").join(one, "c_custkey", "left_semi").select("c_custkey")
+    actions = _table(spark, sf_dir, "customer").select(F.lit("1").alias("section"), F.col("c_custkey").alias("action"))
+    registry = _table(spark, sf_dir, "orders").select(F.lit("1").alias("section"), F.col("o_custkey").alias("action"), F.col("o_orderkey").alias("path"))
+    return tables.single_models(actions, registry).select(F.col("action").alias("c_custkey"))
 
 
 @_query("""select event_type as action, count(distinct user_id) as n_groups from events where value > 50 group by event_type having count(distinct user_id) >= 5""")
@@ -378,8 +383,7 @@ def contact_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("u"))
     o = e.select(F.col("vec_id").alias("other_id"), (F.col("vec_id") - 1).alias("vec_id"), F.col("u").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return e.join(o, "vec_id").select("vec_id", "other_id", r6(dot("u", "v") / F.sqrt(dot("u", "u") * dot("v", "v"))).alias("cosine"))
+    return e.join(o, "vec_id").select("vec_id", "other_id", r6(cosine("u", "v")).alias("cosine"))
 
 
 # --- decoding, cleaning, evaluation
@@ -492,12 +496,12 @@ def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 5")
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
+    return reshape.head(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"], 5)
 
 
 @_query("select o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as kinds from orders group by o_custkey")
 def sorted_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("kinds"))
+    return reshape.distinct_values(_table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderpriority").select("o_custkey", F.array_join("values", ",").alias("kinds"))
 
 
 @_query()
@@ -520,13 +524,33 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks, gap fill, smoothed speed, states, runs, then intervals without overlaps."""
     t = series.gap_fill(tracks(spark, sf_dir).select("track", "frame", "x", "y"), T, ["x", "y"], 8)
     t = t.withColumn("speed", norm(T.diff(F.col("x")), T.diff(F.col("y"))))
-    t = t.withColumn("calm", T.roll(F.avg, F.col("speed"), T.centred(5), 2)).withColumn("turn", wrap_once(F.col("speed")))
+    t = t.withColumn("calm", T.roll(F.avg, F.col("speed"), T.centred(5), 2))
     t = t.withColumn("action", F.when(F.col("calm") > 40, "run").when(F.col("calm") > 25, "walk"))
     found = intervals.runs(t, ["track"], "action")
     return intervals.without_overlaps(intervals.valid(found), ["track"])
 
 
-_query()(flagship)
+
+def _filled(c: str, limit: int) -> str:
+    """``c`` with its gaps filled over the columns before and after it."""
+    return f"""case when {c} is not null then {c} when {c}_pv is not null and {c}_nv is not null and frame - {c}_pr <= 2 * {limit} then {c}_pv + ({c}_nv - {c}_pv) * least(frame - {c}_pr, {limit}) / ({c}_nr - {c}_pr)
+        when {c}_pv is not null and {c}_nv is null and frame - {c}_pr <= {limit} then {c}_pv when {c}_nv is not null and {c}_nr - frame <= {limit} then {c}_nv end as {c}"""
+
+
+def _ends(c: str) -> str:
+    ahead, at = f"over ({BY} rows between current row and unbounded following)", f"case when {c} is not null then frame end"
+    return f"""last_value({c} ignore nulls) over ({BY}) as {c}_pv, last_value({at} ignore nulls) over ({BY}) as {c}_pr, first_value({c} ignore nulls) {ahead} as {c}_nv, first_value({at} ignore nulls) {ahead} as {c}_nr"""
+
+
+_query(f"""with recursive {TRACKS}, e as (select track, frame, x, y, {_ends('x')}, {_ends('y')} from t), g as (select track, frame, {_filled('x', 8)}, {_filled('y', 8)} from e),
+    d as (select *, sqrt(power(x - lag(x) over ({BY}), 2) + power(y - lag(y) over ({BY}), 2)) as speed from g),
+    c as (select track, frame, {_roll('avg', 'speed', _ce(5), 2)} as calm from d), s as (select track, frame, case when calm > 40 then 'run' when calm > 25 then 'walk' end as action from c), {_RUNS},
+    i as (select track, action, frame as start_frame, coalesce(nxt, last + 1) as stop_frame from n where action is not null),
+    o as (select *, row_number() over (partition by track order by start_frame, stop_frame, action) as k from i where start_frame < stop_frame),
+    w as (select *, true as keep, stop_frame as upto from o where k = 1
+        union all select o.*, o.start_frame >= w.upto, case when o.start_frame >= w.upto then o.stop_frame else w.upto end from o join w on o.track = w.track and o.k = w.k + 1)
+    select track, action, start_frame, stop_frame from w where keep""")(flagship)
+
 
 for _name, (_made, _text) in feature_queries.all_groups(tracks, TRACKS).items():
     _queries[_name], _sql[_name] = _made, _text

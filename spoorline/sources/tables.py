@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METADATA = """lab_id string, video_id long, behaviors_labeled string, body_parts_tracked string, frames_per_second double,
@@ -12,16 +14,28 @@ METADATA = """lab_id string, video_id long, behaviors_labeled string, body_parts
 TRACKING = "video_frame int, mouse_id int, bodypart string, x double, y double"
 ANNOTATION = "agent_id int, target_id int, action string, start_frame int, stop_frame int"
 INTERVALS = "video_id long, agent_id string, target_id string, action string, start_frame int, stop_frame int"
+#: Fixed value: recordings of labs whose name begins so have no labels.
+UNLABELLED = "MABe22"
 #: Fixed value: the row that stands for a result without rows.
 PLACEHOLDER = (438887472, "mouse1", "self", "rear", 278, 500)
 
 
-def read_metadata(spark: SparkSession, path: str, skip_prefix: str | None = "MABe22") -> DataFrame:
+def without_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose ``column`` does not begin with ``prefix``."""
+    return df.where(~F.col(column).startswith(prefix))
+
+
+def count_known(columns: list[str]) -> Column:
+    """How many of the columns are not NULL."""
+    return sum((F.col(c).isNotNull().cast("int") for c in columns), F.lit(0))
+
+
+def read_metadata(spark: SparkSession, path: str, skip_prefix: str | None = UNLABELLED) -> DataFrame:
     """One row per recording, with n_mice; recordings of an unlabelled lab are left out."""
-    meta = spark.read.schema(METADATA).option("header", True).csv(path)
+    meta = spark.read.schema(METADATA).option("header", True).option("escape", '"').csv(path)
     if skip_prefix:
-        meta = meta.where(~F.col("lab_id").startswith(skip_prefix))
-    return meta.withColumn("n_mice", sum(F.col(f"mouse{i}_strain").isNotNull().cast("int") for i in range(1, 5)))
+        meta = without_prefix(meta, "lab_id", skip_prefix)
+    return meta.withColumn("n_mice", count_known([f"mouse{i}_strain" for i in range(1, 5)]))
 
 
 def _per_video(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -62,6 +76,8 @@ def write_intervals(intervals: DataFrame, path: str) -> None:
         at += counts[p]
     rows = rows.join(F.broadcast(spark.createDataFrame(offsets, "_p int, _at long")), "_p")
     rows.select((F.col("_at") + F.col("_k")).alias("row_id"), *intervals.columns).write.mode("overwrite").option("header", True).csv(path)
+    staged_path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    staged_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_path, True)
 
 
 def single_models(actions: DataFrame, registry: DataFrame) -> DataFrame:
@@ -70,6 +86,15 @@ def single_models(actions: DataFrame, registry: DataFrame) -> DataFrame:
     return actions.join(one, ["section", "action"], "left_semi")
 
 
+def model_registry(spark: SparkSession, root: str) -> DataFrame:
+    """(section, action, path) of the models under ``root``/<section>/<kind>/<action>; one row per model folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(f"{root}/*/*/*")
+    found = [s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)]
+    rows = [(*(lambda p: (p[-3], unquote(p[-1])))(path.split("/")), path) for path in found]
+    return spark.createDataFrame(rows, "section string, action string, path string")
+
+
 def write_thresholds(thresholds: DataFrame, path: str) -> None:
     """(kind, section, action, threshold)."""
     thresholds.select("kind", "section", "action", F.col("threshold").cast("double")).write.mode("overwrite").parquet(path)

@@ -19,7 +19,9 @@ from spoorline.sources import tables
 SF = "/root/testdata/sf0.001"
 T = Tracks(["track"])
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
-HEAVY = {"all_single_features", "all_pair_features", "gbt_classifier_oof", "group_folds", "flagship"}
+#: Without SQL, or with plans of many columns; of the feature groups three are compared here.
+HEAVY = {"all_single_features", "all_pair_features", "gbt_classifier_oof", "group_folds"}
+HEAVY |= {n for n in catalogue.queries() if n.startswith(("single_", "pair_"))} - {"single_micro", "pair_ends", "pair_contact"}
 
 
 def track(spark, **columns):
@@ -58,6 +60,17 @@ def test_streak_rank_ewm_corr(spark):
     assert [None if v is None else round(v, 6) for v in got] == [None, -1, 0.654654, 0.654654, 1, 1]
 
 
+def test_ewm_hands_on_from_block_to_block(spark):
+    rng = np.random.default_rng(2)
+    x = pd.Series(rng.normal(0, 5, 300))
+    x[40:280] = np.nan
+    x[0:3] = np.nan
+    df = track(spark, x=[None if np.isnan(v) else v for v in x])
+    for span in (2, 30):
+        got = pd.Series(values(series.ewm_mean(df, T, {"e": ("x", span)}, block=16), "e"), dtype=float)
+        np.testing.assert_allclose(got, x.ewm(span=span, min_periods=1).mean(), rtol=1e-9)
+
+
 def test_states_and_changes(spark):
     df = track(spark, x=[None, 0.5, 0.6, 2, 5, 9]).withColumn("s", series.speed_state(F.col("x")))
     assert values(df, "s") == [None, 0, 1, 1, 2, 3]
