@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 from ._sample import sampled
+from ._scratch import Scratch
 
 #: Hashed features; labelled rows of each class in the linear model's sample.
 BITS, PER_CLASS = 18, 3_000
@@ -84,14 +85,15 @@ def log_count_ratios(counts: np.ndarray) -> np.ndarray:
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
     """Hinge-loss weights by dual coordinate descent over unit rows; a constant feature gives the bias."""
     rng, w, bias = np.random.default_rng(7), np.zeros(len(ratios)), 0.0
-    values = [ratios[f] for f in rows]
-    values = [v / n if (n := float(np.sqrt((v**2).sum()))) else v for v in values]
-    q = np.array([float((v**2).sum()) + 1.0 for v in values])
+    norm = np.array([float(np.sqrt((ratios[f] ** 2).sum())) for f in rows])
+    scale = np.divide(1.0, norm, out=np.zeros(len(rows)), where=norm > 0)
+    q = np.where(norm > 0, 2.0, 1.0)
     alpha = np.zeros(len(rows))
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i], values[i]
+            f = rows[i]
+            v = ratios[f] * scale[i]
             g = y[i] * (float(w[f] @ v) + bias) - 1
             new = min(max(alpha[i] - g / q[i], 0.0), c)
             d = (new - alpha[i]) * y[i]
@@ -122,15 +124,15 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Model:
     """A model from rows of ``labels`` (doc_id, quality 0 or 1) outside the held-out fold.
 
-    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver; Spark broadcasts the
-    labels only where they are small by its own threshold); the linear model
+    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver). The labels are written
+    once, so that Spark knows their size and broadcasts them only where it is under its own threshold. The linear model
     is fitted on a hashed sample of about 3,000 rows of each class, and its sigmoid on a fifth of them that it
     has not seen, weighted to the share of the classes. Without rows of both classes every score is the share
     of class 1, or a half if there are no labels.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.where(~held_out(F.col("doc_id"), folds, fold))
+    known = Scratch(docs.sparkSession).write(known.where(~held_out(F.col("doc_id"), folds, fold)))
     size = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(size) < 2:
         share = 0.5 if not size else 0.999 if 1 in size else 0.001
@@ -141,10 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Mo
     ratios = log_count_ratios(counts)
     part = F.when(F.col("y") == 1, min(1.0, PER_CLASS / size[1])).otherwise(min(1.0, PER_CLASS / size[0]))
     picked = known.where(sampled("doc_id", part)).distinct()
-    sample = docs.join(F.broadcast(picked), "doc_id").mapInArrow(_rows, "doc_id long, y int, f binary").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.y))
-    rows = [np.frombuffer(bytes(r.f), np.int32) for r in sample]
-    y = np.array([1.0 if r.y else -1.0 for r in sample])
+    sample = docs.join(F.broadcast(picked), "doc_id").mapInArrow(_rows, "doc_id long, y int, f binary").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("f", "ascending")])
+    rows = [np.frombuffer(f.as_buffer(), np.int32) for f in sample.column("f")]
+    y = np.where(sample.column("y").to_numpy() == 1, 1.0, -1.0)
     test = np.arange(len(rows)) % 5 == 4
     weights, bias = dual_descent([f for f, t in zip(rows, test, strict=True) if not t], y[~test], ratios)
     model = Model(weights, ratios, bias, 1.0, 0.0)
