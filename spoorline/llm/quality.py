@@ -14,8 +14,9 @@ from . import _text
 from ._sample import sampled
 from ._scratch import Scratch
 
-#: Hashed features; labelled rows of each class in the linear model's sample.
-BITS, PER_CLASS = 18, 3_000
+#: Hashed features; labelled rows of each class in the linear model's sample; label rows (12 bytes each) up to which they are
+#: broadcast, 6 MB in all.
+BITS, PER_CLASS, BROADCAST_ROWS = 18, 3_000, 500_000
 _KIND = np.zeros(256, np.uint8)
 _KIND[33:127] = 2
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
@@ -124,8 +125,8 @@ def _platt(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Model:
     """A model from rows of ``labels`` (doc_id, quality 0 or 1) outside the held-out fold.
 
-    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver). The labels are written
-    once, so that Spark knows their size and broadcasts them only where it is under its own threshold. The linear model
+    Log-count ratios count the features of all these rows (2^18 rows at most reach the driver). Up to 500,000
+    labels are broadcast to the texts; more are joined as Spark sees fit, with the same result. The linear model
     is fitted on a hashed sample of about 3,000 rows of each class, and its sigmoid on a fifth of them that it
     has not seen, weighted to the share of the classes. Without rows of both classes every score is the share
     of class 1, or a half if there are no labels.
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1) -> Mo
         share = 0.5 if not size else 0.999 if 1 in size else 0.001
         none = np.zeros(1 << BITS)
         return Model(none, none, 0.0, 1.0, float(np.log(share / (1 - share))))
-    train = docs.join(known, "doc_id")
+    train = docs.join(F.broadcast(known) if sum(size.values()) <= BROADCAST_ROWS else known, "doc_id")
     counts = train.select("y", "text").mapInArrow(_class_counts, "f int, n0 long, n1 long").groupBy("f").agg(F.sum("n0"), F.sum("n1")).toPandas().to_numpy()
     ratios = log_count_ratios(counts)
     part = F.when(F.col("y") == 1, min(1.0, PER_CLASS / size[1])).otherwise(min(1.0, PER_CLASS / size[0]))
