@@ -23,7 +23,9 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 
 def _spelled(text: Column) -> Column:
     """In lower case, with a space for all beyond ASCII that is neither a letter nor a mark on one."""
-    return F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{M}\x00-\x7F]+", " ")
+    low = F.lower(text.cast("string"))
+    # As many bytes as characters: all ASCII, nothing to replace.
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, r"[^\p{L}\p{M}\x00-\x7F]+", " "))
 
 
 @dataclass
@@ -144,14 +146,14 @@ def fit(docs: DataFrame, folds: int = 5, fold: int = 0) -> Model:
     and two at random, so chains switch languages as mixed texts do. Weights follow the likelihood's gradient, observed less expected features and
     moves, by AdaGrad.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _spelled(F.col("text")).alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
     size = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(size)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0)), np.empty(0, np.uint64), np.zeros((0, 0)), np.zeros((0, 0)))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, DOCS_PER_LANG / size[lang]))])
-    sample = known.where(sampled("doc_id", share[F.col("lang")])).distinct().collect()
+    sample = known.where(sampled("doc_id", share[F.col("lang")])).withColumn("text", _spelled(F.col("text"))).distinct().collect()
     sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     data, offsets = np.frombuffer(b"".join(r.text.encode() for r in sample), np.uint8), np.cumsum([0] + [len(r.text.encode()) for r in sample])
     w = read_words(data, offsets)
