@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL for those that SQL can express."""
+"""The registered queries of the operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tables, decontaminate, langid, licenses, lines, minhash, pii, quality, subspace, token_counts
+from . import bpe_tables, decontaminate, langid, licenses, lines, minhash, periodic, pii, quality, subspace, token_counts, toxicity, whitening
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: For SQL: text with A-Z in lower case, and the words in it.
@@ -92,8 +92,39 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tables.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digest=True)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document by clauses with insults or threats, learned from the labels outside a fifth of the ids."""
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest periodic run of each document, and digests of all its runs and of its words without repeats."""
+    out = periodic.periodic_runs(_table(spark, sf_dir, "documents"), periodic.rewritten)
+    best = F.array_sort("runs", lambda a, b: F.coalesce(*[F.when(x != y, F.when(x < y, -1).otherwise(1)) for x, y in ((b["length"], a["length"]), (a["start"], b["start"]), (a["period"], b["period"]))], F.lit(0)))
+    out = out.withColumn("best", F.get(best, F.lit(0)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, whitening.fit(vectors))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_minhash, op2_pii, op3_lines, op4_langid, op5_subspace, op6_token_counts, op7_quality, op8_licenses, op9_decontaminate, op10_bpe)
+    own = (op1_minhash, op2_pii, op3_lines, op4_langid, op5_subspace, op6_token_counts, op7_quality, op8_licenses, op9_decontaminate, op10_bpe, op11_toxicity, op12_periodic, op13_whitening)
     return {f.__name__: f for f in own}
 
 
