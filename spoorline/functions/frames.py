@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-6
@@ -107,17 +107,3 @@ class Tracks:
     def roll(agg: Callable[[Column], Column], x: Column, frame: WindowSpec, least: int = 1) -> Column:
         """NULL where the frame has fewer than ``least`` values."""
         return F.when(F.count(x).over(frame) >= least, agg(x).over(frame))
-
-
-def per_fps(df: DataFrame, build: Callable[[DataFrame, float], DataFrame], fps: str = "fps", default: float = REFERENCE_FPS) -> DataFrame:
-    """``build`` for the rows of each frame rate, since frames need literal bounds; a missing rate is the default's.
-
-    The distinct rates (a handful of camera settings) are the only rows that reach the driver.
-    """
-    df = df.withColumn(fps, F.coalesce(F.col(fps).cast("double"), F.lit(default)))
-    rates = sorted(r[0] for r in df.select(fps).distinct().collect()) or [default]
-    out = None
-    for rate in rates:
-        part = build(df.where(F.col(fps) == rate), rate)
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -2,110 +2,19 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import Tracks, changed, clip
+from .frames import Tracks, changed
+from .quantiles import track_quantiles, within
+from .rolling import meet
 
 
-def roll_quantile(x: Column, q: float, frame: WindowSpec, least: int) -> Column:
-    """Linear-interpolated quantile of the frame's values."""
-    return F.when(F.count(x).over(frame) >= least, F.percentile(x, F.lit(q)).over(frame))
-
-
-def roll_rank_pct(x: Column, frame: WindowSpec, least: int) -> Column:
-    """Rank of the current value within its frame, ties averaged, over the number of values."""
-    values = F.collect_list(x).over(frame)
-    below, equal = F.size(F.filter(values, lambda v: v < x)), F.size(F.filter(values, lambda v: v == x))
-    rank = F.try_divide(below + (equal + F.lit(1)) / F.lit(2.0), F.size(values).cast("double"))
-    return F.when(x.isNotNull() & (F.count(x).over(frame) >= least), rank)
-
-
-def roll_corr(x: Column, y: Column, frame: WindowSpec, least: int) -> Column:
-    """Pearson correlation of the frame's complete pairs from its moments; NULL where a side does not vary.
-
-    Pass columns that are centred per track: less of the moments cancels then.
-    """
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    n = F.count(a).over(frame)
-    sx, sy = F.sum(a).over(frame), F.sum(b).over(frame)
-    cov = n * F.sum(a * b).over(frame) - sx * sy
-    vx, vy = n * F.sum(a * a).over(frame) - sx * sx, n * F.sum(b * b).over(frame) - sy * sy
-    r = F.when((vx > 1e-12) & (vy > 1e-12), F.try_divide(cov, F.sqrt(vx) * F.sqrt(vy)))
-    return F.when(n >= least, clip(r, -1, 1))
-
-
-def lagged_abs_diff(a: Column, b: Column, tracks: Tracks, size: int) -> Column:
-    """Mean absolute difference over the ``size`` rows before the current one, if all of them are known."""
-    gap, frame = F.abs(a - b), tracks.before(size)
-    return F.when(F.count(gap).over(frame) == size, F.avg(gap).over(frame))
-
-
-def ewm_mean(df: DataFrame, tracks: Tracks, columns: dict[str, tuple[str, int]], block: int = 256) -> DataFrame:
-    """``df`` with exponentially weighted means: name -> (column, span above 1). Weights decay over missing rows too.
-
-    A track is cut into blocks of rows. Windows sum within a block; each block's sums (one row of them) are handed on
-    from block to block in pandas and met by the block's rows again. So no row of a track goes through Python, and a
-    long track is no large group. A mean is handed on beside its weight, which may decay to nothing in a long gap.
-    """
-    keys = [*tracks.keys, "_block"]
-    df = df.withColumn("_at", F.row_number().over(tracks.rows) - 1)
-    df = df.withColumn("_block", F.floor(F.col("_at") / block).cast("long")).withColumn("_at", F.col("_at") % block)
-    upto = Tracks(keys, tracks.order).rows.rowsBetween(Window.unboundedPreceding, 0)
-    keep = {name: 1 - 2 / (span + 1) for name, (_, span) in columns.items()}
-    inner, ends = {}, []
-    for name, (column, _) in columns.items():
-        x, r = F.col(column).cast("double"), F.lit(keep[name])
-        weight, left = F.pow(r, -F.col("_at")), F.pow(r, F.lit(block - 1) - F.col("_at"))
-        known = lambda w, x=x: F.when(x.isNotNull(), w)
-        inner |= {f"_n_{name}": F.sum(x * weight).over(upto) * F.pow(r, F.col("_at")), f"_d_{name}": F.sum(known(weight)).over(upto) * F.pow(r, F.col("_at"))}
-        ends += [F.coalesce(F.sum(x * left), F.lit(0.0)).alias(f"n_{name}"), F.coalesce(F.sum(known(left)), F.lit(0.0)).alias(f"d_{name}")]
-
-    def hand_on(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("_block")
-        out = g[keys].copy()
-        for name, r in keep.items():
-            far, mean, weight, means, weights = r**block, None, 0.0, [], []
-            for n, d in zip(g[f"n_{name}"], g[f"d_{name}"], strict=True):
-                means.append(mean)
-                weights.append(weight)
-                total = d + weight * far
-                mean = (n + (mean or 0.0) * weight * far) / total if total > 0 else mean
-                weight = total
-            out[f"_m_{name}"], out[f"_w_{name}"] = pd.array(means, "Float64"), weights
-        return out
-
-    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [f"`_m_{n}` double, `_w_{n}` double" for n in columns])
-    carried = df.groupBy(*keys).agg(*ends).groupBy(*tracks.keys).applyInPandas(hand_on, kinds)
-    out, made = df.withColumns(inner).join(carried, keys), {}
-    for name in columns:
-        weight = F.col(f"_w_{name}") * F.pow(F.lit(keep[name]), F.col("_at") + 1)
-        total = F.coalesce(f"_d_{name}", F.lit(0.0)) + weight
-        mean = (F.coalesce(f"_n_{name}", F.lit(0.0)) + F.coalesce(f"_m_{name}", F.lit(0.0)) * weight) / total
-        made[name] = F.when(total > 0, mean).otherwise(F.col(f"_m_{name}"))
-    return out.withColumns(made).drop("_at", "_block", *inner, *[f"_{k}_{n}" for n in columns for k in "mw"])
-
-
-def missing_streak(df: DataFrame, tracks: Tracks, missing: dict[str, Column]) -> DataFrame:
-    """``df`` with name -> place in the current run of missing rows, 0 where present.
-
-    A run counts from 1 if it opens the track, else from 2: the present row before it belongs to its island.
-    """
-    spans = {f"_i_{n}": F.sum(F.when(m, 0).otherwise(1)).over(tracks.rows.rowsBetween(Window.unboundedPreceding, 0)) for n, m in missing.items()}
-    df = df.withColumns(spans)
-    first = {}
-    for n, m in missing.items():
-        island = Tracks([*tracks.keys, f"_i_{n}"], tracks.order)
-        first[n] = F.when(m, F.row_number().over(island.rows)).otherwise(0).cast("double")
-    return df.withColumns(first).drop(*spans)
-
-
-def gap_fill(df: DataFrame, tracks: Tracks, columns: list[str], limit: int) -> DataFrame:
-    """``df`` with gaps filled: at most ``limit`` rows of a gap on the line between its ends, then ``limit`` rows of the
+def gap_fill(df: DataFrame, tracks: Tracks, columns: list[str], limit: int | Column) -> DataFrame:
+    """``df`` with gaps filled: at most ``limit`` (of the track) rows of a gap on the line between its ends, then ``limit`` rows of the
     value before, then ``limit`` rows of the value after; the rest of a long gap stays missing."""
     past, ahead = tracks.rows.rowsBetween(Window.unboundedPreceding, 0), tracks.rows.rowsBetween(0, Window.unboundedFollowing)
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
     df = df.withColumn("_n", F.row_number().over(tracks.rows))
     ends = {}
     for c in columns:
@@ -116,10 +25,10 @@ def gap_fill(df: DataFrame, tracks: Tracks, columns: list[str], limit: int) -> D
     for c in columns:
         p, q, n = F.col(f"_p_{c}"), F.col(f"_q_{c}"), F.col("_n")
         k = n - p["n"]
-        line = p["v"] + (q["v"] - p["v"]) * F.least(k, F.lit(limit)) / (q["n"] - p["n"])
+        line = p["v"] + (q["v"] - p["v"]) * F.least(k, limit) / (q["n"] - p["n"])
         filled[c] = (
             F.when(F.col(c).isNotNull(), F.col(c))
-            .when(p.isNotNull() & q.isNotNull() & (k <= 2 * limit), line)
+            .when(p.isNotNull() & q.isNotNull() & (k <= limit * 2), line)
             .when(p.isNotNull() & q.isNull() & (k <= limit), p["v"])
             .when(q.isNotNull() & (q["n"] - n <= limit), q["v"])
         )
@@ -136,8 +45,6 @@ def change_flag(x: Column, tracks: Tracks) -> Column:
 
 
 def winsorised(df: DataFrame, tracks: Tracks, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``df`` with ``_w_<column>`` bounded by the track's own quantiles, which one aggregation finds."""
-    limits = df.groupBy(*tracks.keys).agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_l_{c}") for c in columns])
-    df = df.join(limits, tracks.keys)
-    bounded = {f"_w_{c}": F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.col(f"_l_{c}")[0]), F.col(f"_l_{c}")[1])) for c in columns}
-    return df.withColumns(bounded).drop(*[f"_l_{c}" for c in columns])
+    """``df`` with ``_w_<column>`` bounded by the track's own exact quantiles."""
+    df = meet(df, track_quantiles(df, tracks.keys, columns, (low, high)), tracks.keys)
+    return df.withColumns({f"_w_{c}": within(F.col(c), f"_l_{c}") for c in columns}).drop(*[f"_l_{c}" for c in columns])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..functions.frames import Tracks, per_fps
+from ..functions.frames import Tracks
 
 #: Parts that are dropped from recordings of more than five parts.
 NOISY_PARTS = (
@@ -145,7 +145,7 @@ def samples(points: DataFrame, meta: DataFrame, parts: list[str], gap_seconds: f
     used = drop_noisy_parts(points.join(meta.select("video_id", "pix_per_cm_approx"), "video_id"))
     wide = with_fps(pivot_parts(rescale(used), parts), meta)
     tracks, columns = Tracks(["video_id", "mouse_id"], "video_frame"), [f"{p}_{a}" for p in parts for a in "xy"]
-    return per_fps(wide, lambda rows, fps: series.gap_fill(rows, tracks, columns, max(1, round(gap_seconds * fps))))
+    return series.gap_fill(wide, tracks, columns, F.greatest(F.bround(F.col("fps") * gap_seconds), F.lit(1.0)))
 
 
 def solution(annotations: DataFrame, meta: DataFrame, skip_prefix: str = "MABe22_") -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..functions.frames import Tracks, cosine, ind, norm, per_fps, scale
+from ..functions.frames import Tracks, cosine, ind, norm
+from ..functions.rolling import Roll, at_least, rolled, share
 from ..operators import evaluate, intervals, learn, meta, reshape
 from ..sources import tables
 from . import feature_queries
@@ -222,53 +223,53 @@ def lag_lead_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""with {TRACKS} select track, frame, round({_roll('avg', 'x', _tr(15), 3)}, 6) as trailing_15, round({_roll('avg', 'x', _ce(4), 2)}, 6) as centred_4,
     round({_roll('avg', 'x', _ce(15), 3)}, 6) as centred_15, round({_roll('avg', 'x', _tr(5), 5)}, 6) as full_5 from t""")
 def roll_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, frames = F.col("x"), {"trailing_15": (T.trailing(15), 3), "centred_4": (T.centred(4), 2), "centred_15": (T.centred(15), 3), "full_5": (T.trailing(5), 5)}
-    return tracks(spark, sf_dir).select("track", "frame", *[r6(T.roll(F.avg, x, w, n)).alias(k) for k, (w, n) in frames.items()])
+    frames = {"trailing_15": (15, "trailing", 3), "centred_4": (4, "centred", 2), "centred_15": (15, "centred", 3), "full_5": (5, "trailing", 5)}
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "x"), T, [Roll(k, "mean", ("x",), w, f, at_least(n)) for k, (w, f, n) in frames.items()])
+    return t.select("track", "frame", *[r6(F.col(k)).alias(k) for k in frames])
 
 
 @_query(f"""with {TRACKS} select track, frame, round(cast({_roll('stddev_samp', 'x', _ce(6), 1)} as float)::double, 3) as sd,
     round(cast({_roll('var_samp', 'x', _tr(10), 2)} as float)::double, 2) as var, round({_roll('sum', 'x', _tr(10), 2)}, 4) as total,
     {_roll('min', 'x', _ce(7), 1)} as low, {_roll('max', 'x', _ce(7), 1)} as high from t""")
 def roll_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, r = F.col("x"), T.roll
-    short = lambda c, n: F.round(c.cast("float").cast("double"), n)
-    return tracks(spark, sf_dir).select(
-        "track", "frame", short(r(F.stddev_samp, x, T.centred(6)), 3).alias("sd"), short(r(F.var_samp, x, T.trailing(10), 2), 2).alias("var"),
-        F.round(r(F.sum, x, T.trailing(10), 2), 4).alias("total"), r(F.min, x, T.centred(7)).alias("low"), r(F.max, x, T.centred(7)).alias("high"),
-    )
+    rolls = {"sd": ("std", 6, "centred", 1), "var": ("var", 10, "trailing", 2), "total": ("sum", 10, "trailing", 2), "low": ("min", 7, "centred", 1), "high": ("max", 7, "centred", 1)}
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "x"), T, [Roll(n, k, ("x",), w, f, at_least(least)) for n, (k, w, f, least) in rolls.items()])
+    short = lambda c, n: F.round(F.col(c).cast("float").cast("double"), n).alias(c)
+    return t.select("track", "frame", short("sd", 3), short("var", 2), F.round("total", 4).alias("total"), "low", "high")
 
 
 @_query(f"""with {TRACKS} select track, frame, round(case when count(x) {_tr(20)} >= 5 then quantile_cont(x, 0.25) {_tr(20)} end, 5) as q25,
     round(case when count(x) {_tr(20)} >= 5 then quantile_cont(x, 0.75) {_tr(20)} end, 5) as q75 from t""")
 def roll_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = lambda p: F.round(series.roll_quantile(F.col("x"), p, T.trailing(20), 5), 5)
-    return tracks(spark, sf_dir).select("track", "frame", q(0.25).alias("q25"), q(0.75).alias("q75"))
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "x"), T, [Roll(n, "quantile", ("x",), 20, "trailing", at_least(5), q=q) for n, q in (("q25", 0.25), ("q75", 0.75))])
+    return t.select("track", "frame", *[F.round(n, 5).alias(n) for n in ("q25", "q75")])
 
 
 @_query(f"""with {TRACKS}, l as (select track, frame, y, list(y) filter (where y is not null) {_tr(30)} as l from t)
     select track, frame, round(case when y is not null and len(l) >= 5 then (len(list_filter(l, lambda e: e < y)) + (len(list_filter(l, lambda e: e = y)) + 1) / 2.0) / len(l) end, 6) as pct from l""")
 def roll_rank_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).select("track", "frame", r6(series.roll_rank_pct(F.col("y"), T.trailing(30), 5)).alias("pct"))
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "y"), T, [Roll("pct", "rank", ("y",), 30, "trailing", at_least(5))])
+    return t.select("track", "frame", r6(F.col("pct")).alias("pct"))
 
 
 @_query(f"""with {TRACKS}, c as (select track, frame, case when y is not null then x end as a, case when x is not null then y end as b from t)
     select track, frame, round(case when count(a) {_tr(20)} >= 5 then case when isfinite(corr(a, b) {_tr(20)}) then corr(a, b) {_tr(20)} end end, 5) as r from c""")
 def roll_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir)
-    t = t.withColumns({c: F.col(c) - F.avg(c).over(T.whole) for c in "xy"})
-    return t.select("track", "frame", F.round(series.roll_corr(F.col("x"), F.col("y"), T.trailing(20), 5), 5).alias("r"))
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "x", "y"), T, [Roll("r", "corr", ("x", "y"), 20, "trailing", at_least(5))])
+    return t.select("track", "frame", F.round("r", 5).alias("r"))
 
 
 @_query(f"""with {TRACKS} select track, frame, round(sum(x * pow(29.0 / 31, -frame)) over ({BY}) / sum(case when x is not null then pow(29.0 / 31, -frame) end) over ({BY}), 5) as ewm from t""")
 def ewm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = series.ewm_mean(tracks(spark, sf_dir).select("track", "frame", "x"), T, {"ewm": ("x", 30)})
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", "x"), T, [Roll("ewm", "ewm", ("x",), 30)])
     return t.select("track", "frame", F.round("ewm", 5).alias("ewm"))
 
 
 @_query(f"""with {TRACKS}, i as (select track, frame, x, sum(case when x is null then 0 else 1 end) over ({BY}) as i from t)
     select track, frame, case when x is null then row_number() over (partition by track, i order by frame) else 0 end::double as streak from i""")
 def missing_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.missing_streak(tracks(spark, sf_dir), T, {"streak": F.col("x").isNull()}).select("track", "frame", "streak")
+    t = tracks(spark, sf_dir).select("track", "frame", F.col("x").isNull().cast("double").alias("gone"))
+    return rolled(t, T, [Roll("streak", "streak", ("gone",))]).select("track", "frame", "streak")
 
 
 _FILL = f"""p as (select track, frame, x, last_value(x ignore nulls) over ({BY}) as pv, last_value(case when x is not null then frame end ignore nulls) over ({BY}) as pr,
@@ -287,7 +288,8 @@ def gap_fill_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""with {TRACKS}, k as (select track, frame, abs(x - y) as k from t)
     select track, frame, round(case when count(k) over w = 6 then avg(k) over w end, 6) as gap from k window w as ({BY} rows between 6 preceding and 1 preceding)""")
 def lagged_abs_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks(spark, sf_dir).select("track", "frame", r6(series.lagged_abs_diff(F.col("x"), F.col("y"), T, 6)).alias("gap"))
+    t = rolled(tracks(spark, sf_dir).select("track", "frame", F.abs(F.col("x") - F.col("y")).alias("k")), T, [Roll("gap", "mean", ("k",), 6, "before", share(1))])
+    return t.select("track", "frame", r6(F.col("gap")).alias("gap"))
 
 
 @_query(f"""with {TRACKS}, c as (select track, frame, case when x / 10 <= 0.5 then 0 when x / 10 <= 2 then 1 when x / 10 <= 5 then 2 when x is not null then 3 end as state from t),
@@ -305,19 +307,14 @@ def state_bins_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     select track, frame, round(max(c) {_ce(15)} - min(c) {_ce(15)}, 5) as rng from c""")
 def winsor_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = series.winsorised(tracks(spark, sf_dir).select("track", "frame", "x"), T, ["x"])
-    w = T.centred(15)
-    return t.select("track", "frame", F.round(F.max("_w_x").over(w) - F.min("_w_x").over(w), 5).alias("rng"))
+    t = rolled(t, T, [Roll("hi", "max", ("_w_x",), 15), Roll("lo", "min", ("_w_x",), 15)])
+    return t.select("track", "frame", F.round(F.col("hi") - F.col("lo"), 5).alias("rng"))
 
 
 @_query(f"with {TRACKS} select track, frame, case g " + " ".join(f"when {g} then round({_roll('avg', 'x', _ce(n), max(1, n // 4))}, 6)" for g, n in ((0, 12), (1, 15), (2, 30))) + " end as m from t")
 def fps_scaled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks(spark, sf_dir).withColumn("fps", F.when(F.col("g") == 0, 25.0).when(F.col("g") == 2, 60.0))
-
-    def build(rows: DataFrame, fps: float) -> DataFrame:
-        n = scale(15, fps)
-        return rows.select("track", "frame", r6(T.roll(F.avg, F.col("x"), T.centred(n), max(1, n // 4))).alias("m"))
-
-    return per_fps(t, build)
+    t = tracks(spark, sf_dir).select("track", "frame", "x", F.when(F.col("g") == 0, 25.0).when(F.col("g") == 2, 60.0).otherwise(30.0).alias("fps"))
+    return rolled(t, T, [Roll("m", "mean", ("x",), 15, least=share(4))], F.col("fps")).select("track", "frame", r6(F.col("m")).alias("m"))
 
 
 @_query(f"""with {TRACKS}, {DIFF}, a as (select *, dx - lag(dx) over ({BY}) as ax, dy - lag(dy) over ({BY}) as ay, abs(atan2(dy, dx) - lag(atan2(dy, dx)) over ({BY})) as turn from v),

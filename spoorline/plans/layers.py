@@ -9,7 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import Tracks, norm, scale
+from ..functions.frames import norm
+from ..functions.rolling import PLACE, Roll, add, at_least, carried_columns, share
+
+#: The layer of what is found last.
+LAST = 1000
 
 
 class Point:
@@ -44,44 +48,106 @@ class Point:
 
 
 class Layers:
-    """Columns by layer. A column's windows may read columns of lower layers only; names that begin with _ are private."""
+    """Columns by layer. What a layer's columns take from other rows is found from columns of lower layers, in one pass over
+    the blocks before the layer's expressions; rolled outputs that nothing reads wait for one last pass. Names that begin
+    with _ are private."""
 
-    def __init__(self, tracks: Tracks, fps: float) -> None:
-        self.tracks, self.fps = tracks, fps
+    def __init__(self) -> None:
+        self.fps = F.col("_fps")
         self.at: dict[int, dict[str, Column]] = defaultdict(dict)
         self.names: list[str] = []
+        self.wanted: dict[int, list[Roll]] = defaultdict(list)
+        self.inputs: dict[int, dict[str, Column]] = defaultdict(dict)
+        self._known: dict[int, dict[str, str]] = defaultdict(dict)
+        self._open: list[tuple[str, tuple[Column, ...], dict]] = []
+        self._n, self._last = 0, None
 
     def let(self, layer: int, name: str, column: Column) -> Column:
+        for made, columns, how in self._open:
+            self._want(layer, made, columns, how)
+        self._open.clear()
         self.at[layer][name] = column
         if not name.startswith("_"):
             self.names.append(name)
         return F.col(f"`{name}`")
 
+    def _want(self, layer: int, name: str, columns: tuple[Column, ...], how: dict) -> None:
+        own = []
+        for c in columns:
+            text = self._text(c)
+            if text not in self._known[layer]:
+                self._n += 1
+                self._known[layer][text] = f"_i{self._n}"
+                self.inputs[layer][f"_i{self._n}"] = c
+            own.append(self._known[layer][text])
+        self.wanted[layer].append(Roll(name, columns=tuple(own), **how))
+
+    def _text(self, c: Column) -> str:
+        if self._last is None or self._last[0] is not c:
+            self._last = (c, str(c))
+        return self._last[1]
+
+    def roll(self, kind: str, x: Column | tuple[Column, Column], rows: float = 1, frame: str = "trailing", least: Callable = at_least(1), **more) -> Column:
+        """A statistic of other rows, for the column that is let next."""
+        self._n += 1
+        self._open.append((f"_k{self._n}", x if isinstance(x, tuple) else (x,), {"kind": kind, "rows": rows, "frame": frame, "least": least, **more}))
+        return F.col(f"_k{self._n}")
+
+    def lag(self, x: Column, rows: int | None = None) -> Column:
+        """The value one row before, or ``rows`` at the reference rate."""
+        return self.roll("before", x) if rows is None else self.roll("shift", x, -rows)
+
+    def shift(self, x: Column, ahead: int) -> Column:
+        return self.roll("shift", x, ahead) if ahead else x
+
+    def diff(self, x: Column) -> Column:
+        return x - self.lag(x)
+
     def point(self, layer: int, name: str, p: Point) -> Point:
         return Point(self.let(layer, f"_{name}_x", p.x), self.let(layer, f"_{name}_y", p.y), p.has)
 
-    def lagged(self, layer: int, name: str, p: Point, n: int = 1) -> Point:
-        return self.point(layer, name, Point(self.tracks.lag(p.x, n), self.tracks.lag(p.y, n), p.has))
-
-    def step(self, layer: int, name: str, p: Point, times: float = 1.0) -> Point:
+    def step(self, layer: int, name: str, p: Point, times: Column | None = None) -> Point:
         """Difference to the row before."""
-        return self.point(layer, name, Point(self.tracks.diff(p.x) * F.lit(times), self.tracks.diff(p.y) * F.lit(times), p.has))
-
-    def rolls(self, layer: int, x: Column, names: dict[str, Callable[[Column], Column]], windows: list[int], divide: int | None, trailing: bool = False, least: int | None = None) -> None:
-        """For each name pattern (``{w}``) and window; ``divide``: least values are the window's rows over it, 1 at least."""
+        gap = Point(self.diff(p.x), self.diff(p.y), p.has)
+        return self.point(layer, name, gap if times is None else Point(gap.x * times, gap.y * times, p.has))
+
+    def rolls(self, layer: int, x: Column, names: dict[str, str], windows: list[int], divide: int | None, trailing: bool = False, least: Callable | None = None, early: bool = False, **more) -> None:
+        """For each name pattern (``{w}``) -> statistic, and window; ``divide``: least values are the window's rows over it, or
+        all of them. ``early``: for columns of this layer and later ones to read; else they are found last."""
+        how = {"frame": "trailing" if trailing else "centred", "least": least or share(divide or 1), **more}
+        at = layer if early else LAST
         for w in windows:
-            size = scale(w, self.fps)
-            frame = self.tracks.trailing(size) if trailing else self.tracks.centred(size)
-            n = least if least is not None else size if divide is None else max(1, size // divide)
-            for name, agg in names.items():
-                self.let(layer, name.format(w=w), self.tracks.roll(agg, x, frame, n))
-
-    def apply(self, df: DataFrame, through: int | None = None) -> DataFrame:
-        for layer in sorted(self.at):
-            if through is None or layer <= through:
-                df = df.withColumns(self.at[layer])
+            for name, kind in names.items():
+                own = name.format(w=w)
+                self._want(at, own, (x,), {"kind": kind, "rows": w, **how})
+                if not own.startswith("_"):
+                    self.names.append(own)
+
+    def reach(self) -> tuple[float, float]:
+        """Rows behind and ahead that all layers together read."""
+        return tuple(sum(max((r.reach()[side] for r in rolls), default=0) for rolls in self.wanted.values()) for side in (0, 1))
+
+    def before_blocks(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns of layers up to 0, which read no other rows."""
+        for layer in sorted(k for k in self.at if k <= 0):
+            df = df.withColumns(self.at.pop(layer))
         return df
 
+    def apply(self, blocks: DataFrame, keep: list[str]) -> DataFrame:
+        """``blocks`` with all columns; what neither a later layer nor ``keep`` names does not go through its passes."""
+        order = sorted({*self.at, *self.wanted})
+        texts = {layer: [*self._known[layer], *map(str, self.at[layer].values())] for layer in order}
+        carried = {c for rolls in self.wanted.values() for r in rolls for c in (*r.columns, *carried_columns(r))}
+        keep = {*keep, *PLACE, *carried}
+        for i, layer in enumerate(order):
+            if self.wanted[layer]:
+                later = "\n".join(t for k in order[i:] for t in texts[k])
+                blocks = blocks.select(*[F.col(f"`{c}`") for c in blocks.columns if c in keep or c in later])
+                blocks = add(blocks, self.wanted[layer], self.inputs[layer])
+            if self.at[layer]:
+                blocks = blocks.withColumns(self.at[layer])
+        return blocks
+
 
 def part(name: str, side: str = "") -> Point:
     return Point(F.col(f"{side}{name}_x"), F.col(f"{side}{name}_y"), F.coalesce(F.col(f"{side}has_{name}"), F.lit(False)))

@@ -7,10 +7,10 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import series
-from ..functions.frames import Tracks, ind, per_fps, ratio, scale, scale_signed, wrap_once
-from .layers import Layers, Point, centre_options, first_available, nose_options, part
-from .single import M, S, SUM, _given, missing_layer
+from ..functions.frames import REFERENCE_FPS, Tracks, ind, ratio, wrap_once
+from ..functions.rolling import Roll, at_least, in_blocks, share
+from .layers import LAST, Layers, Point, centre_options, first_available, nose_options, part
+from .single import M, MAX, MIN, S, SUM, _given, missing_layer
 
 THREE = [15, 30, 60]
 
@@ -50,32 +50,30 @@ def _posture(b: Layers, parts: list[str]) -> None:
 
 
 def _noses_tails_ears(b: Layers, parts: list[str]) -> None:
-    t, fps = b.tracks, b.fps
     if "nose" in parts:
         gap = part("nose", "A_") - part("nose", "B_")
         square, far = b.let(0, "_nn2", gap.square), b.let(0, "_nn", gap.size)
         for w in (10, 20, 40):
-            n = scale(w, fps)
-            b.let(1, f"appr_{w}", square - t.lag(square, n))
-            b.let(1, f"nn_lg{w}", t.lag(far, n))
-            b.let(1, f"nn_ch{w}", far - t.lag(far, n))
-            b.let(1, f"cl_ps{w}", M(_given(gap.has, ind(far < 10.0))).over(t.trailing(n)))
+            b.let(1, f"appr_{w}", square - b.lag(square, w))
+            before = b.lag(far, w)
+            b.let(1, f"nn_lg{w}", before)
+            b.let(1, f"nn_ch{w}", far - before)
+            b.rolls(1, _given(gap.has, ind(far < 10.0)), {"cl_ps{w}": M}, [w], None, trailing=True, least=at_least(1))
     if "tail_base" in parts:
         gap = b.point(0, "tails", part("tail_base", "B_") - part("tail_base", "A_"))
         far = b.let(0, "tail_rel_dist", (part("tail_base", "B_") - part("tail_base", "A_")).size)
-        v = b.step(1, "tails_v", gap, fps)
-        speed, near = b.let(2, "tail_rel_speed", v.size), b.let(1, "tail_approach_rate", -t.diff(far) * fps)
+        v = b.step(1, "tails_v", gap, b.fps)
+        speed, near = b.let(2, "tail_rel_speed", v.size), b.let(1, "tail_approach_rate", -b.diff(far) * b.fps)
         for layer, x, name in ((1, far, "tail_rel_dist_m{w}"), (3, speed, "tail_rel_speed_m{w}"), (2, near, "tail_approach_rate_m{w}")):
             b.rolls(layer, x, {name: M}, THREE, 5)
         if "nose" in parts:
             has = part("nose", "A_").has & part("nose", "B_").has & gap.has
             b.let(0, "tailA_noseB_dist", _given(has, (part("tail_base", "A_") - part("nose", "B_")).size))
             b.let(0, "tailB_noseA_dist", _given(has, (part("tail_base", "B_") - part("nose", "A_")).size))
-    lag = scale(10, fps)
     for ear in ("left", "right"):
         if f"ear_{ear}" in parts:
             a, c = part(f"ear_{ear}", "A_"), part(f"ear_{ear}", "B_")
-            pa, pb = (Point(t.lag(p.x, lag), t.lag(p.y, lag), p.has) for p in (a, c))
+            pa, pb = (Point(b.lag(p.x, 10), b.lag(p.y, 10), p.has) for p in (a, c))
             has = a.has & c.has
             b.let(1, f"sp_A_{ear}", _given(has, (a - pa).square))
             b.let(1, f"sp_AB_{ear}", _given(has, (a - pb).square))
@@ -87,13 +85,12 @@ def _chase(b: Layers, parts: list[str]) -> None:
     ca, cb = first_available(centre_options(parts, "A_")), first_available(centre_options(parts, "B_"))
     if ca is None or cb is None:
         return
-    t = b.tracks
     a, c = b.point(0, "ca", ca), b.point(0, "cb", cb)
     rel = b.point(0, "rel", ca - cb)
     far = b.let(0, "_far", (ca - cb).size)
     has = ca.has & cb.has
     va, vb = b.step(1, "va", a), b.step(1, "vb", c)
-    nearer = b.let(1, "_far_d", t.diff(far))
+    nearer = b.let(1, "_far_d", b.diff(far))
     back = Point(-rel.x, -rel.y, rel.has)
     along = {"A": b.let(2, "A_vel_along", ratio(va.dot(rel), far)), "B": b.let(2, "B_vel_along", ratio(vb.dot(back), far))}
     across = {"A": b.let(2, "A_vel_perp", ratio(rel.cross(va), far)), "B": b.let(2, "B_vel_perp", ratio(back.cross(vb), far))}
@@ -113,7 +110,7 @@ def _bodies(b: Layers, parts: list[str]) -> None:
     """Distance bands, co-movement, leading, synchrony and relative trajectories: needs both real centres."""
     if "body_center" not in parts:
         return
-    t, fps = b.tracks, b.fps
+    fps = b.fps
     ca, cb = part("body_center", "A_"), part("body_center", "B_")
     has = ca.has & cb.has
     rel = b.point(0, "r", ca - cb)
@@ -121,12 +118,12 @@ def _bodies(b: Layers, parts: list[str]) -> None:
     for name, x in (("v_cls", far < 5.0), ("cls", (far >= 5.0) & (far < 15.0)), ("med", (far >= 15.0) & (far < 30.0)), ("far", far >= 30.0)):
         b.let(1, name, _given(has, ind(x)))
     b.let(1, "interaction_potential", F.try_divide(F.lit(1.0), far + 1e-6))
-    closing = b.let(1, "_closing", -t.diff(far))
+    closing = b.let(1, "_closing", -b.diff(far))
     rate = b.let(2, "approach_rate", closing * fps)
     b.let(3, "sudden_escape", _given(has, ind(rate < -20)))
     v = b.step(1, "r_v", rel, fps)
     acc = b.let(3, "rel_accel", b.step(2, "r_a", v, fps).size)
-    b.let(2, "_r_spin", t.diff(F.atan2(v.y, v.x)))
+    b.let(2, "_r_spin", b.diff(F.atan2(v.y, v.x)))
     spin = b.let(3, "rel_turn_rate", F.abs(wrap_once(F.col("_r_spin"))) * fps)
     curve = b.let(4, "rel_curvature", ratio(spin, v.size))
     for layer, x, names in ((4, spin, {"rel_turn_rate_m{w}": M}), (5, curve, {"rel_curvature_m{w}": M}), (4, acc, {"rel_accel_m{w}": M}), (2, v.size, {"rel_speed_m{w}": M, "rel_speed_s{w}": S})):
@@ -134,42 +131,37 @@ def _bodies(b: Layers, parts: list[str]) -> None:
     va, vb = b.step(1, "bva", ca), b.step(1, "bvb", cb)
     sa, sb = b.let(2, "_sa", va.size), b.let(2, "_sb", vb.size)
     together = b.let(2, "_co", va.dot(vb))
-    b.rolls(3, together, {"co_m{w}": M, "co_s{w}": S}, [5, *THREE], None, least=1)
-    b.rolls(1, square, {"d_m{w}": M, "d_s{w}": S, "d_mn{w}": F.min, "d_mx{w}": F.max, "_d_v{w}": F.var_samp}, [5, *THREE], None, least=1)
+    b.rolls(3, together, {"co_m{w}": M, "co_s{w}": S}, [5, *THREE], None, least=at_least(1))
+    b.rolls(1, square, {"d_m{w}": M, "d_s{w}": S, "d_mn{w}": MIN, "d_mx{w}": MAX, "_d_v{w}": "var"}, [5, *THREE], None, least=at_least(1), early=True)
     for w in (5, *THREE):
         b.let(2, f"int{w}", F.try_divide(F.lit(1.0), F.col(f"_d_v{w}") + 1.0))
     b.let(2, "int_con", ratio(F.col("d_s30"), F.col("d_m30")))
     same = b.let(3, "_same", ratio(together, sa * sb))
     for off in (-30, -20, -10, 0, 10, 20, 30):
-        b.let(4, f"va_{off}", t.shift(same, scale_signed(off, fps)))
+        b.let(4, f"va_{off}", b.shift(same, off))
     back = Point(-rel.x, -rel.y, rel.has)
     lead = {"A": ratio(va.dot(rel), va.size * far), "B": ratio(vb.dot(back), vb.size * far)}
     for s in "AB":
         b.rolls(2, lead[s], {f"{s}_ld{{w}}": M}, [30, 60], 6, trailing=True)
     b.rolls(2, closing * lead["B"], {"chase_{w}": M}, [30], 6, trailing=True)
-    for s, x in (("a", sa), ("b", sb)):
-        b.let(3, f"_mid_{s}", x - M(x).over(t.whole))
     for w in (60, 120):
-        size = scale(w, fps)
-        b.let(4, f"sp_cor{w}", series.roll_corr(F.col("_mid_a"), F.col("_mid_b"), t.trailing(size), max(1, size // 6)))
-    size = scale(30, fps)
-    b.let(3, "speed_dtw_distance", F.when(t.length() > size, series.lagged_abs_diff(sa, sb, t, size)))
+        b.let(4, f"sp_cor{w}", b.roll("corr", (sa, sb), w, least=share(6)))
+    b.let(3, "speed_dtw_distance", b.roll(M, F.abs(sa - sb), 30, "before", share(1)))
     b.let(2, "leadership_asymmetry", ratio(va.dot(rel), far) - ratio(vb.dot(back), far))
     turn = wrap_once(F.atan2(va.y, va.x) - F.atan2(vb.y, vb.x))
     way = b.let(2, "direction_similarity", F.cos(turn))
     pace = b.let(3, "speed_similarity", 1.0 - ratio(F.abs(sa - sb), sa + sb))
     b.rolls(3, way, {"direction_sim_m{w}": M}, [60, 120], 6)
     b.rolls(4, pace, {"speed_sim_m{w}": M}, [60, 120], 6)
-    gap, share = b.let(3, "speed_diff", sa - sb), b.let(3, "speed_ratio", ratio(sa, sb))
+    gap, part_of = b.let(3, "speed_diff", sa - sb), b.let(3, "speed_ratio", ratio(sa, sb))
     b.rolls(4, gap, {"speed_diff_m{w}": M, "speed_diff_s{w}": S}, THREE, 5)
-    b.rolls(4, share, {"speed_ratio_m{w}": M}, THREE, 5)
+    b.rolls(4, part_of, {"speed_ratio_m{w}": M}, THREE, 5)
     if "A_face_B" in b.names:
         skew = b.let(1, "facing_asymmetry", F.col("A_face_B") - F.col("B_face_A"))
         b.rolls(2, skew, {"facing_asym_m{w}": M}, [15, 30], 5)
     for w in (30, 60):
-        n = scale(w, fps)
         for s, x in (("a", sa), ("b", sb)):
-            b.let(3, f"_path_{s}{w}", t.roll(SUM, x, t.centred(n), max(1, n // 5)))
+            b.let(3, f"_path_{s}{w}", b.roll(SUM, x, w, "centred", share(5)))
         b.let(4, f"path_diff_{w}", F.col(f"_path_a{w}") - F.col(f"_path_b{w}"))
         b.let(4, f"path_ratio_{w}", ratio(F.col(f"_path_a{w}"), F.col(f"_path_b{w}")))
     aa, ab = b.step(2, "baa", va, fps), b.step(2, "bab", vb, fps)
@@ -192,7 +184,7 @@ def _contact(b: Layers, parts: list[str]) -> None:
         for limit in (3, 5, 8):
             touch = b.let(1, f"{s}_front_contact_{limit}", _given(front.has, ind(near < float(limit))))
             b.rolls(2, touch, {f"{s}_front_contact_{limit}_p{{w}}": M}, THREE, 5)
-        b.rolls(2, F.col(f"{s}_front_contact_5"), {f"{s}_contact_duration_{{w}}": SUM}, [30, 60], None, least=1)
+        b.rolls(2, F.col(f"{s}_front_contact_5"), {f"{s}_contact_duration_{{w}}": SUM}, [30, 60], None, least=at_least(1))
 
 
 GROUPS = ("missing", "posture", "ends", "chase", "bodies", "contact")
@@ -200,27 +192,25 @@ GROUPS = ("missing", "posture", "ends", "chase", "bodies", "contact")
 
 def pair_features(df: DataFrame, parts: list[str], keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """(keys, frame, features) of ordered pairs as ``ordered_pairs`` gives them, with fps; ``groups`` limits what is computed."""
-    t = Tracks(keys, frame)
-
-    def build(rows: DataFrame, fps: float) -> DataFrame:
-        b, streaks = Layers(t, fps), {}
-        if "posture" in groups:
-            _distances(b, parts)
-        if "missing" in groups:
-            a_miss, a_nose, a_centre = missing_layer(b, parts, "A_", "A_")
-            b_miss, b_nose, b_centre = missing_layer(b, parts, "B_", "B_")
-            mean = b.let(1, "AB_kp_missing_ratio_mean", (a_miss + b_miss) / 2)
-            b.let(1, "AB_kp_missing_ratio_diff", a_miss - b_miss)
-            b.let(1, "AB_both_center_ok", a_centre * b_centre)
-            b.rolls(2, mean, {"AB_miss_m{w}": M}, [15, 30, 60, 120], 5)
-            streaks = {"A_nose_missing_streak": a_nose < 0.5, "B_nose_missing_streak": b_nose < 0.5}
-        for name, build_group in (("posture", _posture), ("ends", _noses_tails_ears), ("chase", _chase), ("bodies", _bodies), ("contact", _contact)):
-            if name in groups:
-                build_group(b, parts)
-        rows = rows.withColumns(b.at.pop(0))
-        if streaks:
-            rows = series.missing_streak(rows, t, streaks)
-        rows = b.apply(rows)
-        return rows.select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in [*b.names, *streaks]])
-
-    return per_fps(df, build)
+    b, carry = Layers(), []
+    if "posture" in groups:
+        _distances(b, parts)
+    if "missing" in groups:
+        a_miss, a_nose, a_centre = missing_layer(b, parts, "A_", "A_")
+        b_miss, b_nose, b_centre = missing_layer(b, parts, "B_", "B_")
+        mean = b.let(1, "AB_kp_missing_ratio_mean", (a_miss + b_miss) / 2)
+        b.let(1, "AB_kp_missing_ratio_diff", a_miss - b_miss)
+        b.let(1, "AB_both_center_ok", a_centre * b_centre)
+        b.rolls(2, mean, {"AB_miss_m{w}": M}, [15, 30, 60, 120], 5)
+        carry = [Roll(f"{s}_nose_missing_streak", "streak", (f"_{s}_gone",)) for s in "AB"]
+    for name, build_group in (("posture", _posture), ("ends", _noses_tails_ears), ("chase", _chase), ("bodies", _bodies), ("contact", _contact)):
+        if name in groups:
+            build_group(b, parts)
+    rows = b.before_blocks(df)
+    if carry:
+        rows = rows.withColumns({f"_{s}_gone": ind(ok < 0.5) for s, ok in (("A", a_nose), ("B", b_nose))})
+    b.wanted[LAST] += carry
+    fps = F.coalesce(F.col("fps").cast("double"), F.lit(REFERENCE_FPS))
+    names = [*b.names, *[r.name for r in carry]]
+    rows = b.apply(in_blocks(rows, Tracks(keys, frame), *b.reach(), fps, carry=carry), [*keys, frame, *names])
+    return rows.where("_own").select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in names])

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import series
-from ..functions.frames import Tracks, clip, ind, norm, per_fps, ratio, scale, scale_signed, wrap_once
-from .layers import Layers, Point, centre_options, first_available, nose_options, part
+from ..functions.frames import REFERENCE_FPS, Tracks, changed, clip, ind, norm, ratio, wrap_once
+from ..functions.rolling import Roll, at_least, in_blocks, scaled_rows, share
+from .layers import LAST, Layers, Point, centre_options, first_available, nose_options, part
 
-M, S, SUM, MAX = F.avg, F.stddev_samp, F.sum, F.max
+M, S, SUM, MAX, MIN = "mean", "std", "sum", "max", "min"
 FOUR = [15, 30, 60, 120]
 
 
@@ -38,27 +39,24 @@ def missing_layer(b: Layers, parts: list[str], side: str, out: str) -> tuple[Col
 
 def _shape(b: Layers, parts: list[str], section: int, nose: Point | None, centre: Point | None) -> None:
     """Distances, elongation, ears, body angle, nose to tail, triangle, width, elevation, stability."""
-    t, fps, p, nine = b.tracks, b.fps, {n: part(n) for n in parts}, section == 9
+    p, nine = {n: part(n) for n in parts}, section == 9
     for one, two in itertools.combinations(parts, 2):
         b.let(0, f"{one}+{two}", _given(p[one].has & p[two].has, (p[one] - p[two]).square))
     if "nose+tail_base" in b.names and "ear_left+ear_right" in b.names:
         b.let(1, "elong", ratio(F.col("`nose+tail_base`"), F.col("`ear_left+ear_right`")))
     ears = {"ear_left", "ear_right"} <= set(p)
     if ears and "tail_base" in p:
-        lag = scale(10, fps)
-        past = {n: Point(t.lag(p[n].x, lag), t.lag(p[n].y, lag), p[n].has) for n in ("ear_left", "ear_right", "tail_base")}
+        past = {n: Point(b.lag(p[n].x, 10), b.lag(p[n].y, 10), p[n].has) for n in ("ear_left", "ear_right", "tail_base")}
         all_have = p["ear_left"].has & p["ear_right"].has & p["tail_base"].has
         for name, a, c in (("sp_lf", "ear_left", "ear_left"), ("sp_rt", "ear_right", "ear_right"), ("sp_lf2", "ear_left", "tail_base"), ("sp_rt2", "ear_right", "tail_base")):
             b.let(1, name, _given(all_have, (p[a] - past[c]).square))
     if ears:
         gap = b.let(0, "_ear_gap", (p["ear_left"] - p["ear_right"]).size)
         for off in (-30, -20, -10, 10, 20, 30):
-            b.let(1, f"ear_o{off}", t.shift(gap, scale_signed(off, fps)))
-        frame = t.centred(scale(30, fps))
-        b.let(1, "ear_con", ratio(S(gap).over(frame), M(gap).over(frame)))
+            b.let(1, f"ear_o{off}", b.shift(gap, off))
+        b.let(1, "ear_con", ratio(b.roll(S, gap, 30, "centred"), b.roll(M, gap, 30, "centred")))
         mid = b.point(0, "ear_mid", p["ear_left"].middle(p["ear_right"]))
-        frame, least = t.trailing(scale(30, fps)), scale(5, fps)
-        b.let(1, "ear_mid_std", norm(t.roll(S, mid.x, frame, least), t.roll(S, mid.y, frame, least)))
+        b.let(1, "ear_mid_std", norm(*[b.roll(S, x, 30, least=scaled_rows(5)) for x in (mid.x, mid.y)]))
         if centre is not None and nose is not None:
             far = b.let(1, "ear_center_dist", (mid - centre).size)
             b.let(1, "ear_nose_dist", (mid - nose).size)
@@ -67,12 +65,12 @@ def _shape(b: Layers, parts: list[str], section: int, nose: Point | None, centre
             b.rolls(2, far, {"ear_center_m{w}": M, "ear_center_s{w}": S}, [30, 60] if nine else FOUR, 4)
     if nose is not None and "tail_base" in p:
         tail = p["tail_base"]
-        length = b.let(1, "_nt", (nose - tail).size)
+        length = b.let(0, "_nt", (nose - tail).size)
         for lag in (10, 20, 40):
-            before = t.lag(length, scale(lag, fps))
-            b.let(2, f"nt_lg{lag}", before)
-            b.let(2, f"nt_df{lag}", length - before)
-        b.let(2, "nose_tail_length_std", t.roll(S, length, t.trailing(scale(30, fps)), scale(5, fps)))
+            before = b.lag(length, lag)
+            b.let(1, f"nt_lg{lag}", before)
+            b.let(1, f"nt_df{lag}", length - before)
+        b.let(1, "nose_tail_length_std", b.roll(S, length, 30, least=scaled_rows(5)))
         if centre is not None:
             u, v = nose - centre, tail - centre
             b.let(1, "body_ang", ratio(u.dot(v), u.size * v.size))
@@ -88,111 +86,98 @@ def _shape(b: Layers, parts: list[str], section: int, nose: Point | None, centre
     if section != 3 and {"lateral_left", "lateral_right"} <= set(p):
         width = b.let(0, "_width", (p["lateral_left"] - p["lateral_right"]).size)
         b.rolls(1, width, {"body_width_mean_{w}": M, "body_width_std_{w}": S}, FOUR, None)
-        grown = b.let(1, "_width_d", t.diff(width))
+        grown = b.let(1, "_width_d", b.diff(width))
         b.rolls(2, grown, {"body_width_change_{w}": M}, FOUR, None)
 
 
 def _motion(b: Layers, section: int, centre: Point, step: Point) -> None:
-    """Centre statistics, curvature, multi-scale speed, states, long range. ``step`` is in layer 2."""
-    t, fps, nine = b.tracks, b.fps, section == 9
-    length = t.length()
+    """Centre statistics, curvature, multi-scale speed, states, long range. ``step`` is in layer 1."""
+    nine = section == 9
+    windows = [5, 15, 30, 60] if nine else FOUR
     for axis, x, d, w_ in (("x", centre.x, step.x, F.col("_w__c_x")), ("y", centre.y, step.y, F.col("_w__c_y"))):
-        windows = [5, 15, 30, 60] if nine else FOUR
-        b.rolls(2, x, {f"c{axis}_m{{w}}": M, f"c{axis}_s{{w}}": S}, windows, None, least=1)
+        b.rolls(1, x, {f"c{axis}_m{{w}}": M, f"c{axis}_s{{w}}": S}, windows, None, least=at_least(1))
         for w in windows:
-            frame = t.centred(scale(w, fps))
-            b.let(2, f"{axis}_rng{w}", MAX(w_).over(frame) - F.min(w_).over(frame))
-            back = t.trailing(scale(w, fps))
-            b.let(3, f"_sum_{axis}{w}", SUM(d).over(back))
-            b.let(3, f"_var_{axis}{w}", F.var_samp(d).over(back))
-    for w in [5, 15, 30, 60] if nine else FOUR:
-        b.let(4, f"disp{w}", norm(F.col(f"_sum_x{w}"), F.col(f"_sum_y{w}")))
-        b.let(4, f"act{w}", F.sqrt(F.col(f"_var_x{w}") + F.col(f"_var_y{w}")))
-    bend = b.step(3, "c_acc", step)
-    curve = b.let(4, "_curve", ratio(F.abs(step.cross(bend)), F.pow(step.size, F.lit(3.0))))
-    b.rolls(5, curve, {"curv_mean_{w}": M}, [25, 50, 75] if nine else FOUR, 5, trailing=True)
-    turn = b.let(3, "_turn", F.abs(t.diff(F.atan2(step.y, step.x))))
-    b.rolls(4, turn, {"turn_rate_{w}": SUM}, [30] if nine else FOUR, 5, trailing=True)
-    speed = b.let(3, "_speed", step.size * F.lit(fps))
+            b.let(1, f"{axis}_rng{w}", b.roll(MAX, w_, w, "centred") - b.roll(MIN, w_, w, "centred"))
+            b.let(2, f"_sum_{axis}{w}", b.roll(SUM, d, w))
+            b.let(2, f"_var_{axis}{w}", b.roll("var", d, w))
+    for w in windows:
+        b.let(3, f"disp{w}", norm(F.col(f"_sum_x{w}"), F.col(f"_sum_y{w}")))
+        b.let(3, f"act{w}", F.sqrt(F.col(f"_var_x{w}") + F.col(f"_var_y{w}")))
+    bend = b.step(2, "c_acc", step)
+    curve = b.let(3, "_curve", ratio(F.abs(step.cross(bend)), F.pow(step.size, F.lit(3.0))))
+    b.rolls(4, curve, {"curv_mean_{w}": M}, [25, 50, 75] if nine else FOUR, 5, trailing=True)
+    turn = b.let(2, "_turn", F.abs(b.diff(F.atan2(step.y, step.x))))
+    b.rolls(3, turn, {"turn_rate_{w}": SUM}, [30] if nine else FOUR, 5, trailing=True)
+    speed = b.let(2, "_speed", step.size * b.fps)
     scales = [20, 40, 60, 80] if nine else FOUR
     for w in scales:
-        size = scale(w, fps)
-        frame, least, long = t.trailing(size), max(1, size // 4), length >= size
-        b.let(4, f"sp_m{w}", F.when(long, t.roll(M, speed, frame, least)))
-        b.let(4, f"sp_s{w}", F.when(long, t.roll(S, speed, frame, least)))
-        both = b.let(4, f"_q{w}", F.when(long & (F.count(speed).over(frame) >= least), F.percentile(speed, F.array(F.lit(0.25), F.lit(0.75))).over(frame)))
-        b.let(5, f"sp_q25_{w}", both[0])
-        b.let(5, f"sp_q75_{w}", both[1])
-        b.let(5, f"sp_iqr{w}", both[1] - both[0])
-    b.let(5, "sp_ratio", ratio(F.col(f"sp_m{scales[0]}"), F.col(f"sp_m{scales[-1]}")))
-    size = scale(15, fps)
-    state = b.let(5, "_state", series.speed_state(F.col("_calm")))
-    b.let(4, "_calm", t.roll(M, speed, t.trailing(size), max(1, size // 3)))
-    moved = b.let(6, "_moved", series.change_flag(state, t))
+        b.rolls(3, speed, {"sp_m{w}": M, "sp_s{w}": S}, [w], 4, trailing=True, early=True, long=True)
+        low, high = (b.roll("quantile", speed, w, least=share(4), q=q, long=True) for q in (0.25, 0.75))
+        b.let(4, f"sp_q25_{w}", low)
+        b.let(4, f"sp_q75_{w}", high)
+        b.let(4, f"sp_iqr{w}", high - low)
+    b.let(4, "sp_ratio", ratio(F.col(f"sp_m{scales[0]}"), F.col(f"sp_m{scales[-1]}")))
+    calm = b.let(3, "_calm", b.roll(M, speed, 15, least=share(3)))
+    state = b.let(4, "_state", series.speed_state(calm))
+    moved = b.let(5, "_moved", changed(state, b.lag(state)).cast("double"))
     for w in scales:
-        size = scale(w, fps)
-        frame, least, long = t.trailing(size), max(1, size // 5), (length >= size) & centre.has
         for k in range(4):
-            b.let(6, f"s{k}_{w}", F.when(long, t.roll(M, ind(state == float(k)), frame, least)))
-        b.let(7, f"trans_{w}", F.when(long, t.roll(SUM, moved, frame, least)))
-    for w in (30, 60, 120):
-        size = scale(w, fps)
-        frame, least, long = t.trailing(size), max(5, size // 6), length >= size
-        b.let(2, f"x_ml{w}", F.when(long, t.roll(M, centre.x, frame, least)))
-        b.let(2, f"y_ml{w}", F.when(long, t.roll(M, centre.y, frame, least)))
-        b.let(4, f"sp_pct{w}", F.when(long, series.roll_rank_pct(speed, frame, least)))
+            b.rolls(5, _given(centre.has, ind(state == float(k))), {f"s{k}_{{w}}": M}, [w], 5, trailing=True, long=True)
+        b.rolls(6, _given(centre.has, moved), {"trans_{w}": SUM}, [w], 5, trailing=True, long=True)
+    for axis, x in (("x", centre.x), ("y", centre.y)):
+        b.rolls(1, x, {f"{axis}_ml{{w}}": M}, [30, 60, 120], None, trailing=True, least=share(6, 5), long=True)
+    b.rolls(3, speed, {"sp_pct{w}": "rank"}, [30, 60, 120], None, trailing=True, least=share(6, 5), long=True)
 
 
 def _head_and_axis(b: Layers, section: int, nose: Point, centre: Point, step: Point, tail: Point | None) -> None:
     """The head against the body, and motion along the body's axis."""
-    t, fps, nine = b.tracks, b.fps, section == 9
+    fps, nine = b.fps, section == 9
     rel = nose - centre
-    turned = b.step(2, "rel_v", rel, fps)
-    speed = b.let(3, "head_rel_speed", turned.size)
-    b.let(3, "head_body_speed_ratio", ratio(turned.size, step.size * F.lit(fps)))
-    b.rolls(4, speed, {"head_rel_sp_m{w}": M, "head_rel_sp_s{w}": S}, [15, 30, 60] if nine else FOUR, 4)
-    angle = b.let(1, "_head_angle", F.atan2(rel.y, rel.x))
-    spin = b.let(3, "head_turn_speed", F.abs(wrap_once(F.col("_head_spin"))) * fps)
-    b.let(2, "_head_spin", t.diff(angle))
-    b.rolls(4, spin, {"head_turn_m{w}": M, "head_turn_s{w}": S, "head_turn_sum{w}": SUM}, [15, 30] if nine else FOUR, 4)
+    turned = b.step(1, "rel_v", rel, fps)
+    speed = b.let(2, "head_rel_speed", turned.size)
+    b.let(2, "head_body_speed_ratio", ratio(turned.size, step.size * fps))
+    b.rolls(3, speed, {"head_rel_sp_m{w}": M, "head_rel_sp_s{w}": S}, [15, 30, 60] if nine else FOUR, 4)
+    angle = b.let(0, "_head_angle", F.atan2(rel.y, rel.x))
+    spin = b.let(2, "head_turn_speed", F.abs(wrap_once(F.col("_head_spin"))) * fps)
+    b.let(1, "_head_spin", b.diff(angle))
+    b.rolls(3, spin, {"head_turn_m{w}": M, "head_turn_s{w}": S, "head_turn_sum{w}": SUM}, [15, 30] if nine else FOUR, 4)
     if tail is None:
         return
     axis = nose - tail
-    v = Point(step.x * F.lit(fps), step.y * F.lit(fps), step.has & axis.has)
-    ahead = b.let(3, "v_forward", ratio(v.dot(axis), axis.size))
-    aside = b.let(3, "v_lateral", ratio(axis.cross(v), axis.size))
-    far = b.let(4, "v_forward_abs", F.abs(ahead))
-    wide = b.let(4, "v_lateral_abs", F.abs(aside))
-    skew = b.let(4, "lat_over_fwd", ratio(F.abs(aside), F.abs(ahead)))
+    v = Point(step.x * fps, step.y * fps, step.has & axis.has)
+    ahead = b.let(2, "v_forward", ratio(v.dot(axis), axis.size))
+    aside = b.let(2, "v_lateral", ratio(axis.cross(v), axis.size))
+    far = b.let(3, "v_forward_abs", F.abs(ahead))
+    wide = b.let(3, "v_lateral_abs", F.abs(aside))
+    skew = b.let(3, "lat_over_fwd", ratio(F.abs(aside), F.abs(ahead)))
     three, two = [15, 30, 60] if nine else FOUR, [30, 60] if nine else FOUR
-    b.rolls(5, ahead, {"v_fwd_m{w}": M, "v_fwd_s{w}": S}, three, 4)
-    b.rolls(5, far, {"v_fwd_abs_m{w}": M}, three, 4)
-    b.rolls(5, aside, {"v_lat_m{w}": M, "v_lat_s{w}": S}, three, 4)
-    b.rolls(5, wide, {"v_lat_abs_m{w}": M}, three, 4)
-    b.rolls(5, skew, {"lat_fwd_ratio_m{w}": M}, three, 4)
+    b.rolls(4, ahead, {"v_fwd_m{w}": M, "v_fwd_s{w}": S}, three, 4)
+    b.rolls(4, far, {"v_fwd_abs_m{w}": M}, three, 4)
+    b.rolls(4, aside, {"v_lat_m{w}": M, "v_lat_s{w}": S}, three, 4)
+    b.rolls(4, wide, {"v_lat_abs_m{w}": M}, three, 4)
+    b.rolls(4, skew, {"lat_fwd_ratio_m{w}": M}, three, 4)
     has = axis.has & centre.has
     for name, x in (("forward_ratio_{w}", ahead > 1.0), ("backward_ratio_{w}", ahead < -1.0), ("lateral_dom_ratio_{w}", wide > far)):
-        b.rolls(5, _given(has, ind(x)), {name: M}, two, 5)
+        b.rolls(4, _given(has, ind(x)), {name: M}, two, 5)
     off = F.atan2(v.y, v.x) - F.atan2(axis.y, axis.x)
-    slip = b.let(3, "slip_angle", F.atan2(F.sin(off), F.cos(off)))
-    slip_abs = b.let(4, "slip_angle_abs", F.abs(slip))
-    b.rolls(5, slip, {"slip_m{w}": M, "slip_s{w}": S}, three, 4)
-    b.rolls(5, slip_abs, {"slip_abs_m{w}": M}, three, 4)
-    b.rolls(5, _given(has, ind(slip_abs < math.pi / 6)), {"slip_align_ratio_{w}": M}, two, 5)
+    slip = b.let(2, "slip_angle", F.atan2(F.sin(off), F.cos(off)))
+    slip_abs = b.let(3, "slip_angle_abs", F.abs(slip))
+    b.rolls(4, slip, {"slip_m{w}": M, "slip_s{w}": S}, three, 4)
+    b.rolls(4, slip_abs, {"slip_abs_m{w}": M}, three, 4)
+    b.rolls(4, _given(has, ind(slip_abs < math.pi / 6)), {"slip_align_ratio_{w}": M}, two, 5)
 
 
 def _tremor(b: Layers, name: str, p: Point, full: bool) -> tuple[Point, Column]:
     """Short-window speed, acceleration and changes of direction of one point; its velocity and speed."""
-    t, fps = b.tracks, b.fps
-    v = b.step(2, f"{name}_v", p, fps)
-    speed = b.let(3, f"_{name}_speed", v.size)
-    b.rolls(4, speed, {f"{name}_hf_m{{w}}": M, f"{name}_hf_s{{w}}": S} | ({f"{name}_hf_max{{w}}": MAX} if full else {}), [3, 5, 7], 2)
-    a = b.step(3, f"{name}_a", v, fps)
-    accel = b.let(4, f"{name}_accel", a.size)
-    b.rolls(5, accel, {f"{name}_accel_m{{w}}": M} | ({f"{name}_accel_s{{w}}": S} if full else {}), [5, 10], 2)
-    b.let(3, f"_{name}_swing", t.diff(F.atan2(v.y, v.x + F.lit(1e-8))))
-    jitter = b.let(4, f"{name}_jitter", F.abs(wrap_once(F.col(f"_{name}_swing"))))
-    b.rolls(5, jitter, {f"{name}_jitter_m{{w}}": M} | ({f"{name}_jitter_sum{{w}}": SUM} if full else {}), [5, 10, 15] if full else [5, 10], 2)
+    v = b.step(1, f"{name}_v", p, b.fps)
+    speed = b.let(2, f"_{name}_speed", v.size)
+    b.rolls(3, speed, {f"{name}_hf_m{{w}}": M, f"{name}_hf_s{{w}}": S} | ({f"{name}_hf_max{{w}}": MAX} if full else {}), [3, 5, 7], 2)
+    a = b.step(2, f"{name}_a", v, b.fps)
+    accel = b.let(3, f"{name}_accel", a.size)
+    b.rolls(4, accel, {f"{name}_accel_m{{w}}": M} | ({f"{name}_accel_s{{w}}": S} if full else {}), [5, 10], 2)
+    b.let(2, f"_{name}_swing", b.diff(F.atan2(v.y, v.x + F.lit(1e-8))))
+    jitter = b.let(3, f"{name}_jitter", F.abs(wrap_once(F.col(f"_{name}_swing"))))
+    b.rolls(4, jitter, {f"{name}_jitter_m{{w}}": M} | ({f"{name}_jitter_sum{{w}}": SUM} if full else {}), [5, 10, 15] if full else [5, 10], 2)
     return v, speed
 
 
@@ -200,28 +185,27 @@ def _micro(b: Layers, nose: Point | None, centre: Point | None, step: Point | No
     head = _tremor(b, "head", nose, True) if nose is not None else None
     rear = _tremor(b, "tail", tail, False) if tail is not None else None
     if rear and centre is not None:
-        own = Point(rear[0].x - step.x * F.lit(b.fps), rear[0].y - step.y * F.lit(b.fps), rear[0].has)
-        speed = b.let(3, "tail_rel_speed", own.size)
-        b.rolls(4, speed, {"tail_rel_m{w}": M}, [10, 20], 3)
+        own = Point(rear[0].x - step.x * b.fps, rear[0].y - step.y * b.fps, rear[0].has)
+        speed = b.let(2, "tail_rel_speed", own.size)
+        b.rolls(3, speed, {"tail_rel_m{w}": M}, [10, 20], 3)
     if head and rear:
         (hv, hs), (tv, ts) = head, rear
-        share = b.let(4, "head_tail_speed_ratio", ratio(hs, ts))
-        b.rolls(5, share, {"head_tail_ratio_m{w}": M}, [10, 20], 3)
-        same = b.let(4, "head_tail_dir_consistency", F.try_divide(hv.dot(tv), (hs + 1e-6) * (ts + 1e-6)))
-        b.rolls(5, same, {"head_tail_dir_m{w}": M}, [10, 20, 30], 3)
-        apart = b.let(5, "head_tail_independence", (1.0 - F.abs(same)) * (hs + ts))
-        b.rolls(6, apart, {"head_tail_indep_m{w}": M}, [15, 30], 3)
+        share = b.let(3, "head_tail_speed_ratio", ratio(hs, ts))
+        b.rolls(4, share, {"head_tail_ratio_m{w}": M}, [10, 20], 3)
+        same = b.let(3, "head_tail_dir_consistency", F.try_divide(hv.dot(tv), (hs + 1e-6) * (ts + 1e-6)))
+        b.rolls(4, same, {"head_tail_dir_m{w}": M}, [10, 20, 30], 3)
+        apart = b.let(4, "head_tail_independence", (1.0 - F.abs(same)) * (hs + ts))
+        b.rolls(5, apart, {"head_tail_indep_m{w}": M}, [15, 30], 3)
 
 
 def _arena(b: Layers, section: int, nose: Point | None, centre: Point) -> None:
     """The place within the arena. Its walls are the track's own extremes, its size is declared."""
-    t = b.tracks
     w, h = F.col("arena_width_cm"), F.col("arena_height_cm")
     shape = F.lower(F.coalesce(F.col("arena_shape"), F.lit("")))
     round_ = shape.contains("circle") | shape.contains("circular") | shape.contains("round")
     known = F.coalesce((w > 0) & (h > 0), F.lit(False)) & centre.has
     small = F.least(w, h)
-    x0, x1, y0, y1 = (b.let(2, f"_b{i}", f(c).over(t.whole)) for i, (f, c) in enumerate(((F.min, centre.x), (F.max, centre.x), (F.min, centre.y), (F.max, centre.y))))
+    x0, x1, y0, y1 = (F.col(n) for n in EXTREMES)
     mid = Point((x0 + x1) / 2, (y0 + y1) / 2, centre.has)
     away = (centre - mid).size
     sides = {"left": centre.x - x0, "right": x1 - centre.x, "bottom": centre.y - y0, "top": y1 - centre.y}
@@ -257,44 +241,50 @@ def _streaks_and_means(b: Layers, section: int, miss: Column, nose_ok: Column, c
 GROUPS = ("missing", "shape", "motion", "head", "micro", "arena")
 
 
+#: Extremes of a track's centre.
+EXTREMES = {"_x0": F.min, "_x1": F.max, "_y0": F.min, "_y1": F.max}
+
+
 def single_features(df: DataFrame, parts: list[str], section: int, keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS) -> DataFrame:
     """(keys, frame, features) of wide tracks: ``<part>_x``, ``<part>_y``, ``has_<part>``, fps, and the arena's
-    width, height and shape. One plan per frame rate; all windows share one shuffle and sort on the keys.
+    width, height and shape. All frame rates share one plan; all windows share one shuffle, of blocks of rows.
 
     ``groups`` limits what is computed. Features are floats in a fixed order.
     """
-    t = Tracks(keys, frame)
-
-    def build(rows: DataFrame, fps: float) -> DataFrame:
-        b = Layers(t, fps)
-        miss, nose_ok, centre_ok = missing_layer(b, parts, "", "")
+    b = Layers()
+    miss, nose_ok, centre_ok = missing_layer(b, parts, "", "")
+    if "missing" in groups:
         _streaks_and_means(b, section, miss, nose_ok, centre_ok)
-        nose, centre = first_available(nose_options(parts)), first_available(centre_options(parts))
-        nose = b.point(0, "n", nose) if nose is not None else None
-        centre = b.point(0, "c", centre) if centre is not None else None
-        tail = part("tail_base") if "tail_base" in parts else None
-        step = b.step(2, "c_v", centre) if centre is not None else None
-        if "shape" in groups:
-            _shape(b, parts, section, nose, centre)
-        if centre is not None and "motion" in groups:
-            _motion(b, section, centre, step)
-        if centre is not None and nose is not None and "head" in groups:
-            _head_and_axis(b, section, nose, centre, step, tail)
-        if "micro" in groups:
-            _micro(b, nose, centre, step, tail)
-        if centre is not None and "arena" in groups:
-            _arena(b, section, nose, centre)
-        rows = rows.withColumns(b.at.pop(0))
-        names = [n for n in b.names if "missing" in groups or not (n.startswith(("kp_", "nose_ok_", "center_ok_")) or n.endswith("_proxy_ok"))]
-        if "missing" in groups:
-            rows = series.missing_streak(rows, t, {"nose_missing_streak": nose_ok < 0.5, "center_missing_streak": centre_ok < 0.5})
-            names += ["nose_missing_streak", "center_missing_streak"]
-        if centre is not None and "motion" in groups:
-            rows = series.winsorised(rows, t, ["_c_x", "_c_y"])
-            spans = {f"{axis}_e{s}": (f"_c_{axis}", scale(s, fps)) for s in (30, 60, 120) for axis in "xy"}
-            rows = series.ewm_mean(rows, t, spans)
-            names += list(spans)
-        rows = b.apply(rows)
-        return rows.select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in names])
-
-    return per_fps(df, build)
+    nose, centre = first_available(nose_options(parts)), first_available(centre_options(parts))
+    nose = b.point(-1, "n", nose) if nose is not None else None
+    centre = b.point(-1, "c", centre) if centre is not None else None
+    tail = part("tail_base") if "tail_base" in parts else None
+    moving = centre is not None and any(g in groups for g in ("motion", "head", "micro"))
+    step = b.step(1, "c_v", centre) if moving else None
+    if "shape" in groups:
+        _shape(b, parts, section, nose, centre)
+    if centre is not None and "motion" in groups:
+        _motion(b, section, centre, step)
+    if centre is not None and nose is not None and "head" in groups:
+        _head_and_axis(b, section, nose, centre, step, tail)
+    if "micro" in groups:
+        _micro(b, nose, centre, step, tail)
+    if centre is not None and "arena" in groups:
+        _arena(b, section, nose, centre)
+    names = [n for n in b.names if "missing" in groups or not (n.startswith(("kp_", "nose_ok_", "center_ok_")) or n.endswith("_proxy_ok"))]
+    whole, carry = {}, []
+    if "missing" in groups:
+        carry = [Roll(f"{n}_missing_streak", "streak", (f"_{n}_gone",)) for n in ("nose", "center")]
+    if centre is not None and "motion" in groups:
+        carry += [Roll(f"{axis}_e{s}", "ewm", (f"_c_{axis}",), s) for s in (30, 60, 120) for axis in "xy"]
+    if centre is not None and "arena" in groups:
+        whole = {n: f(f"_c_{n[1]}") for n, f in EXTREMES.items()}
+    names += [r.name for r in carry]
+    t = Tracks(keys, frame)
+    fps = F.coalesce(F.col("fps").cast("double"), F.lit(REFERENCE_FPS))
+    rows = b.before_blocks(df).withColumns({"_nose_gone": ind(nose_ok < 0.5), "_center_gone": ind(centre_ok < 0.5)})
+    if centre is not None and "motion" in groups:
+        rows = series.winsorised(rows, t, ["_c_x", "_c_y"])
+    b.wanted[LAST] += carry
+    rows = b.apply(in_blocks(rows, t, *b.reach(), fps, whole, carry), [*keys, frame, *names])
+    return rows.where("_own").select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in names])

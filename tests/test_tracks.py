@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spoorline.functions import series
 from spoorline.functions.frames import Tracks, ind, scale, scale_signed
+from spoorline.functions.rolling import Roll, rolled
 from spoorline.operators import evaluate, intervals, learn, reshape
 from spoorline.plans import catalogue
 from spoorline.plans.pair import pair_features
@@ -48,29 +49,18 @@ def test_gap_fill(spark):
 
 def test_streak_rank_ewm_corr(spark):
     missing = [1, 1, 0, 1, 1, 1, 0]
-    df = track(spark, x=[None if m else 1 for m in missing])
-    assert values(series.missing_streak(df, T, {"s": F.col("x").isNull()}), "s") == [1, 2, 0, 2, 3, 4, 0]
+    df = track(spark, x=missing)
+    assert values(rolled(df, T, [Roll("s", "streak", ("x",))]), "s") == [1, 2, 0, 2, 3, 4, 0]
     df = track(spark, x=[3, 1, 2, 2, 2, None, 5])
-    got = values(df.select("frame", series.roll_rank_pct(F.col("x"), T.trailing(4), 1).alias("r")), "r")
+    got = values(rolled(df, T, [Roll("r", "rank", ("x",), 4, "trailing")]), "r")
     assert [None if v is None else round(v, 4) for v in got] == [1, 0.5, 0.6667, 0.625, 0.75, None, 1]
     df = track(spark, x=[1, None, 3, 4])
-    assert [round(v, 6) for v in values(series.ewm_mean(df, T, {"e": ("x", 3)}), "e")] == [1, 1, 2.6, 3.461538]
+    assert [round(v, 6) for v in values(rolled(df, T, [Roll("e", "ewm", ("x",), 3)]), "e")] == [1, 1, 2.6, 3.461538]
     df = track(spark, x=[1, 2, 3, None, 5, 6], y=[2, 1, 4, 5, None, 9])
-    got = values(df.select("frame", series.roll_corr(F.col("x"), F.col("y"), T.trailing(4), 1).alias("r")), "r")
+    got = values(rolled(df, T, [Roll("r", "corr", ("x", "y"), 4, "trailing")]), "r")
     assert [None if v is None else round(v, 6) for v in got] == [None, -1, 0.654654, 0.654654, 1, 1]
 
 
-def test_ewm_hands_on_from_block_to_block(spark):
-    rng = np.random.default_rng(2)
-    x = pd.Series(rng.normal(0, 5, 300))
-    x[40:280] = np.nan
-    x[0:3] = np.nan
-    df = track(spark, x=[None if np.isnan(v) else v for v in x])
-    for span in (2, 30):
-        got = pd.Series(values(series.ewm_mean(df, T, {"e": ("x", span)}, block=16), "e"), dtype=float)
-        np.testing.assert_allclose(got, x.ewm(span=span, min_periods=1).mean(), rtol=1e-9)
-
-
 def test_states_and_changes(spark):
     df = track(spark, x=[None, 0.5, 0.6, 2, 5, 9]).withColumn("s", series.speed_state(F.col("x")))
     assert values(df, "s") == [None, 0, 1, 1, 2, 3]
