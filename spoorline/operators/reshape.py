@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series
 from ..functions.frames import Tracks
+from ..functions.rolling import meet
 
 #: Parts that are dropped from recordings of more than five parts.
 NOISY_PARTS = (
@@ -77,16 +78,34 @@ def ordered_pairs(tracks: DataFrame, columns: list[str], video: str = "video_id"
     return a.join(b, [video, frame]).where("agent <> target")
 
 
-def paint_labels(frames: DataFrame, intervals: DataFrame, listed: DataFrame, keys: list[str], frame: str = "frame") -> DataFrame:
+def paint_labels(frames: DataFrame, intervals: DataFrame, listed: DataFrame, keys: list[str], frame: str = "frame", block: int = 1 << 14) -> DataFrame:
     """(keys, frame, action, label): 1 within an interval of the action (stop included), 0 elsewhere if the track lists it.
 
-    An annotated action that is not listed gives its 1s only. Intervals become their frames, so the join is an
-    equi-join whatever their lengths.
+    An annotated action that is not listed gives its 1s only. A start adds one and the frame after a stop takes one away:
+    a running sum over blocks of ``block`` frames of a track and action, with the sum of the blocks before carried in,
+    tells how many intervals hold a frame, whatever their lengths.
     """
-    painted = intervals.where("start_frame <= stop_frame").select(*keys, "action", F.explode(F.sequence("start_frame", "stop_frame")).alias(frame), F.lit(1).alias("label"))
-    ones = frames.select(*keys, frame).join(painted, [*keys, frame])
-    zeros = frames.select(*keys, frame).join(listed.select(*keys, "action").distinct(), keys).withColumn("label", F.lit(0))
-    return zeros.unionByName(ones).groupBy(*keys, frame, "action").agg(F.max("label").alias("label"))
+    group = [*keys, "action"]
+    marks = intervals.where("start_frame <= stop_frame")
+    kind = frames.schema[frame].dataType
+    events = marks.select(*group, F.explode(F.array(F.struct(F.col("start_frame").cast("long").alias("at"), F.lit(1).alias("d")), F.struct((F.col("stop_frame") + 1).cast("long").alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    events = events.select(*group, F.col("e.at").alias("_at"), F.col("e.d").alias("_d")).groupBy(*group, "_at").agg(F.sum("_d").alias("_d"))
+    known = listed.select(*group).distinct().withColumn("_listed", F.lit(True)).unionByName(marks.select(*group).distinct().withColumn("_listed", F.lit(False)))
+    known = known.groupBy(*group).agg(F.max("_listed").alias("_listed"))
+    rows = meet(frames.select(*keys, F.col(frame).cast("long").alias("_at")), known.groupBy(*keys).agg(F.collect_list(F.struct("action", "_listed")).alias("_own")), keys)
+    rows = rows.select(*keys, "_at", F.inline("_own")).withColumn("_d", F.lit(None).cast("long"))
+    both = rows.unionByName(events.withColumn("_listed", F.lit(None).cast("boolean"))).withColumn("_block", F.floor(F.col("_at") / F.lit(block)))
+    per = events.groupBy(*group, F.floor(F.col("_at") / F.lit(block)).alias("_block")).agg(F.sum("_d").alias("_sum"))
+    ahead = F.lead("_block").over(Window.partitionBy(*group).orderBy("_block"))
+    total = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0))
+    # A sum other than 0 is carried to each block up to the next that has events: as many rows as blocks are held.
+    carried = per.select(*group, "_block", ahead.alias("_to"), total.alias("_open")).where("_open <> 0 and _to is not null")
+    carried = carried.select(*group, F.explode(F.sequence(F.col("_block") + 1, F.col("_to"))).alias("_block"), "_open")
+    in_block = Window.partitionBy(*group, "_block").orderBy("_at", F.col("_d").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = meet(both, carried, [*group, "_block"], "left")
+    label = (F.coalesce(F.sum("_d").over(in_block), F.lit(0)) + F.coalesce("_open", F.lit(0)) > 0).cast("int")
+    out = both.withColumn("label", label).where(F.col("_d").isNull() & (F.col("_listed") | (F.col("label") == 1)))
+    return out.select(*keys, F.col("_at").cast(kind).alias(frame), "action", "label")
 
 
 def with_fps(tracks: DataFrame, meta: DataFrame, lookup: DataFrame | None = None, default: float = 30.0) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.frames import Tracks, cosine, ind, norm
 from ..functions.rolling import Roll, at_least, rolled, share
 from ..operators import evaluate, intervals, learn, meta, reshape
 from ..sources import tables
-from . import feature_queries
+from . import feature_queries, recording_queries
 from .pair import pair_features
 from .single import single_features
 
@@ -549,7 +549,7 @@ _query(f"""with recursive {TRACKS}, e as (select track, frame, x, y, {_ends('x')
     select track, action, start_frame, stop_frame from w where keep""")(flagship)
 
 
-for _name, (_made, _text) in feature_queries.all_groups(tracks, TRACKS).items():
+for _name, (_made, _text) in (feature_queries.all_groups(tracks, TRACKS) | recording_queries.all_queries(tracks, TRACKS)).items():
     _queries[_name], _sql[_name] = _made, _text
 
 

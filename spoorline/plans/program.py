@@ -43,9 +43,9 @@ def listed(own: DataFrame, kind: str) -> DataFrame:
     return b.select("video_id", F.col("agent").alias("agent_id"), F.col("target").alias("target_id"), "action")
 
 
-def with_metadata(features: DataFrame, own: DataFrame, vocab: dict[str, list[str]]) -> DataFrame:
-    """``features`` with the metadata features of each row's recording."""
-    made = {f"meta_{n}": c.cast("double") for n, c in {**meta.numeric_features(), **meta.one_hot(vocab), **meta.label_codes(vocab)}.items()}
+def with_metadata(features: DataFrame, own: DataFrame, vocab: dict[str, list[str]], codes: bool = False) -> DataFrame:
+    """``features`` with the metadata features of each row's recording; categories one-hot, or by ``codes``."""
+    made = {f"meta_{n}": c.cast("double") for n, c in {**meta.numeric_features(), **(meta.label_codes(vocab) if codes else meta.one_hot(vocab))}.items()}
     return features.join(own.select("video_id", *[c.alias(n) for n, c in made.items()]), "video_id")
 
 

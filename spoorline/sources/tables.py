@@ -38,22 +38,41 @@ def read_metadata(spark: SparkSession, path: str, skip_prefix: str | None = UNLA
     return meta.withColumn("n_mice", count_known([f"mouse{i}_strain" for i in range(1, 5)]))
 
 
-def _per_video(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All files ``root/<lab>/<video>.parquet`` in one scan; the keys come from their paths."""
+def _per_video(spark: SparkSession, root: str, schema: str, wanted: DataFrame | None) -> DataFrame:
+    """Files ``root/<lab>/<video>.parquet`` in one scan; the keys come from their paths.
+
+    ``wanted`` (lab_id, video_id): only these recordings' files are listed to the scan, none that is not there. Their
+    names, one a recording, pass the driver, as the listing of all files does anyway.
+    """
     path = F.col("_metadata.file_path")
-    table = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+    reader = spark.read.schema(schema)
+    if wanted is None:
+        table = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+    else:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        found, at = [], hadoop.Path(root)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        by_lab: dict[str, set[str]] = {}
+        for r in wanted.select("lab_id", "video_id").where("lab_id is not null and video_id is not null").distinct().collect():
+            by_lab.setdefault(r.lab_id, set()).add(f"{r.video_id}.parquet")
+        for lab, names in sorted(by_lab.items()):
+            folder = hadoop.Path(at, lab)
+            if files.exists(folder):
+                found += [s.getPath().toString() for s in files.listStatus(folder) if s.getPath().getName() in names]
+        table = reader.parquet(*found) if found else spark.createDataFrame([], schema).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
     keys = F.regexp_extract(path, r"([^/]+)/([^/]+)\.parquet$", 1), F.regexp_extract(path, r"([^/]+)/([^/]+)\.parquet$", 2)
-    return table.select(F.url_decode(keys[0]).alias("lab_id"), keys[1].cast("long").alias("video_id"), "*")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    return table.select(F.url_decode(keys[0]).alias("lab_id"), keys[1].cast("long").alias("video_id"), *columns)
 
 
-def read_tracking(spark: SparkSession, root: str) -> DataFrame:
-    """Long points; NaN is read as missing."""
-    return _per_video(spark, root, TRACKING).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x", "y")})
+def read_tracking(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Long points of all recordings, or of the ``wanted`` ones; NaN is read as missing."""
+    return _per_video(spark, root, TRACKING, wanted).withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x", "y")})
 
 
-def read_annotations(spark: SparkSession, root: str) -> DataFrame:
+def read_annotations(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
     """Closed intervals; a recording without a file has no rows, so it drops out of inner joins."""
-    return _per_video(spark, root, ANNOTATION)
+    return _per_video(spark, root, ANNOTATION, wanted)
 
 
 def write_intervals(intervals: DataFrame, path: str) -> None:
