@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,21 +55,23 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5) -> DataFr
     """(group, fold): groups stay whole; each goes to the fold that then spreads the classes most evenly.
 
     Spark counts the classes of each group; the assignment runs over these counts, one row per group and class
-    (recordings, not rows: thousands), the most uneven groups first.
+    (recordings, not rows: thousands), the most uneven groups first, equals by name. The spread of a fold's shares is
+    compared in whole numbers, so ties go to the fold of fewer rows, then the first.
     """
     counts: dict = {}
     for r in df.where(F.col(label).isNotNull()).groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).collect():
         counts.setdefault(r[0], {})[r[1]] = r["n"]
     classes = sorted({c for own in counts.values() for c in own})
     total = {c: max(1, sum(own.get(c, 0) for own in counts.values())) for c in classes}
-    spread = lambda v: sum((x - sum(v) / len(v)) ** 2 for x in v) / max(1, len(v))
+    spread = lambda v: len(v) * sum(x * x for x in v) - sum(v) ** 2
+    weight = {c: math.prod(total[o] ** 2 for o in classes if o != c) for c in classes}
     load = [dict.fromkeys(classes, 0) for _ in range(folds)]
     out = []
     for g in sorted(counts, key=lambda g: (-spread([counts[g].get(c, 0) for c in classes]), str(g))):
         cost = []
         for k in range(folds):
-            shares = [[(load[j][c] + (counts[g].get(c, 0) if j == k else 0)) / total[c] for j in range(folds)] for c in classes]
-            cost.append((sum(spread(s) for s in shares), sum(load[k].values()), k))
+            held = {c: [load[j][c] + (counts[g].get(c, 0) if j == k else 0) for j in range(folds)] for c in classes}
+            cost.append((sum(weight[c] * spread(held[c]) for c in classes), sum(load[k].values()), k))
         k = min(cost)[2]
         for c, n in counts[g].items():
             load[k][c] += n

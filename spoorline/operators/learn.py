@@ -1,80 +1,46 @@
-"""One boosted-tree classifier per action, with scores from folds that have not seen the row."""
+"""One boosted classifier per action, with scores from folds that have not seen the row."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stages import Stages
+from . import boosting
+from .boosting import Ensemble
 from .evaluate import best_threshold, group_folds, sweep
 
 
-def boosted_trees(features: list[str], trees: int = 250, depth: int = 6, rate: float = 0.08, share: float = 0.8, seed: int = 42) -> Pipeline:
-    """Missing values are imputed by the median, with a flag column each (see ``flagged``)."""
-    filled = [f"_f_{c}" for c in features]
-    flags = [f"_m_{c}" for c in features]
-    gbt = GBTClassifier(labelCol="label", featuresCol="_v", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=share, featureSubsetStrategy=str(share), minInstancesPerNode=10, seed=seed)
-    return Pipeline(stages=[Imputer(strategy="median", inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled + flags, outputCol="_v"), gbt])
-
-
-def flagged(df: DataFrame, features: list[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in features}).withColumns({f"_m_{c}": F.col(c).isNull().cast("double") for c in features})
-
-
-def once(df: DataFrame) -> DataFrame:
-    """``df`` computed once: in the session's checkpoint folder, or cached where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
-def out_of_fold(df: DataFrame, features: list[str], group: str, label: str = "label", folds: int = 5, save: str | None = None, **settings) -> DataFrame:
+def out_of_fold(df: DataFrame, features: list[str], group: str, label: str = "label", folds: int = 5, save: str | None = None, stages: Stages | None = None, **settings) -> DataFrame:
     """``df`` (rows of known label) with fold and score. Groups stay in one fold; without positives every score is 0.
 
-    Features without any value are left out. With ``save`` the folds' models are written to ``save``/fold=<k>.
+    All folds share the passes of the fit. Features without any value are left out. With ``save`` the folds' models are
+    written to ``save``/fold=<k>. The rows are written to ``stages`` (of the session's life, if not given) on the way.
     """
+    stages = stages or Stages(df.sparkSession)
     df = df.where(F.col(label).isNotNull()).withColumn("label", F.col(label).cast("double"))
-    assigned = once(flagged(df.join(group_folds(df, group, "label", folds), group), features))
+    assigned = stages.write(df.join(F.broadcast(group_folds(df, group, "label", folds)), group))
     known = assigned.agg(F.max("label").alias("_hi"), F.min("label").alias("_lo"), *[F.count(f"`{c}`").alias(c) for c in features]).first()
     if known is None or known["_hi"] != 1 or known["_lo"] != 0:
-        return assigned.withColumn("score", F.lit(0.0)).drop(*[f"_m_{c}" for c in features])
-    used = [c for c in features if known[c]]
-
-    def scored(k: int) -> DataFrame:
-        rows = assigned.where(F.col("fold") != k)
-        have = rows.agg(*[F.count(f"`{c}`").alias(c) for c in used]).first()
-        model = boosted_trees([c for c in used if have[c]], **settings).fit(rows)
-        if save:
-            model.write().overwrite().save(f"{save}/fold={k}")
-        return scores(model, assigned.where(F.col("fold") == k))
-
-    # A fit is a long row of short jobs, so the folds are fitted at the same time.
-    with ThreadPoolExecutor(folds) as pool:
-        own = [r.fold for r in assigned.select("fold").distinct().collect()]
-        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(scored), sorted(own)))
-    return out.drop(*[f"_m_{c}" for c in features])
+        return assigned.withColumn("score", F.lit(0.0))
+    models = boosting.fit(assigned, [c for c in features if known[c]], ["label"], "fold", folds, **settings)
+    if save:
+        for (_, k), model in models.items():
+            model.save(df.sparkSession, f"{save}/fold={k}")
+    return boosting.scores(assigned, {"score": [models["label", k] for k in range(folds)]}, "fold")
 
 
-def scores(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
-    """``df`` (as ``flagged`` gives it) with the model's probability of 1."""
-    out = model.transform(df).withColumn(name, vector_to_array("probability")[1])
-    return out.drop("_v", "rawPrediction", "probability", "prediction", *[f"_f_{c}" for c in model.stages[0].getInputCols()])
+def saved_models(df: DataFrame, folder: str) -> list[Ensemble]:
+    """The models of all folds that ``folder`` holds."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/fold=*")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return [Ensemble.load(spark, path) for path in sorted(s.getPath().toString() for s in found)]
 
 
-def mean_score(df: DataFrame, folder: str, folds: list[int], name: str) -> DataFrame:
-    """``df`` with the mean probability of the models saved in ``folder``."""
-    models = [PipelineModel.load(f"{folder}/fold={k}") for k in folds]
-    features = sorted({c for m in models for c in m.stages[0].getInputCols()})
-    own = [f"_s{i}" for i in range(len(models))]
-    out = flagged(df, features)
-    for model, s in zip(models, own, strict=True):
-        out = scores(model, out, s)
-    return out.withColumn(name, sum(F.col(s) for s in own) / len(own)).drop(*own, *[f"_m_{c}" for c in features])
+def mean_scores(df: DataFrame, folders: dict[str, str]) -> DataFrame:
+    """``df`` with a column for each name: the mean probability of the models saved in its folder, all in one pass."""
+    return boosting.scores(df, {name: saved_models(df, folder) for name, folder in folders.items()})
 
 
 def tuned_threshold(scored: DataFrame, keys: list[str]) -> DataFrame:

@@ -474,7 +474,17 @@ def tuned_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_threshold(evaluate.sweep(d, ["lang"], "quality", "score"), ["lang"]).select("lang", "threshold", r6(F.col("f1")).alias("f1"))
 
 
-@_query()
+@_query("""with recursive n as (select source, sum(cast(quality = 0 as int))::hugeint as a, sum(cast(quality = 1 as int))::hugeint as b from documents join labels using (doc_id) group by source),
+    total as (select greatest(1, sum(a))::hugeint as ta, greatest(1, sum(b))::hugeint as tb from n),
+    g as (select source, a, b, row_number() over (order by 2 * (a * a + b * b) - (a + b) * (a + b) desc, source) as i from n),
+    f as (select 0::bigint as i, null::varchar as source, null::int as fold, [0, 0, 0, 0, 0]::hugeint[] as la, [0, 0, 0, 0, 0]::hugeint[] as lb
+        union all select c.i, c.source, (c.k - 1)::int, list_transform(range(1, 6), lambda j: c.la[j] + case when j = c.k then c.a else 0 end), list_transform(range(1, 6), lambda j: c.lb[j] + case when j = c.k then c.b else 0 end)
+        from (select *, row_number() over (order by cost, la[k] + lb[k], k) as r from (
+            select g.i, g.source, g.a, g.b, f.la, f.lb, k,
+                tb * tb * (5 * list_sum(list_transform(range(1, 6), lambda j: (f.la[j] + case when j = k then g.a else 0 end) * (f.la[j] + case when j = k then g.a else 0 end))) - (list_sum(f.la) + g.a) * (list_sum(f.la) + g.a))
+                + ta * ta * (5 * list_sum(list_transform(range(1, 6), lambda j: (f.lb[j] + case when j = k then g.b else 0 end) * (f.lb[j] + case when j = k then g.b else 0 end))) - (list_sum(f.lb) + g.b) * (list_sum(f.lb) + g.b)) as cost
+            from f join g on g.i = f.i + 1, total, (select unnest(range(1, 6)) as k))) c where r = 1)
+    select source, fold from f where source is not null""")
 def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.group_folds(_scored(spark, sf_dir), "source", "quality")
 
@@ -513,8 +523,13 @@ def all_pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def gbt_classifier_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _scored(spark, sf_dir).select("doc_id", "source", "quality", F.log1p("n_chars").alias("size"), F.col("toxic").cast("double").alias("toxic"))
-    return learn.out_of_fold(d, ["size", "toxic"], "source", "quality").select("doc_id", "fold", "label", "score")
+    """Scores of painted labels from track features, by models of the program's size that have not seen the track."""
+    p = points(spark, sf_dir)
+    x = single_features(p, PARTS, 1, ["track"], groups=("micro",))
+    marks = tracks(spark, sf_dir).where("event_type = 'purchase'").select("track", F.lit("buy").alias("action"), F.col("frame").alias("start_frame"), (F.col("frame") + 5).alias("stop_frame"))
+    y = reshape.paint_labels(p, marks, p.select("track", F.lit("buy").alias("action")), ["track"])
+    names = [c for c in x.columns if c not in ("track", "frame")]
+    return learn.out_of_fold(x.join(y, ["track", "frame"]), names, "track").select("track", "frame", "fold", "label", "score")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, intervals, learn, meta, reshape
 from ..sources import tables
+from ..sources.stages import Stages
 from . import pair, single
 
 KEYS = ["video_id", "agent_id", "target_id"]
@@ -32,9 +33,10 @@ class Recordings:
 
     @classmethod
     def read(cls, spark: SparkSession, metadata: str, tracking: str, annotation: str | None = None) -> Recordings:
+        """Only the files of recordings that the metadata choose are read."""
         known = tables.read_metadata(spark, metadata).where("behaviors_labeled is not null")
-        points = tables.read_tracking(spark, tracking).drop("lab_id")
-        return cls(known, points, tables.read_annotations(spark, annotation).drop("lab_id") if annotation else None)
+        points = tables.read_tracking(spark, tracking, known).drop("lab_id")
+        return cls(known, points, tables.read_annotations(spark, annotation, known).drop("lab_id") if annotation else None)
 
 
 def listed(own: DataFrame, kind: str) -> DataFrame:
@@ -85,59 +87,66 @@ def _sections(meta_table: DataFrame, known: DataFrame) -> Iterator[tuple[int, Da
 def train(rec: Recordings, root: str, test: DataFrame | None = None, folds: int = 5, groups: dict | None = None, **settings) -> DataFrame:
     """Fits, tunes and stores; (section, kind, action, threshold, f1) of each action that has a threshold.
 
-    Under ``root``: models/<section>/<kind>/<action>/fold=<k>, oof/..., thresholds and scores. Actions in fewer than
-    ``folds`` recordings are left out; an action without positives gets scores of 0 and neither model nor threshold.
+    Under ``root``: models/<section>/<kind>/<action>/fold=<k>, oof/..., thresholds, scores and mean_f1, the mean over
+    actions. Actions in fewer than ``folds`` recordings are left out; an action without positives gets scores of 0 and
+    neither model nor threshold.
     """
     arena = reshape.arenas(rec.meta, *([test] if test is not None else []))
-    vocab, done = meta.vocabulary(rec.meta), []
+    vocab, done, spark = meta.vocabulary(rec.meta), [], rec.meta.sparkSession
     for section, own, parts in _sections(rec.meta, rec.meta):
         for kind in KINDS:
-            x = learn.once(features(rec, own, parts, section, kind, arena, vocab, (groups or {}).get(kind)))
+            stages = Stages(spark)
+            x = stages.write(features(rec, own, parts, section, kind, arena, vocab, (groups or {}).get(kind)))
             names = [c for c in x.columns if c not in (*KEYS, "video_frame")]
-            y = learn.once(labels(rec, own, x.select(*KEYS, "video_frame"), kind))
+            y = stages.write(labels(rec, own, x.select(*KEYS, "video_frame"), kind))
             for row in evaluate.enough_groups(y, ["action"], "video_id", folds).orderBy("action").collect():
                 place = f"{section}/{kind}/{quote(row.action, safe='')}"
                 data = x.join(y.where(F.col("action") == row.action).drop("action"), [*KEYS, "video_frame"])
-                scored = learn.out_of_fold(data, names, "video_id", folds=folds, save=f"{root}/models/{place}", **settings)
+                scored = learn.out_of_fold(data, names, "video_id", folds=folds, save=f"{root}/models/{place}", stages=stages, **settings)
                 scored.select(*KEYS, "video_frame", "fold", "label", "score").write.mode("overwrite").parquet(f"{root}/oof/{place}")
-                scored = x.sparkSession.read.parquet(f"{root}/oof/{place}").select("label", "score", *[F.lit(v).alias(n) for n, v in (("section", str(section)), ("kind", kind), ("action", row.action))])
+                scored = spark.read.parquet(f"{root}/oof/{place}").select("label", "score", *[F.lit(v).alias(n) for n, v in (("section", str(section)), ("kind", kind), ("action", row.action))])
                 if not scored.where("label = 1").isEmpty():
                     done.append(learn.tuned_threshold(scored, ["section", "kind", "action"]))
-    spark = rec.meta.sparkSession
+            stages.close()
     out = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "section string, kind string, action string, threshold double, f1 double")
     out.write.mode("overwrite").parquet(f"{root}/scores")
     out = spark.read.parquet(f"{root}/scores")
+    evaluate.mean_f1(out).write.mode("overwrite").parquet(f"{root}/mean_f1")
     tables.write_thresholds(out, f"{root}/thresholds")
     return out
 
 
-def predict(rec: Recordings, known: DataFrame, root: str, train_arena: DataFrame | None = None, folds: int = 5, groups: dict | None = None, compat: bool = False) -> DataFrame:
-    """(keys, action, start_frame, stop_frame) of ``rec``, by the models under ``root``.
+def predict(rec: Recordings, known: DataFrame, root: str, train_arena: DataFrame | None = None, groups: dict | None = None, save: str | None = None, compat: bool = False) -> DataFrame:
+    """(keys, action, start_frame, stop_frame) of ``rec``, by the models under ``root``; with ``save`` also written as CSV.
 
     ``known``: metadata of the training recordings, which fixes sections and vocabularies. An action is scored where its
-    section has exactly one model of it and the track or pair lists it; the scores of the folds' models are averaged.
+    section and kind have a model of it (with ``compat``: where its section has exactly one model of it, of either kind)
+    and the track or pair lists it; the scores of all saved folds' models are averaged, all actions in one pass.
     """
     spark = known.sparkSession
     arena = reshape.arenas(*([train_arena] if train_arena is not None else []), rec.meta)
     vocab, registry, found, every = meta.vocabulary(known), tables.model_registry(spark, f"{root}/models"), [], []
     limits = {(r.kind, r.section, r.action): r.threshold for r in tables.read_thresholds(spark, f"{root}/thresholds").collect()}
+    by = ("section", "action") if compat else ("section", "kind", "action")
     for section, own, parts in _sections(rec.meta, known):
         for kind in KINDS:
             mine = listed(own, kind)
             every.append(mine)
-            wanted = tables.single_models(mine.select(F.lit(str(section)).alias("section"), "action").distinct(), registry).join(registry, ["section", "action"])
-            models = {r.action: r.path for r in wanted.collect() if r.path.split("/")[-2] == kind}
+            asked = mine.select(F.lit(str(section)).alias("section"), F.lit(kind).alias("kind"), "action").distinct()
+            wanted = tables.single_models(asked, registry, by).join(registry, ["section", "kind", "action"])
+            models = {r.action: r.path for r in wanted.collect()}
             if not models:
                 continue
-            x = learn.once(features(rec, own, parts, section, kind, arena, vocab, (groups or {}).get(kind)))
+            x = features(rec, own, parts, section, kind, arena, vocab, (groups or {}).get(kind))
             own_actions = mine.groupBy(*KEYS).agg(F.collect_set("action").alias("_own"))  # a few actions a track
-            for i, (_, path) in enumerate(sorted(models.items())):
-                x = learn.mean_score(x, path, list(range(folds)), f"_a{i}")
-            x = x.join(own_actions, KEYS)
+            x = learn.mean_scores(x, {f"_a{i}": path for i, (_, path) in enumerate(sorted(models.items()))}).join(own_actions, KEYS)
             scored = {a: F.when(F.array_contains("_own", a), F.col(f"_a{i}")) for i, a in enumerate(sorted(models))}
             tuned = {a: limits[kind, str(section), a] for a in models if (kind, str(section), a) in limits}
             states = x.select(*KEYS, "video_frame", intervals.best_action(scored, tuned).alias("state"))
             found.append(intervals.runs(states, KEYS, "state", "video_frame", compat))
     none = spark.createDataFrame([], "video_id long, agent_id string, target_id string, action string, start_frame long, stop_frame long")
     out = reduce(DataFrame.unionByName, [f.select(*none.columns) for f in found], none)
-    return intervals.cleaned(out, reduce(DataFrame.unionByName, every), reshape.frame_extent(rec.points), compat)
+    out = intervals.cleaned(out, reduce(DataFrame.unionByName, every), reshape.frame_extent(rec.points), compat)
+    if save:
+        tables.write_intervals(out, save)
+    return out

@@ -99,19 +99,19 @@ def write_intervals(intervals: DataFrame, path: str) -> None:
     staged_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(staged_path, True)
 
 
-def single_models(actions: DataFrame, registry: DataFrame) -> DataFrame:
-    """Actions (section, action) with exactly one stored model in ``registry`` (section, action, path)."""
-    one = registry.groupBy("section", "action").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return actions.join(one, ["section", "action"], "left_semi")
+def single_models(actions: DataFrame, registry: DataFrame, by: tuple[str, ...] = ("section", "action")) -> DataFrame:
+    """Rows of ``actions`` with exactly one stored model in ``registry`` (``by``, path)."""
+    one = registry.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n = 1")
+    return actions.join(one, list(by), "left_semi")
 
 
 def model_registry(spark: SparkSession, root: str) -> DataFrame:
-    """(section, action, path) of the models under ``root``/<section>/<kind>/<action>; one row per model folder."""
+    """(section, kind, action, path) of the models under ``root``/<section>/<kind>/<action>; one row per model folder."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(f"{root}/*/*/*")
     found = [s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)]
-    rows = [(*(lambda p: (p[-3], unquote(p[-1])))(path.split("/")), path) for path in found]
-    return spark.createDataFrame(rows, "section string, action string, path string")
+    rows = [(*(lambda p: (p[-3], p[-2], unquote(p[-1])))(path.split("/")), path) for path in found]
+    return spark.createDataFrame(rows, "section string, kind string, action string, path string")
 
 
 def write_thresholds(thresholds: DataFrame, path: str) -> None:

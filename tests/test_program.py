@@ -8,12 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spoorline.operators import evaluate, meta, reshape
+from spoorline.operators import evaluate, learn, meta, reshape
 from spoorline.plans import program
 from spoorline.sources import tables
 
 PARTS = {"A": ["body"], "B": ["body_center", "nose", "tail_base"], "C": ["nose", "tail_base"]}
-SETTINGS = {"folds": 2, "trees": 2, "depth": 2, "groups": {"single": ("micro",), "pair": ("chase",)}}
+SETTINGS = {"folds": 2, "trees": 3, "depth": 2, "rate": 0.5, "groups": {"single": ("micro",), "pair": ("chase",)}}
 
 
 @pytest.fixture(scope="module")
@@ -52,9 +52,12 @@ def test_train_then_predict(spark, fixture, tmp_path):
     oof = spark.read.parquet(f"{root}/oof/1/single/rear")
     assert oof.count() == 4 * 2 * 60 and oof.groupBy("video_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty()
     registry = tables.model_registry(spark, f"{root}/models")
-    assert sorted((r.section, r.action) for r in registry.collect()) == [("1", "chase"), ("1", "rear")]
-    settings = {k: SETTINGS[k] for k in ("folds", "groups")}
-    found = program.predict(program.Recordings(rec.meta, rec.points), rec.meta, root, **settings).collect()
+    assert sorted((r.section, r.kind, r.action) for r in registry.collect()) == [("1", "pair", "chase"), ("1", "single", "rear")]
+    assert len(learn.saved_models(rec.meta, f"{root}/models/1/pair/chase")) == 2
+    assert spark.read.parquet(f"{root}/mean_f1").first().f1 == pytest.approx(np.mean([r.f1 for r in got.values()]))
+    found = program.predict(program.Recordings(rec.meta, rec.points), rec.meta, root, groups=SETTINGS["groups"], save=f"{root}/submission").collect()
+    written = spark.read.option("header", True).csv(f"{root}/submission").collect()
+    assert sorted((int(r.video_id), r.agent_id, r.target_id, int(r.start_frame)) for r in written) == sorted((r.video_id, r.agent_id, r.target_id, r.start_frame) for r in found)
     assert {r.video_id for r in found} >= {2, 3, 4, 5} and all(r.start_frame < r.stop_frame for r in found)
     for key in {(r.video_id, r.agent_id, r.target_id) for r in found}:
         own = sorted((r.start_frame, r.stop_frame) for r in found if (r.video_id, r.agent_id, r.target_id) == key)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spoorline.functions import series
 from spoorline.functions.frames import Tracks, ind, scale, scale_signed
 from spoorline.functions.rolling import Roll, rolled
-from spoorline.operators import evaluate, intervals, learn, reshape
+from spoorline.operators import boosting, evaluate, intervals, reshape
 from spoorline.plans import catalogue
 from spoorline.plans.pair import pair_features
 from spoorline.plans.single import single_features
@@ -21,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 T = Tracks(["track"])
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels".split()
 #: Without SQL, or with plans of many columns; of the feature groups three are compared here.
-HEAVY = {"all_single_features", "all_pair_features", "gbt_classifier_oof", "group_folds"}
+HEAVY = {"all_single_features", "all_pair_features", "gbt_classifier_oof"}
 HEAVY |= {n for n in catalogue.queries() if n.startswith(("single_", "pair_"))} - {"single_micro", "pair_ends", "pair_contact"}
 
 
@@ -177,17 +177,19 @@ def test_catalogue_against_duckdb(spark, duck, name):
 
 
 def test_trees_are_fitted_at_full_size(spark, monkeypatch):
-    made, build = [], learn.boosted_trees
+    made = []
 
-    def small(features, **settings):
-        made.append(build(features, **settings).getStages()[-1])
-        return build(features, **{**settings, "trees": 1, "depth": 1})
+    def small(df, features, labels, fold=None, folds=0, **settings):
+        made.append((boosting.Settings(**settings), folds, len(features)))
+        return fit(df, features, labels, fold, folds, **{**settings, "trees": 1, "depth": 1})
 
-    monkeypatch.setattr(learn, "boosted_trees", small)
+    fit = boosting.fit
+    monkeypatch.setattr(boosting, "fit", small)
     out = catalogue.queries()["gbt_classifier_oof"](spark, SF)
-    assert [(g.getMaxIter(), g.getMaxDepth(), g.getStepSize()) for g in made] == [(250, 6, 0.08)] * 5
-    rows = out.select("doc_id").collect()
-    assert len(rows) == len({r.doc_id for r in rows}) == spark.read.parquet(f"{SF}/labels.parquet").count()
+    assert [(s.trees, s.leaves, s.depth, s.rate, s.least_weight, s.l1, s.l2, s.rows, s.columns, k) for s, k, _ in made] == [(250, 31, 6, 0.08, 10.0, 0.1, 0.1, 0.8, 0.8, 5)] and made[0][2] > 20
+    rows = out.toPandas()
+    assert len(rows) == len(rows[["track", "frame"]].drop_duplicates()) == spark.read.parquet(f"{SF}/events.parquet").count() and rows.score.between(0, 1).all()
+    assert (rows.groupby("track").fold.nunique() == 1).all()
 
 
 def test_flagship_has_no_overlaps(spark):
