@@ -52,29 +52,43 @@ def _starts(n: int, at: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Winnowed fingerprints of benchmark items, and their distinct windows with the items that hold them."""
+    """Winnowed fingerprints of benchmark items, and their distinct windows, each with the number of its set of items.
+
+    Items are places in ``ids``, which is sorted. Windows that the same items hold, such as a passage that all share, have one set.
+    """
 
     def __init__(self, items: list[tuple[str, np.ndarray]]) -> None:
-        self.ids = [x[0] for x in items]
+        self.ids = sorted({x[0] for x in items})
+        place = {x: k for k, x in enumerate(self.ids)}
         prints, windows = [np.empty(0, np.uint64)], {}
-        for k, (_, w) in enumerate(items):
-            own = np.array([0, len(w)])
+        for name, w in items:
             if len(w) >= WINDOW:
-                prints.append(fingerprints(w, own)[0])
+                prints.append(fingerprints(w, np.array([0, len(w)]))[0])
             n = min(WINDOW, len(w))
             if n:
-                windows.setdefault(n, []).append((np.unique(_text.grams(w, n)), k))
+                windows.setdefault(n, []).append((np.unique(_text.grams(w, n)), place[name]))
         self.prints = np.unique(np.concatenate(prints))
-        self.windows = {}
+        self.windows, self.sets, known = {}, [], {}
         for n, own in windows.items():
-            h, item = np.concatenate([x[0] for x in own]), np.concatenate([np.full(len(x[0]), x[1]) for x in own])
-            order = np.argsort(h, kind="stable")
+            h, item = np.concatenate([x[0] for x in own]), np.concatenate([np.full(len(x[0]), x[1], np.int32) for x in own])
+            order = np.lexsort((item, h))
             keys, first = np.unique(h[order], return_index=True)
-            self.windows[n] = (keys, np.append(first, len(h)), item[order])
+            item, edges, numbers = item[order], np.append(first, len(h)).tolist(), []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                held = item[i:j].tobytes()
+                if held not in known:
+                    known[held] = len(self.sets)
+                    self.sets.append(np.unique(item[i:j]))
+                numbers.append(known[held])
+            self.windows[n] = (keys, np.array(numbers, np.int64))
+
+    def items(self, sets: np.ndarray) -> list[str]:
+        """The sorted ids of items of any of the sets."""
+        return [self.ids[k] for k in np.unique(np.concatenate([self.sets[s] for s in sets.tolist()])).tolist()]
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each window size: starts in ``h`` of the windows that items hold, and their places among the keys."""
-        for n, (keys, _, _) in self.windows.items():
+        for n, (keys, _) in self.windows.items():
             if n == WINDOW:
                 g, pos = fingerprints(h, at)
                 pos = pos[_known(self.prints, g)[0]]
@@ -127,22 +141,19 @@ def _scanned(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatc
         for i, j, data, offsets in _text.chunks(batch.column("text")):
             h, at = _text.words(data, offsets)
             n += np.diff(at).tolist()
-            start, size, owner, row = ([np.empty(0, np.int64)] for _ in range(4))
+            start, size, row, held = ([np.empty(0, np.int64)] for _ in range(4))
             for k, p, place in ix.hits(h, at):
                 start.append(p)
                 size.append(np.full(len(p), k))
-                r, w = np.unique(np.stack([_rows_of(at, p), place]), axis=1)
-                _, first, item = ix.windows[k]
-                c = first[w + 1] - first[w]
-                row.append(np.repeat(r, c))
-                owner.append(item[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())])
-            start, size, owner, row = (np.concatenate(x) for x in (start, size, owner, row))
-            own, of = _rows_of(at, start), np.unique(np.stack([row, owner]), axis=1)
-            hit = set(own.tolist())
-            for r in range(j - i):
-                on = np.flatnonzero(own == r) if r in hit else np.empty(0, np.int64)
+                row.append(_rows_of(at, p))
+                held.append(ix.windows[k][1][place])
+            start, size, row, held = (np.concatenate(x) for x in (start, size, row, held))
+            order = np.argsort(row, kind="stable")
+            edge = np.searchsorted(row[order], np.arange(j - i + 1))
+            for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+                on = order[a:b]
                 spans.append(_spans(start[on] - at[r], size[on]))
-                items.append(sorted({ix.ids[k] for k in of[1, of[0] == r].tolist()}) if r in hit else [])
+                items.append(ix.items(np.unique(held[on])) if b > a else [])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(spans, _HIT), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "th", "n_words", "spans", "items"])
 
 
@@ -181,21 +192,30 @@ def _doc_prints(batches: Iterator[pa.RecordBatch], short: list[int]) -> Iterator
 _WINDOW = pa.list_(pa.struct([("k", pa.int32()), ("key", pa.int64()), ("at", _HIT)]))
 
 
-def _doc_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """Per document its distinct windows of the given sizes, each with the ranges it covers."""
+def _near_windows(batches: Iterator[pa.RecordBatch], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Per document the distinct windows around its fingerprints that hit, and those of short sizes that hit, with the ranges
+    that each covers."""
     for batch in batches:
         out = []
-        for _, _, data, offsets in _text.chunks(batch.column("text")):
+        for i, j, data, offsets in _text.chunks(batch.column("text")):
             h, at = _text.words(data, offsets)
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                own = []
+            hit = [np.sort(np.asarray(x, np.int64).view(np.uint64)) for x in batch.column("hit").slice(i, j - i).to_pylist()]
+            for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                own, w, ends = [], h[a:b], np.array([0, b - a])
                 for k in sizes:
-                    if b - a < k:
-                        continue
-                    g = _text.grams(h[a:b], k)
+                    if k == WINDOW:
+                        g, pos = fingerprints(w, ends)
+                        p = np.unique((pos[_known(hit[r], g)[0]][:, None] - np.arange(SPAN)).ravel())
+                        p = p[(p >= 0) & (p + k <= b - a)]
+                        g = _text.grams_at(w, p, k)
+                    else:
+                        p = _starts(len(w), ends, k)
+                        g = _text.grams_at(w, p, k)
+                        on = _known(hit[r], g)[0]
+                        p, g = p[on], g[on]
                     order = np.argsort(g, kind="stable")
-                    edge = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1], True])
-                    own += [{"k": k, "key": int(g[order[s]].view(np.int64)), "at": _spans(order[s:e], np.full(e - s, k))} for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                    edge = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1], True]) if len(g) else np.empty(0, np.int64)
+                    own += [{"k": k, "key": int(g[order[s]].view(np.int64)), "at": _spans(p[order[s:e]], np.full(e - s, k))} for s, e in zip(edge[:-1], edge[1:], strict=True)]
                 out.append(own)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(out, _WINDOW)], names=["doc_id", "th", "w"])
 
@@ -206,28 +226,39 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batch.column("spans").to_pylist():
             s = np.array([(x["s"], x["e"]) for x in own], np.int64).reshape(-1, 2)
             spans.append(_spans(s[:, 0], s[:, 1] - s[:, 0]))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "items")), pa.array(spans, _HIT)], names=["_id", "_th", "items", "spans"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_id", "_th", "sets")), pa.array(spans, _HIT)], names=["_id", "_th", "sets", "spans"])
 
 
 _SPANS = "array<struct<s:int,e:int>>"
 
 
 def _joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As the scan with a broadcast index, for a benchmark of any size: fingerprints, then windows of documents that hit."""
-    short = [r.k for r in items.mapInArrow(lambda it: _item_keys(it, True), "item_id string, k int, keys array<long>").select("k").distinct().collect()]
-    sizes = sorted(short)
-    prints = items.mapInArrow(lambda it: _item_keys(it, False), "item_id string, k int, keys array<long>").select(F.explode("keys").alias("key")).distinct()
-    windows = items.mapInArrow(lambda it: _item_keys(it, True), "item_id string, k int, keys array<long>").select("item_id", "k", F.explode("keys").alias("key"))
-    windows = windows.groupBy("k", "key").agg(F.collect_set("item_id").alias("own"))
+    """As the scan with a broadcast index, for a benchmark of any size.
+
+    Fingerprints of documents are joined with those of items; a document's hits go back to its text, and only the windows
+    around them are joined with the items' windows. A window knows its set of items by number of members and two sums of
+    their hashes; sets meet documents, each once, before their members are listed.
+    """
     scratch = Scratch(docs.sparkSession)
+    windows = scratch.write(items.mapInArrow(lambda it: _item_keys(it, True), "item_id string, k int, keys array<long>").select("item_id", "k", F.explode("keys").alias("key")).distinct())
+    sizes = sorted(r.k for r in windows.select("k").distinct().collect())
+    prints = items.mapInArrow(lambda it: _item_keys(it, False), "item_id string, k int, keys array<long>").select(F.explode("keys").alias("key")).distinct()
+    total = lambda h: F.sum(h.cast("decimal(38,0)"))
+    held = windows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n"), total(F.xxhash64("item_id")).alias("a"), total(F.xxhash64(F.lit(1), "item_id")).alias("b"))
+    held = scratch.write(held.select("k", "key", F.struct("n", "a", "b").alias("set")))
+    members = held.groupBy("set").agg(F.min(F.struct("k", "key")).alias("w")).select("set", "w.*").join(windows, ["k", "key"]).select("set", "item_id")
     seen = docs.mapInArrow(lambda it: _doc_prints(it, [k for k in sizes if k < WINDOW]), "doc_id long, th long, n_words long, keys array<long>")
-    hit = scratch.write(seen.select("doc_id", "th", F.explode("keys").alias("key")).join(prints, "key", "left_semi").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
     same = lambda d, h: d.doc_id.eqNullSafe(h._id) & d.th.eqNullSafe(h._th)
-    own = docs.join(hit, same(docs, hit), "left_semi").dropDuplicates(["doc_id", "th"])
-    own = own.mapInArrow(lambda it: _doc_windows(it, sizes), "doc_id long, th long, w array<struct<k:int,key:long,at:array<struct<s:int,e:int>>>>")
-    own = own.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode("w").alias("w")).select("_id", "_th", "w.*").join(windows, ["k", "key"])
-    own = own.groupBy("_id", "_th").agg(F.flatten(F.collect_list("at")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("items"))
-    own = own.mapInArrow(_merged, f"_id long, _th long, items array<string>, spans {_SPANS}")
+    hit = seen.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", F.explode("keys").alias("key")).join(prints, "key", "left_semi")
+    hit = scratch.write(hit.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_list("key").alias("hit")))
+    own = docs.join(hit, same(docs, hit)).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "hit")
+    own = own.mapInArrow(lambda it: _near_windows(it, sizes), "doc_id long, th long, w array<struct<k:int,key:long,at:array<struct<s:int,e:int>>>>")
+    own = own.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.explode("w").alias("w")).select("_id", "_th", "w.*").join(held, ["k", "key"])
+    own = own.groupBy("_id", "_th").agg(F.flatten(F.collect_list("at")).alias("spans"), F.collect_set("set").alias("sets"))
+    own = scratch.write(own.mapInArrow(_merged, f"_id long, _th long, sets array<struct<n:long,a:decimal(38,0),b:decimal(38,0)>>, spans {_SPANS}"))
+    listed = own.select("_id", "_th", F.explode("sets").alias("set")).join(members, "set").groupBy("_id", "_th").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    listed = listed.withColumnsRenamed({"_id": "_i", "_th": "_t"})
+    own = own.join(listed, own._id.eqNullSafe(listed._i) & own._th.eqNullSafe(listed._t)).select("_id", "_th", "spans", "items")
     counts = docs.mapInArrow(lambda it: _doc_prints(it, []), "doc_id long, th long, n_words long, keys array<long>").select("doc_id", "th", "n_words")
     out = counts.join(own, same(counts, own), "left")
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
@@ -247,7 +278,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The fingerprints and windows of up to 4,000,000 benchmark words are broadcast, and documents are scanned once
     without a shuffle. A larger benchmark is joined: distinct fingerprints of documents with those of items, then the
-    windows of the documents that hit. Both ways give the same rows.
+    windows around the fingerprints that hit. Both ways give the same rows; in both, items that share a passage are
+    one set of its windows, and a set meets a document once.
 
     Null and wordless texts have no words and no hits. Items without an id or words are ignored; rows that
     repeat an id add up to one item. An empty benchmark leaves every document clean. Each row of ``docs`` gives one

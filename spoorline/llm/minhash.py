@@ -18,7 +18,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 K = BANDS * ROWS
 MARGIN = 0.18  # a pair at the threshold estimates this much lower once in ten million
-BLOCK = 256
+#: Texts and shingles of a block of a large bucket; two blocks meet in one task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -193,10 +194,10 @@ def _grouped(docs: DataFrame, weighted: bool, similarity: float) -> DataFrame:
         """Links within open buckets, block by block.
 
         Similar texts differ in size by the similarity at most, so a bucket falls into size classes of that ratio and
-        a class meets itself and the next. Blocks of a class have about 256 texts.
+        a class meets itself and the next. Blocks of a class have about 256 texts, or about ``BLOCK_SHINGLES`` shingles if these are fewer texts.
         """
         ranked = rest.withColumn("k", F.floor(F.log("w") / -math.log(similarity)).cast("int"))
-        size = ranked.groupBy("bh", "k").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        size = ranked.groupBy("bh", "k").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("w") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         size = size.groupBy("bh").agg(F.map_from_entries(F.collect_list(F.struct("k", "blocks"))).alias("blocks"))  # a few classes a bucket
         ranked = ranked.join(size, "bh").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")[F.col("k")]).cast("int"))
         every = """concat(
@@ -238,8 +239,8 @@ def near_duplicates(docs: DataFrame, weighted: bool = True, similarity: float =
     Byte-equal texts meet first, in one aggregation, so a group of copies counts as one text. Signatures of
     distinct texts go into 30 bands of 5 rows (a pair at 0.8 is missed once in 150,000 times). Texts of a
     bucket are compared with one centre each, first the first text, then the text with most links; buckets
-    that still hold several components are compared completely, in size classes and blocks of about 256 by 256 texts
-    of which only a spanning forest leaves the task. So no group is emitted as pairs and no pair of a bucket is skipped.
+    that still hold several components are compared completely, in size classes and blocks of about 256 by 256 texts (fewer
+    of long texts) of which only a spanning forest leaves the task. So no group is emitted as pairs and no pair of a bucket is skipped.
 
     Null and wordless texts link with nothing and are kept; texts under five words have one shingle, all
     their words. Repeated rows give repeated results. Rows of one doc_id and several texts each have the component of

@@ -22,10 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, and whether it is kept, of every document: near copies by weighted signatures."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the pattern spans, and all spans."""
     docs = _table(spark, sf_dir, "documents")
     out = pii.personal_data(docs, pii.fit(docs))
 
@@ -39,31 +41,37 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without boilerplate lines of many sites: counts, kept length and digest."""
     out = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a field that learns from four fifths of the ids."""
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit(docs))
     return out.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
 
 
 def op5_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, among vectors of its label."""
     return subspace.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model that learns from two thirds of the ids."""
     docs = _table(spark, sf_dir, "documents")
     out = quality.quality_scores(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
     return out.select("doc_id", quality.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and sentences of every document."""
     out = licenses.license_hits(_table(spark, sf_dir, "documents"))
     base = F.filter("hits", lambda h: h["base"])
     starts = F.transform(base, lambda h: h["start"])
@@ -84,11 +92,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows hold, and the items they come from."""
     out = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
     return bpe_tables.encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), digest=True)
 
 
