@@ -117,10 +117,11 @@ def license_hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
     """(doc_id, n_words, hits) of every row of ``docs`` (doc_id, text); a hit: start, label, base, share.
 
     Texts are split once; each word that stands in a template is written as its number, every other as 0. IDF counts
-    all documents. A template's key phrase is posted under its words with their relative positions, rarest first.
-    A file looks up its licence words of the highest IDF: a template comes into question where the file holds the two
-    rarest words of its phrase. Places of the rarest give starts, which are intersected with the places of each
-    next rarer word at its relative position, until the whole phrase is verified. ``share`` is the part of the
+    all documents. A template's key phrase is posted under its word of the highest IDF, with the relative positions of its
+    words, rarest first. A file looks up its own licence words, those of the highest IDF first: their postings, not the
+    number of templates, are what it costs. Where the file also holds the next rarer word, the places of the rarest give
+    starts, which are intersected with the places of each next rarer word at its relative position, until the whole phrase
+    is verified. ``share`` is the part of the
     sentence's words that stand at their relative positions. Every place of a phrase holds all its words, so none is
     missed, and sentences of a licence may stand in any order.
 
@@ -142,15 +143,19 @@ def license_hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -
         listed = "array(" + ", ".join(f"named_struct('c', {code[w]}S, 'k', {k})" for k, w in posts) + ")"
         return f"named_struct('p', {listed}, 'label', '{t.label}', 'base', {str(t.base).lower()}, 'text', {short([code[w] for w in t.words])}, 'off', {t.offset})"
 
-    postings = "array(" + ", ".join(map(posting, templates)) + ")"
-    leads = short(sorted({code[min(t.key, key=rank.__getitem__)] for t in templates}))
+    by_lead: dict[int, list[str]] = {}
+    for t in templates:
+        by_lead.setdefault(code[min(t.key, key=rank.__getitem__)], []).append(posting(t))
+    kind = "array<struct<p: array<struct<c: smallint, k: int>>, label: string, base: boolean, text: array<smallint>, off: int>>"
+    postings = "array(" + ", ".join(f"cast(array({', '.join(by_lead.get(c, []))}) as {kind})" for c in range(len(known) + 1)) + ")"
+    leads = short(sorted(by_lead))
     found = f"""
         flatten(transform(
             array(struct(
                 array_intersect({short([code[w] for w in rare_first])}, codes) as own,
                 filter(transform(codes, (c, i) -> struct(c, i)), s -> s.c > 0S) as at)),
             f -> flatten(transform(
-                filter({postings}, t -> array_contains(f.own, t.p[0].c) and array_contains(f.own, t.p[least(1, size(t.p) - 1)].c)),
+                filter(flatten(transform(f.own, c -> get({postings}, cast(c as int)))), t -> array_contains(f.own, t.p[least(1, size(t.p) - 1)].c)),
                 t -> transform(
                     aggregate(
                         slice(t.p, 2, size(t.p)),

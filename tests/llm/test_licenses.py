@@ -43,3 +43,11 @@ def test_long_files_of_hits(spark):
     got = scan(spark, ["released under the mit license " * 20_000, "permission " * 100_000])
     assert len(got[0].hits) == 20_000 and not got[1].hits and got[0].n_words == 100_000 and time.time() - began < 60
     assert licenses.license_hits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hundreds_of_templates_change_no_hit(spark):
+    more = tuple(licenses.Template(f"x{i}", f"terms of the license number {i} apply to zz{i} users", f"license number {i} apply") for i in range(300))
+    docs = spark.createDataFrame([(1, "under the MIT license; license number 7 apply to zz7 users"), (2, "license number 299 apply"), (3, "no terms"), (4, None)], "doc_id long, text string").selectExpr("*", "1 as codes", "2 as hits")
+    few = {r.doc_id: sorted((h.start, h.label) for h in r.hits) for r in licenses.license_hits(docs).collect()}
+    many = {r.doc_id: sorted((h.start, h.label) for h in r.hits) for r in licenses.license_hits(docs, licenses.TEMPLATES + more).collect()}
+    assert few == {1: [(0, "mit")], 2: [], 3: [], 4: []} and many == {1: [(0, "mit"), (4, "x7")], 2: [(0, "x299")], 3: [], 4: []}
