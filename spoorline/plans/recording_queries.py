@@ -7,11 +7,13 @@ frame, by the kind of event. What the program reads from files is written to the
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, intervals, meta, reshape
+from ..operators import evaluate, intervals, learn, meta, reshape
+from ..operators.boosting import Ensemble, Tree
 from ..sources import tables
 from ..sources.stages import Stages
 from . import program
@@ -70,6 +72,42 @@ def known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_metadata(spark, path)
 
 
+#: Two stored models over x and y: a cut's tree sends values up to it left, missing ones as the tree says.
+MODELS = [
+    Ensemble(["x", "y"], [[2.0, 10.0, 40.0], [1.0, 5.0]], start, [Tree([0, 1, -1, -1, -1], [cut, 1, 0, 0, 0], [cut % 2 == 0, True, False, False, False], [1, 3, 0, 0, 0], [2, 4, 0, 0, 0], [0.0, 0.0, 0.25 * cut, -0.5, step]) for cut in (1, 2, 3)])
+    for start, step in ((-0.5, 0.125), (0.25, -0.375))
+]
+
+
+def _model_sql(model: Ensemble) -> str:
+    """The raw score of a model as nested cases over its features."""
+
+    def node(tree: Tree, n: int) -> str:
+        if tree.feature[n] < 0:
+            return repr(tree.value[n])
+        name, cuts = model.features[tree.feature[n]], model.cuts[tree.feature[n]]
+        goes = f"{name} <= {cuts[tree.bin[n] - 1]!r}" if tree.bin[n] <= len(cuts) else "true"
+        return f"case when case when {name} is null then {str(tree.missing[n]).lower()} else {goes} end then {node(tree, tree.left[n])} else {node(tree, tree.right[n])} end"
+
+    return " + ".join([repr(model.start), *(node(t, 0) for t in model.trees)])
+
+
+def per_recording(rows: DataFrame, schema: str) -> str:
+    """Writes rows (lab_id, video_id, columns of ``schema``) as one file a recording, ``<lab>/<video>.parquet``; the folder."""
+    spark = rows.sparkSession
+    root = Stages(spark).root
+    columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in schema.split(", "))]
+    rows.select("lab_id", "video_id", *columns).repartition("video_id").write.partitionBy("lab_id", "video_id").parquet(f"{root}/dealt")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.globStatus(hadoop.Path(f"{root}/dealt/lab_id=*/video_id=*/part-*")):
+        lab, video = (p.split("=", 1)[1] for p in status.getPath().toString().split("/")[-3:-1])
+        folder = hadoop.Path(hadoop.Path(f"{root}/files"), unquote(lab))
+        files.mkdirs(folder)
+        files.rename(status.getPath(), hadoop.Path(folder, f"{video}.parquet"))
+    return f"{root}/files"
+
+
 def all_queries(tracks: Callable[[SparkSession, str], DataFrame], tracks_sql: str) -> dict[str, tuple[Callable, str]]:
     """name -> (query, SQL)."""
     base = f"with recursive {tracks_sql}, {RECORDINGS}"
@@ -213,6 +251,30 @@ def all_queries(tracks: Callable[[SparkSession, str], DataFrame], tracks_sql: st
         tables.write_intervals(intervals.cleaned(found, listed, reshape.frame_extent(points(spark, sf_dir))), path)
         return spark.read.schema(f"row_id long, {tables.INTERVALS}").option("header", True).csv(path).withColumns({c: F.col(c).cast("long") for c in ("start_frame", "stop_frame")})
 
+    @query(f"""{point_sql} select lab_id, video_id, video_frame, mouse_id, bodypart, x, y from points join meta using (video_id) where behaviors_labeled is not null""")
+    def tracking_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = known(spark, sf_dir)
+        root = per_recording(points(spark, sf_dir).join(recordings(spark, sf_dir).select("video_id", "lab_id"), "video_id"), tables.TRACKING)
+        return tables.read_tracking(spark, root, m.where("behaviors_labeled is not null")).withColumn("video_frame", F.col("video_frame").cast("long"))
+
+    @query(f"""{mark_sql} select lab_id, video_id, agent_id, target_id, action, start_frame, stop_frame from marks join every using (video_id)""")
+    def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = per_recording(annotations(spark, sf_dir).join(recordings(spark, sf_dir).select("video_id", "lab_id"), "video_id"), tables.ANNOTATION)
+        return tables.read_annotations(spark, root).withColumns({c: F.col(c).cast("long") for c in ("start_frame", "stop_frame")})
+
+    @query(f""", s as (select track, frame, {', '.join(f'{sql} as p{k}' for k, sql in enumerate(map(_model_sql, MODELS)))} from t)
+        select track, frame, round(({' + '.join(f'1 / (1 + exp(-p{k}))' for k in range(len(MODELS)))}) / {len(MODELS)}, 9) as score from s""")
+    def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{Stages(spark).root}/action"
+        for k, model in enumerate(MODELS):
+            model.save(spark, f"{folder}/fold={k}")
+        return learn.mean_scores(tracks(spark, sf_dir).select("track", "frame", "x", "y"), {"score": folder}).select("track", "frame", F.round("score", 9).alias("score"))
+
+    @query(" select doc_id, 0e0 as label, 0e0 as score from documents join labels using (doc_id)")
+    def action_without_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "n_chars").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+        return learn.out_of_fold(d.withColumn("label", F.lit(0)), ["n_chars"], "source").select("doc_id", "label", "score")
+
     by_track = "order by track, frame"
 
     @query(f""", s as (select track, frame, case when x > 20 then 'high' when x > 5 then 'mid' end as action from t),
