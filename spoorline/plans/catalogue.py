@@ -362,7 +362,7 @@ _PBY = "partition by video, agent, target order by frame"
     {_as_float(f'avg(ch) over ({_PBY} rows between 7 preceding and 7 following)', '"A_chasing_p15"')} from c""")
 def chase_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["video", "agent", "target"]
-    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys), [*keys, "frame"], ["A_vel_along", "B_vel_along", "A_chasing", "A_escaping", "A_chasing_p15"])
+    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("chase",)), [*keys, "frame"], ["A_vel_along", "B_vel_along", "A_chasing", "A_escaping", "A_chasing_p15"])
 
 
 @_query(f"""with {_PAIR}, n as (select *, ax + 1 + ag as nx, ay + 2 as ny from q),
@@ -372,7 +372,7 @@ def chase_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     select video, agent, target, frame, {_as_float('d', '"A_front_to_B_min"')}, touch as "A_front_contact_5", sum(touch) over ({_PBY} rows between 15 preceding and 14 following) as "A_contact_duration_30" from c""")
 def contact_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["video", "agent", "target"]
-    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
+    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("contact",)), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
 
 
 @_query("""select a.vec_id as vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine

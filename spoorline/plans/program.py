@@ -51,6 +51,11 @@ def with_metadata(features: DataFrame, own: DataFrame, vocab: dict[str, list[str
     return features.join(own.select("video_id", *[c.alias(n) for n, c in made.items()]), "video_id")
 
 
+def of_listed(rows: DataFrame, own: DataFrame, kind: str) -> DataFrame:
+    """Rows of tracks or pairs that their recordings list; a listed mouse without a track has no rows."""
+    return rows.join(listed(own, kind).select(*KEYS).distinct(), KEYS, "left_semi")
+
+
 def features(rec: Recordings, own: DataFrame, parts: list[str], section: int, kind: str, arena: DataFrame, vocab: dict[str, list[str]], groups: tuple[str, ...] | None = None) -> DataFrame:
     """(keys, video_frame, features) of the tracks or pairs whose recordings list an action of them."""
     wide = reshape.samples(rec.points, own, parts)
@@ -64,7 +69,7 @@ def features(rec: Recordings, own: DataFrame, parts: list[str], section: int, ki
         made = pair.pair_features(reshape.ordered_pairs(wide, columns).join(fps, "video_id"), parts, ["video_id", "agent", "target"], "video_frame", groups or pair.GROUPS)
         agent, target = reshape.names_of(F.col("agent"), F.col("target"))
         named = made.withColumns({"agent_id": agent, "target_id": target}).drop("agent", "target")
-    named = named.join(listed(own, kind).select(*KEYS).distinct(), KEYS, "left_semi")
+    named = of_listed(named, own, kind)
     named = named.toDF(*[c.replace("+", "_to_") for c in named.columns])
     return with_metadata(named, own, vocab)
 

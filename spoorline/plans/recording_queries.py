@@ -176,6 +176,24 @@ def all_queries(tracks: Callable[[SparkSession, str], DataFrame], tracks_sql: st
     def recording_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
         return reshape.frame_extent(points(spark, sf_dir))
 
+    @query(f"""{point_sql}{listed_sql}, own as (select distinct video_id, 'mouse' || mouse_id as agent_id, 'self' as target_id, video_frame from points)
+        select video_id, agent_id, target_id, video_frame from own semi join behaviours using (video_id, agent_id, target_id)""")
+    def listed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        agent, target = reshape.names_of(F.col("mouse_id"), F.col("mouse_id"))
+        rows = points(spark, sf_dir).select("video_id", agent.alias("agent_id"), target.alias("target_id"), "video_frame").distinct()
+        return program.of_listed(rows, known(spark, sf_dir), "single").select("video_id", "agent_id", "target_id", "video_frame")
+
+    texts = {"frames_per_second": "case when v % 3 = 0 then 'n/a' else cast(v % 60 as string) end", "video_width": "case when v % 4 = 0 then '' else cast(v as string) end", "video_height": "concat('1', cast(v % 10 as string), '.5')"}
+    numbers = {n: f"try_cast({e.replace('as string', 'as varchar')} as double)" for n, e in texts.items()}
+
+    @query(f""", n as (select v, {', '.join(f'{e} as {n}' for n, e in numbers.items())} from (select c_custkey as v from customer))
+        select v, frames_per_second, round(ln(1 + frames_per_second), 6) as fps_log1p, video_width, round(video_width / (video_height + 1e-6), 6) as video_aspect from n""")
+    def coerced_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+        m = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("v"))
+        m = m.select("v", *[F.expr(e).alias(n) for n, e in texts.items()], *[F.lit("1").alias(c) for c in meta.NUMERIC if c not in texts])
+        made = meta.numeric_features()
+        return m.select("v", *[F.round(made[n], 6).alias(n) for n in ("frames_per_second", "fps_log1p", "video_width", "video_aspect")])
+
     own_parts = ["body_center", "nose", "tail_base"]
     cells = ", ".join(f"max(case when bodypart = '{p}' then {a} end) as {p}_{a}" for p in own_parts for a in "xy")
     has = ", ".join(f"bool_or(bodypart = '{p}') as has_{p}" for p in own_parts)
