@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import series
 from ..functions.frames import Tracks
 from ..functions.rolling import meet
+from ..sources.tables import UNLABELLED
 
 #: Parts that are dropped from recordings of more than five parts.
 NOISY_PARTS = (
@@ -167,7 +168,7 @@ def samples(points: DataFrame, meta: DataFrame, parts: list[str], gap_seconds: f
     return series.gap_fill(wide, tracks, columns, F.greatest(F.bround(F.col("fps") * gap_seconds), F.lit(1.0)))
 
 
-def solution(annotations: DataFrame, meta: DataFrame, skip_prefix: str = "MABe22_") -> DataFrame:
+def solution(annotations: DataFrame, meta: DataFrame, skip_prefix: str = UNLABELLED) -> DataFrame:
     """Annotated intervals with names, of labelled recordings."""
     agent, target = names_of(F.col("agent_id"), F.col("target_id"))
     own = meta.where(~F.col("lab_id").startswith(skip_prefix) & F.col("behaviors_labeled").isNotNull()).select("video_id", "lab_id", "behaviors_labeled")
