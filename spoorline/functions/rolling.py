@@ -345,8 +345,9 @@ def meet(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -
     return df.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def placed(df: DataFrame, tracks: Tracks, whole: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` with _pos (place in the track, from 0), _len (rows of the track) and aggregates over the whole track.
+def placed(df: DataFrame, tracks: Tracks, whole: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
+    """``df`` with _pos (place in the track, from 0), _len (rows of the track) and aggregates over the whole track; and the
+    rows of the longest track.
 
     Where each track's frames are whole numbers without holes, a place is a difference. Else rows are counted in buckets
     of frames and numbered within them; only an order that is no whole number is numbered by a window over the track.
@@ -354,17 +355,20 @@ def placed(df: DataFrame, tracks: Tracks, whole: dict[str, Column] | None = None
     keys, order = tracks.keys, tracks.order
     numbers = isinstance(df.schema[order].dataType, T.IntegralType)
     extent = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), *[c.alias(n) for n, c in (whole or {}).items()])
+    holes = F.max(F.col("_len") != F.col("_hi") - F.col("_lo") + 1) if numbers else F.lit(True)
+    seen = extent.select("_len", "_lo", "_hi").agg(F.max("_len").alias("longest"), holes.alias("holes")).first()
+    longest = seen.longest or 0
     if not numbers:
-        return meet(df, extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.row_number().over(tracks.rows) - 1).cast("long"))
-    if extent.where("_len <> _hi - _lo + 1").isEmpty():
-        return meet(df, extent.drop("_hi"), keys).withColumn("_pos", (F.col(order) - F.col("_lo")).cast("long")).drop("_lo")
+        return meet(df, extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.row_number().over(tracks.rows) - 1).cast("long")), longest
+    if not seen.holes:
+        return meet(df, extent.drop("_hi"), keys).withColumn("_pos", (F.col(order) - F.col("_lo")).cast("long")).drop("_lo"), longest
     bucket = [*keys, "_bucket"]
     df = df.withColumn("_bucket", F.floor(F.col(order) / BUCKET))
     counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*bucket, F.coalesce(before, F.lit(0)).alias("_at"))
     own = F.row_number().over(Window.partitionBy(*bucket).orderBy(order)) - 1
-    return meet(meet(df, starts, bucket), extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.col("_at") + own).cast("long")).drop("_bucket", "_at")
+    return meet(meet(df, starts, bucket), extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.col("_at") + own).cast("long")).drop("_bucket", "_at"), longest
 
 
 def in_blocks(df: DataFrame, tracks: Tracks, behind: float, ahead: float, fps: Column | None = None, whole: dict[str, Column] | None = None, carry: list[Roll] | None = None, block: int | None = None) -> DataFrame:
@@ -372,10 +376,14 @@ def in_blocks(df: DataFrame, tracks: Tracks, behind: float, ahead: float, fps: C
 
     A block has ``block`` rows or more, so a halo is of its two neighbours only; ``_own`` marks the rows that are no
     halo. ``carry``: rolls over all rows so far (ewm, streak), whose state each block begins with is found from one row
-    a block, for tracks of several blocks.
+    a block, for tracks of several blocks. Where no track is longer than a block, tracks are dealt as they are.
     """
     keys = tracks.keys
-    df = placed(df.withColumn("_fps", (F.lit(REFERENCE_FPS) if fps is None else fps).cast("double")), tracks, whole)
+    df, longest = placed(df.withColumn("_fps", (F.lit(REFERENCE_FPS) if fps is None else fps).cast("double")), tracks, whole)
+    if longest <= (block or BLOCK):
+        empty = {c: F.lit(None).cast("double") for r in carry or [] for c in carried_columns(r)}
+        out = df.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True), "_first": F.col("_pos") == 0, **empty})
+        return out.repartition(*keys).sortWithinPartitions(*keys, "_pos")
     rate = F.greatest(F.col("_fps") / F.lit(REFERENCE_FPS), F.lit(1.0))
     back, front = ((F.ceil(F.lit(float(n)) * rate) + F.lit(int(n > 0))).cast("long") for n in (behind, ahead))
     size = F.greatest(F.lit(block or BLOCK), back, front).cast("long")
