@@ -16,14 +16,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import REFERENCE_FPS, Tracks, scale, scale_signed
+from .quantiles import track_quantiles, within
 
-#: Least rows of a block; rows of whole blocks that a pass takes at a time; frames of a bucket where tracks have holes.
-BLOCK, CHUNK, BUCKET = 4096, 1 << 14, 1 << 16
+#: Least rows of a block; rows of whole blocks that a pass takes at a time; frames of a bucket where tracks have holes; rows of
+#: a task of whole tracks, at most and (where that leaves cores idle) at least.
+BLOCK, CHUNK, BUCKET, TASK_ROWS, LEAST_ROWS = 4096, 1 << 11, 1 << 16, 1 << 16, 1 << 12
 PLACE = ("_pos", "_len", "_block", "_first", "_own", "_fps")
 
 
@@ -158,9 +160,11 @@ class Rows:
         means = [np.where(n1 > 0, a, b) + np.where(n1 > 0, d, 0.0) * (n2 / some) for a, b, d in zip(m1, m2, apart, strict=True)]
         return n, means, {(i, j): p1[i, j] + np.where(n2 > 0, p2[i, j], 0.0) + apart[i] * apart[j] * (n1 * n2 / some) for i, j in pairs}
 
-    def ordered(self, x: np.ndarray, size: int, least: int, qs: tuple[float, ...], rank: bool) -> list[np.ndarray]:
-        """Quantiles of each trailing frame and the row's rank in it, from values kept in order: one goes in and one out a row."""
+    def ordered(self, x: np.ndarray, size: int, qs: tuple[float, ...], rank: bool) -> list[np.ndarray]:
+        """Number of values of each trailing frame, its quantiles and the row's rank in it, from values kept in order: one goes
+        in and one out a row."""
         out = [np.full(self.n, np.nan) for _ in range(len(qs) + rank)]
+        number = np.zeros(self.n, np.int64)
         values = x.tolist()
         for a, b in zip(self.first.tolist(), (self.first + self.size).tolist(), strict=True):
             kept: list[float] = []
@@ -170,8 +174,8 @@ class Rows:
                     insort(kept, v)
                 if i - size >= a and values[i - size] == values[i - size]:
                     del kept[bisect_left(kept, values[i - size])]
-                n = len(kept)
-                if n < least or not n:
+                n = number[i] = len(kept)
+                if not n:
                     continue
                 for o, q in zip(out, qs, strict=False):
                     k = int((n - 1) * q)
@@ -180,7 +184,7 @@ class Rows:
                     o[i] = low + (kept[k + 1] - low) * part if part else low
                 if rank and v == v:
                     out[-1][i] = (bisect_left(kept, v) + bisect_right(kept, v) + 1) / 2 / n
-        return out
+        return [number, *out]
 
 
 def _ewm(mean: float, weight: float, values: list[float], keep: float) -> tuple[list[float], float, float]:
@@ -226,7 +230,12 @@ def statistics(rows: Rows, rolls: list[Roll], data: dict[str, np.ndarray], lengt
             shared[key] = make()
         return shared[key]
 
-    for r in rolls:
+    at = None
+    for r in sorted(rolls, key=lambda r: (r.columns, r.rows, r.frame)):
+        if at != (r.columns, r.rows):
+            at = (r.columns, r.rows)
+            laid.clear()
+            shared.clear()
         if r.kind in ("ewm", "streak"):
             out[r.name] = _carried(rows, r, data, own, pos, fps)
             continue
@@ -236,16 +245,15 @@ def statistics(rows: Rows, rolls: list[Roll], data: dict[str, np.ndarray], lengt
         size = scale(r.rows, fps)
         least = r.least(size, fps)
         if r.kind in ("quantile", "rank"):
-            qs = tuple(sorted({o.q for o in rolls if o.kind == "quantile" and (o.columns, o.rows, o.least, o.frame) == (r.columns, r.rows, r.least, r.frame)}))
-            rank = any(o.kind == "rank" and (o.columns, o.rows, o.least, o.frame) == (r.columns, r.rows, r.least, r.frame) for o in rolls)
-            made = once((r.columns, size, least, "ordered"), lambda size=size, least=least, qs=qs, rank=rank, r=r: rows.ordered(data[r.columns[0]], size, least, qs, rank))
-            x = made[-1] if r.kind == "rank" else made[qs.index(r.q)]
+            same = [o for o in rolls if (o.columns, o.rows) == (r.columns, r.rows)]
+            qs = tuple(sorted({o.q for o in same if o.kind == "quantile"}))
+            rank = any(o.kind == "rank" for o in same)
+            n, *made = once((r.columns, size, "ordered"), lambda size=size, qs=qs, rank=rank, r=r: rows.ordered(data[r.columns[0]], size, qs, rank))
+            x = np.where(n >= max(1, least), made[-1] if r.kind == "rank" else made[qs.index(r.q)], np.nan)
         else:
             ahead = (size - 1) // 2 if r.frame == "centred" else 0
             key = (r.columns, rows.stretches(size, ahead)[0], ahead)
             if key not in laid:
-                if len(laid) > 64:
-                    laid.clear()
                 laid[key] = [rows.laid(data[c], size, ahead) for c in r.columns]
             cells = laid[key]
             n = once((*key, "n"), lambda size=size, ahead=ahead, cells=cells: rows.both(np.all([~np.isnan(c) for c in cells], axis=0).astype(np.int32), size, ahead))
@@ -274,18 +282,19 @@ def statistics(rows: Rows, rolls: list[Roll], data: dict[str, np.ndarray], lengt
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of whole groups."""
+    """The rows again, in batches of whole groups, each of ``CHUNK`` rows and one group at most."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
-        first = np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False))
-        if len(first) and rows + first[-1] >= CHUNK:
-            held.append(batch.slice(0, int(first[-1])))
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, rows = [batch.slice(int(first[-1]))], batch.num_rows - int(first[-1])
-        elif batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
+        at = 0
+        for first in np.flatnonzero(batch.column("_first").to_numpy(zero_copy_only=False)).tolist():
+            if rows + first - at >= CHUNK:
+                whole = [b for b in (*held, batch.slice(at, first - at)) if b.num_rows]
+                yield pa.Table.from_batches(whole).combine_chunks().to_batches()[0]
+                held, rows, at = [], 0, first
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+            rows += batch.num_rows - at
     if rows:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -313,7 +322,10 @@ def _added(batches: Iterator[pa.RecordBatch], rolls: list[Roll], inputs: list[st
             for name, v in found.items():
                 made[name][on] = v
         names = [c for c in batch.schema.names if c not in drop]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(v, from_pandas=True) for v in made.values()], names=[*names, *made])
+        columns = [batch.column(c) for c in names] + [pa.array(made[n], from_pandas=True) for n in made]
+        names += made
+        del data, made, found
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def add(blocks: DataFrame, rolls: list[Roll], inputs: dict[str, Column] | None = None) -> DataFrame:
@@ -345,9 +357,17 @@ def meet(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -
     return df.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def placed(df: DataFrame, tracks: Tracks, whole: dict[str, Column] | None = None) -> tuple[DataFrame, int]:
-    """``df`` with _pos (place in the track, from 0), _len (rows of the track) and aggregates over the whole track; and the
-    rows of the longest track.
+def _extents(df: DataFrame, tracks: Tracks) -> Row:
+    """Rows of the longest track, all rows, and whether a track's places are no differences of its frames."""
+    order = tracks.order
+    numbers = isinstance(df.schema[order].dataType, T.IntegralType)
+    extent = df.groupBy(*tracks.keys).agg(F.count(F.lit(1)).alias("_len"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    holes = F.max(F.col("_len") != F.col("_hi") - F.col("_lo") + 1) if numbers else F.lit(True)
+    return extent.agg(F.coalesce(F.max("_len"), F.lit(0)).alias("longest"), F.coalesce(F.sum("_len"), F.lit(0)).alias("rows"), holes.alias("holes")).first()
+
+
+def placed(df: DataFrame, tracks: Tracks, holes: bool | None, whole: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` with _pos (place in the track, from 0), _len (rows of the track) and aggregates over the whole track.
 
     Where each track's frames are whole numbers without holes, a place is a difference. Else rows are counted in buckets
     of frames and numbered within them; only an order that is no whole number is numbered by a window over the track.
@@ -355,35 +375,51 @@ def placed(df: DataFrame, tracks: Tracks, whole: dict[str, Column] | None = None
     keys, order = tracks.keys, tracks.order
     numbers = isinstance(df.schema[order].dataType, T.IntegralType)
     extent = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"), F.min(order).alias("_lo"), F.max(order).alias("_hi"), *[c.alias(n) for n, c in (whole or {}).items()])
-    holes = F.max(F.col("_len") != F.col("_hi") - F.col("_lo") + 1) if numbers else F.lit(True)
-    seen = extent.select("_len", "_lo", "_hi").agg(F.max("_len").alias("longest"), holes.alias("holes")).first()
-    longest = seen.longest or 0
     if not numbers:
-        return meet(df, extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.row_number().over(tracks.rows) - 1).cast("long")), longest
-    if not seen.holes:
-        return meet(df, extent.drop("_hi"), keys).withColumn("_pos", (F.col(order) - F.col("_lo")).cast("long")).drop("_lo"), longest
+        return meet(df, extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.row_number().over(tracks.rows) - 1).cast("long"))
+    if not holes:
+        return meet(df, extent.drop("_hi"), keys).withColumn("_pos", (F.col(order) - F.col("_lo")).cast("long")).drop("_lo")
     bucket = [*keys, "_bucket"]
     df = df.withColumn("_bucket", F.floor(F.col(order) / BUCKET))
     counts = df.groupBy(*bucket).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(*bucket, F.coalesce(before, F.lit(0)).alias("_at"))
     own = F.row_number().over(Window.partitionBy(*bucket).orderBy(order)) - 1
-    return meet(meet(df, starts, bucket), extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.col("_at") + own).cast("long")).drop("_bucket", "_at"), longest
+    return meet(meet(df, starts, bucket), extent.drop("_lo", "_hi"), keys).withColumn("_pos", (F.col("_at") + own).cast("long")).drop("_bucket", "_at")
+
+
+def _whole_tracks(df: DataFrame, tracks: Tracks, seen: Row, whole: dict[str, Column]) -> DataFrame:
+    """As ``placed``, of tracks that a task holds whole: one shuffle, aggregates over windows. Tasks follow the number of rows."""
+    every = tracks.rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = max(min(df.sparkSession.sparkContext.defaultParallelism, 1 + seen.rows // LEAST_ROWS), -(-seen.rows // TASK_ROWS))
+    place = F.row_number().over(tracks.rows) - 1 if seen.holes in (True, None) else F.col(tracks.order) - F.min(tracks.order).over(every)
+    columns = {"_pos": place.cast("long"), "_len": F.count(F.lit(1)).over(every), **{n: c.over(every) for n, c in whole.items()}}
+    return df.repartition(parts, *tracks.keys).withColumns(columns)
 
 
-def in_blocks(df: DataFrame, tracks: Tracks, behind: float, ahead: float, fps: Column | None = None, whole: dict[str, Column] | None = None, carry: list[Roll] | None = None, block: int | None = None) -> DataFrame:
+def in_blocks(df: DataFrame, tracks: Tracks, behind: float, ahead: float, fps: Column | None = None, whole: dict[str, Column] | None = None, carry: list[Roll] | None = None, block: int | None = None, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """``df`` in blocks that hold ``behind`` and ``ahead`` rows (at the reference rate) of their neighbours, sorted.
 
     A block has ``block`` rows or more, so a halo is of its two neighbours only; ``_own`` marks the rows that are no
     halo. ``carry``: rolls over all rows so far (ewm, streak), whose state each block begins with is found from one row
     a block, for tracks of several blocks. Where no track is longer than a block, tracks are dealt as they are.
+    ``limits``: ``_w_<column>`` is the column bounded by these quantiles of its track.
     """
-    keys = tracks.keys
-    df, longest = placed(df.withColumn("_fps", (F.lit(REFERENCE_FPS) if fps is None else fps).cast("double")), tracks, whole)
-    if longest <= (block or BLOCK):
+    keys, limits = tracks.keys, limits or {}
+    bounded = {f"_w_{c}": within(F.col(c), f"_l_{c}") for c in limits}
+    spare = [f"_l_{c}" for c in limits]
+    df = df.withColumn("_fps", (F.lit(REFERENCE_FPS) if fps is None else fps).cast("double"))
+    seen = _extents(df, tracks)
+    if seen.longest <= (block or BLOCK):
+        quantiles = {f"_l_{c}": F.percentile(c, F.array(*map(F.lit, qs))) for c, qs in limits.items()}
+        df = _whole_tracks(df, tracks, seen, (whole or {}) | quantiles)
+        df = df.withColumns(bounded).drop(*spare) if limits else df
         empty = {c: F.lit(None).cast("double") for r in carry or [] for c in carried_columns(r)}
         out = df.withColumns({"_block": F.lit(0).cast("long"), "_own": F.lit(True), "_first": F.col("_pos") == 0, **empty})
-        return out.repartition(*keys).sortWithinPartitions(*keys, "_pos")
+        return out.sortWithinPartitions(*keys, tracks.order)
+    for qs in dict.fromkeys(limits.values()):
+        df = meet(df, track_quantiles(df, keys, [c for c in limits if limits[c] == qs], qs), keys)
+    df = placed(df.withColumns(bounded).drop(*spare) if limits else df, tracks, seen.holes, whole)
     rate = F.greatest(F.col("_fps") / F.lit(REFERENCE_FPS), F.lit(1.0))
     back, front = ((F.ceil(F.lit(float(n)) * rate) + F.lit(int(n > 0))).cast("long") for n in (behind, ahead))
     size = F.greatest(F.lit(block or BLOCK), back, front).cast("long")

@@ -23,6 +23,8 @@ from .single import single_features
 T = Tracks(["track"])
 PARTS = ["body_center", "nose", "tail_base", "ear_left", "ear_right"]
 _OFFSET = {"body_center": ("x", "y"), "nose": ("x + 1 + g", "y + 2"), "tail_base": ("x - 2", "y - 1 - g"), "ear_left": ("x + 0.5", "y + 1.5"), "ear_right": ("x + 1.5", "y + 1")}
+#: The same offsets, one by one.
+_STEPS = {"nose": ([1, "g"], [2]), "tail_base": ([-2], [-1, "minus_g"]), "ear_left": ([0.5], [1.5]), "ear_right": ([1.5], [1])}
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
@@ -90,8 +92,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = points(spark, sf_dir).withColumn("video", F.floor(F.col("track") / 2))
-    columns = [f"{p}_{a}" for p in PARTS for a in "xy"] + [f"has_{p}" for p in PARTS]
+    t = points(spark, sf_dir).withColumns({"video": F.floor(F.col("track") / 2), "minus_g": -F.col("g")})
+    columns = [f"{p}_{a}" for p in PARTS for a in "xy"] + [f"has_{p}" for p in PARTS] + ["g", "minus_g"]
     return reshape.ordered_pairs(t, columns, "video", "track", "frame").withColumn("fps", F.lit(30.0))
 
 
@@ -321,11 +323,12 @@ def fps_scaled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c as (select *, abs(dx * ay - dy * ax) / (pow(s, 3) + 1e-6) as k from a)
     select track, frame, round(cast({_roll('avg', 'k', _tr(15), 3)} as float)::double, 3) as curv_mean_15, round(cast({_roll('sum', 'turn', _tr(15), 3)} as float)::double, 3) as turn_rate_15 from c""")
 def curvature_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _some(single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("motion",)), ["track", "frame"], ["curv_mean_15", "turn_rate_15"], 3)
+    return _some(lambda names: single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("motion",), names=names), ["track", "frame"], ["curv_mean_15", "turn_rate_15"], 3)
 
 
-def _some(features: DataFrame, keys: list[str], names: list[str], digits: int = 4) -> DataFrame:
-    return features.select(*keys, *[F.round(F.col(f"`{n}`").cast("double"), digits).alias(n) for n in names])
+def _some(make: Callable, keys: list[str], names: list[str], digits: int = 4) -> DataFrame:
+    """Only these of the features that ``make`` gives, rounded."""
+    return make(names).select(*keys, *[F.round(F.col(f"`{n}`").cast("double"), digits).alias(n) for n in names])
 
 
 def _as_float(x: str, name: str, digits: int = 4) -> str:
@@ -337,7 +340,7 @@ def _as_float(x: str, name: str, digits: int = 4) -> str:
     select track, frame, {_as_float('fwd', 'v_forward')}, {_as_float('lat', 'v_lateral')}, {_as_float('atan2(sin(off), cos(off))', 'slip_angle')},
     {_as_float(_roll('avg', 'cast(coalesce(fwd > 1, false) as double)', _ce(15), 3), 'forward_ratio_15')} from f""")
 def axis_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _some(single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("head",)), ["track", "frame"], ["v_forward", "v_lateral", "slip_angle", "forward_ratio_15"])
+    return _some(lambda names: single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("head",), names=names), ["track", "frame"], ["v_forward", "v_lateral", "slip_angle", "forward_ratio_15"])
 
 
 @_query(f"""with {TRACKS}, e as (select *, min(x) over (partition by track) as x0, max(x) over (partition by track) as x1, min(y) over (partition by track) as y0, max(y) over (partition by track) as y1 from t),
@@ -346,7 +349,7 @@ def axis_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     select track, frame, {_as_float('away', 'dist_to_arena_center')}, {_as_float('wall', 'dist_to_nearest_wall')},
     cast(coalesce(wall < case when g = 1 then 4.5 else 9 end, false) as double) as is_near_wall, cast(coalesce(away < case when g = 1 then 9 else 18 end, false) as double) as is_in_center from w""")
 def arena_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _some(single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("arena",)), ["track", "frame"], ["dist_to_arena_center", "dist_to_nearest_wall", "is_near_wall", "is_in_center"])
+    return _some(lambda names: single_features(points(spark, sf_dir), PARTS, 1, ["track"], groups=("arena",), names=names), ["track", "frame"], ["dist_to_arena_center", "dist_to_nearest_wall", "is_near_wall", "is_in_center"])
 
 
 _PAIR = f"""{TRACKS}, q as (select a.track // 2 as video, a.track as agent, b.track as target, a.frame, a.x as ax, a.y as ay, b.x as bx, b.y as by_, a.g as ag, b.g as bg
@@ -362,7 +365,7 @@ _PBY = "partition by video, agent, target order by frame"
     {_as_float(f'avg(ch) over ({_PBY} rows between 7 preceding and 7 following)', '"A_chasing_p15"')} from c""")
 def chase_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["video", "agent", "target"]
-    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("chase",)), [*keys, "frame"], ["A_vel_along", "B_vel_along", "A_chasing", "A_escaping", "A_chasing_p15"])
+    return _some(lambda names: pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("chase",), names=names), [*keys, "frame"], ["A_vel_along", "B_vel_along", "A_chasing", "A_escaping", "A_chasing_p15"])
 
 
 @_query(f"""with {_PAIR}, n as (select *, ax + 1 + ag as nx, ay + 2 as ny from q),
@@ -372,7 +375,7 @@ def chase_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     select video, agent, target, frame, {_as_float('d', '"A_front_to_B_min"')}, touch as "A_front_contact_5", sum(touch) over ({_PBY} rows between 15 preceding and 14 following) as "A_contact_duration_30" from c""")
 def contact_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["video", "agent", "target"]
-    return _some(pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("contact",)), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
+    return _some(lambda names: pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("contact",), names=names), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
 
 
 @_query("""select a.vec_id as vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine

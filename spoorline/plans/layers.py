@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
@@ -17,12 +18,17 @@ LAST = 1000
 
 
 class Point:
-    """Coordinates, and whether the track has the part (or what stands in for it) at all."""
+    """Coordinates, and whether the track has the part (or what stands in for it) at all. ``steps``: the point it is fixed to,
+    and the steps from there along x and y; then what lies between another point and it is subtracted step by step."""
 
-    def __init__(self, x: Column, y: Column, has: Column) -> None:
-        self.x, self.y, self.has = x, y, has
+    def __init__(self, x: Column, y: Column, has: Column, steps: tuple[Point, list[Column], list[Column]] | None = None) -> None:
+        self.x, self.y, self.has, self.steps = x, y, has, steps
 
     def __sub__(self, other: Point) -> Point:
+        if other.steps is not None:
+            base, dx, dy = other.steps
+            less = lambda a, own: reduce(lambda v, d: v - d, own, a)
+            return Point(less(self.x - base.x, dx), less(self.y - base.y, dy), self.has & other.has)
         return Point(self.x - other.x, self.y - other.y, self.has & other.has)
 
     def middle(self, other: Point) -> Point:
@@ -49,29 +55,52 @@ class Point:
 
 class Layers:
     """Columns by layer. What a layer's columns take from other rows is found from columns of lower layers, in one pass over
-    the blocks before the layer's expressions; rolled outputs that nothing reads wait for one last pass. Names that begin
-    with _ are private."""
+    the blocks before the layer's expressions; rolled outputs that nothing reads wait for one last pass, and columns of the
+    rows alone that nothing reads are made behind it. Names that begin with _ are private.
+
+    Several sections share the columns that they define alike; of one name with another definition each has its own."""
 
     def __init__(self) -> None:
         self.fps = F.col("_fps")
         self.at: dict[int, dict[str, Column]] = defaultdict(dict)
-        self.names: list[str] = []
         self.wanted: dict[int, list[Roll]] = defaultdict(list)
         self.inputs: dict[int, dict[str, Column]] = defaultdict(dict)
+        self.sections: dict[int, dict[str, str]] = {}
         self._known: dict[int, dict[str, str]] = defaultdict(dict)
         self._open: list[tuple[str, tuple[Column, ...], dict]] = []
+        self._made: dict[str, tuple] = {}
+        self._rolled: dict[str, int] = {}
+        self._kinds: dict[tuple, str] = {}
         self._n, self._last = 0, None
+        self.section(0)
+
+    def section(self, section: int) -> None:
+        """What is let from now on belongs to this section; ``names``: public name -> column."""
+        self.names = self.sections.setdefault(section, {})
+
+    def _named(self, name: str, definition: tuple) -> str:
+        """The column of this name and definition: the name itself, unless another section means something else by it."""
+        own, n = name, 1
+        while self._made.setdefault(own, definition) != definition:
+            own, n = f"{name}@{n}", n + 1
+        if not name.startswith("_"):
+            self.names[name] = own
+        return own
 
     def let(self, layer: int, name: str, column: Column) -> Column:
         for made, columns, how in self._open:
             self._want(layer, made, columns, how)
         self._open.clear()
-        self.at[layer][name] = column
-        if not name.startswith("_"):
-            self.names.append(name)
-        return F.col(f"`{name}`")
+        own = self._named(name, (layer, str(column)))
+        self.at[layer][own] = column
+        return F.col(f"`{own}`")
 
     def _want(self, layer: int, name: str, columns: tuple[Column, ...], how: dict) -> None:
+        before = self._rolled.get(name)
+        if before is not None and before <= layer:
+            return
+        if before is not None:
+            self.wanted[before] = [r for r in self.wanted[before] if r.name != name]
         own = []
         for c in columns:
             text = self._text(c)
@@ -80,6 +109,7 @@ class Layers:
                 self._known[layer][text] = f"_i{self._n}"
                 self.inputs[layer][f"_i{self._n}"] = c
             own.append(self._known[layer][text])
+        self._rolled[name] = layer
         self.wanted[layer].append(Roll(name, columns=tuple(own), **how))
 
     def _text(self, c: Column) -> str:
@@ -89,9 +119,13 @@ class Layers:
 
     def roll(self, kind: str, x: Column | tuple[Column, Column], rows: float = 1, frame: str = "trailing", least: Callable = at_least(1), **more) -> Column:
         """A statistic of other rows, for the column that is let next."""
-        self._n += 1
-        self._open.append((f"_k{self._n}", x if isinstance(x, tuple) else (x,), {"kind": kind, "rows": rows, "frame": frame, "least": least, **more}))
-        return F.col(f"_k{self._n}")
+        columns, how = x if isinstance(x, tuple) else (x,), {"kind": kind, "rows": rows, "frame": frame, "least": least, **more}
+        key = (*map(self._text, columns), *sorted(how.items()))
+        if key not in self._kinds:
+            self._n += 1
+            self._kinds[key] = f"_k{self._n}"
+        self._open.append((self._kinds[key], columns, how))
+        return F.col(self._kinds[key])
 
     def lag(self, x: Column, rows: int | None = None) -> Column:
         """The value one row before, or ``rows`` at the reference rate."""
@@ -118,35 +152,77 @@ class Layers:
         at = layer if early else LAST
         for w in windows:
             for name, kind in names.items():
-                own = name.format(w=w)
-                self._want(at, own, (x,), {"kind": kind, "rows": w, **how})
-                if not own.startswith("_"):
-                    self.names.append(own)
+                own = {"kind": kind, "rows": w, **how}
+                self._want(at, self._named(name.format(w=w), (self._text(x), *sorted(own.items()))), (x,), own)
 
     def reach(self) -> tuple[float, float]:
         """Rows behind and ahead that all layers together read."""
         return tuple(sum(max((r.reach()[side] for r in rolls), default=0) for rolls in self.wanted.values()) for side in (0, 1))
 
-    def before_blocks(self, df: DataFrame) -> DataFrame:
-        """``df`` with the columns of layers up to 0, which read no other rows."""
-        for layer in sorted(k for k in self.at if k <= 0):
+    def only(self, names: set[str]) -> None:
+        """Leaves what the columns ``names`` read, and no other."""
+        need = _Read(names)
+        for layer in sorted({*self.at, *self.wanted}, reverse=True):
+            self.at[layer] = {n: c for n, c in self.at[layer].items() if n in need}
+            need.add(*map(str, self.at[layer].values()))
+            self.wanted[layer] = [r for r in self.wanted[layer] if r.name in need]
+            used = {c for r in self.wanted[layer] for c in r.columns}
+            self.inputs[layer] = {n: c for n, c in self.inputs[layer].items() if n in used}
+            self._known[layer] = {t: n for t, n in self._known[layer].items() if n in used}
+            need.add(*self._known[layer])
+
+    def reads(self, name: str) -> bool:
+        read = _Read(())
+        for layer in {*self.at, *self.wanted}:
+            read.add(*self._texts(layer))
+        return name in read
+
+    def _texts(self, layer: int) -> list[str]:
+        return [*self._known[layer], *map(str, self.at[layer].values())]
+
+    def before_blocks(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """``df`` with the columns of layers before 0, which read no other rows; of its own those that are read or kept."""
+        read = _Read(keep)
+        for layer in {*self.at, *self.wanted}:
+            read.add(*self._texts(layer))
+        df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in read])
+        for layer in sorted(k for k in self.at if k < 0):
             df = df.withColumns(self.at.pop(layer))
         return df
 
     def apply(self, blocks: DataFrame, keep: list[str]) -> DataFrame:
         """``blocks`` with all columns; what neither a later layer nor ``keep`` names does not go through its passes."""
-        order = sorted({*self.at, *self.wanted})
-        texts = {layer: [*self._known[layer], *map(str, self.at[layer].values())] for layer in order}
+        order = sorted({k for k in (*self.at, *self.wanted) if self.at.get(k) or self.wanted.get(k)})
+        read = _Read(())
+        for layer in order:
+            read.add(*self._texts(layer))
+        last = {n: c for n, c in self.at.get(0, {}).items() if n not in read}
+        self.at[0] = {n: c for n, c in self.at.get(0, {}).items() if n not in last}
         carried = {c for rolls in self.wanted.values() for r in rolls for c in (*r.columns, *carried_columns(r))}
-        keep = {*keep, *PLACE, *carried}
         for i, layer in enumerate(order):
             if self.wanted[layer]:
-                later = "\n".join(t for k in order[i:] for t in texts[k])
-                blocks = blocks.select(*[F.col(f"`{c}`") for c in blocks.columns if c in keep or c in later])
+                later = _Read({*keep, *PLACE, *carried})
+                later.add(*[t for k in order[i:] for t in self._texts(k)], *map(str, last.values()))
+                blocks = blocks.select(*[F.col(f"`{c}`") for c in blocks.columns if c in later])
                 blocks = add(blocks, self.wanted[layer], self.inputs[layer])
             if self.at[layer]:
                 blocks = blocks.withColumns(self.at[layer])
-        return blocks
+        return blocks.withColumns(last) if last else blocks
+
+
+class _Read:
+    """Names that are given or stand in the texts of expressions."""
+
+    def __init__(self, names) -> None:
+        self.words, self.text = set(names), ""
+
+    def add(self, *texts: str) -> None:
+        for t in texts:
+            self.words.update(re.findall(r"\w+", t))
+        self.text = "\n".join([self.text, *texts])
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.words or (re.fullmatch(r"\w+", name) is None and name in self.text)
 
 
 def part(name: str, side: str = "") -> Point:

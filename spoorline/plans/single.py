@@ -33,7 +33,7 @@ def missing_layer(b: Layers, parts: list[str], side: str, out: str) -> tuple[Col
     if not out:
         b.let(0, "kp_ok_cnt", ok)
     miss = b.let(0, f"{out}kp_missing_ratio", 1.0 - ok / (F.greatest(total, F.lit(1.0)) + 1e-6))
-    seen = [b.let(0, f"{out}{n}_proxy_ok", ind(p.ok) if p is not None else F.lit(0.0)) for n, p in (("nose", nose), ("center", centre))]
+    seen = [b.let(-1, f"{out}{n}_proxy_ok", ind(p.ok) if p is not None else F.lit(0.0)) for n, p in (("nose", nose), ("center", centre))]
     return miss, *seen
 
 
@@ -49,14 +49,14 @@ def _shape(b: Layers, parts: list[str], section: int, nose: Point | None, centre
         past = {n: Point(b.lag(p[n].x, 10), b.lag(p[n].y, 10), p[n].has) for n in ("ear_left", "ear_right", "tail_base")}
         all_have = p["ear_left"].has & p["ear_right"].has & p["tail_base"].has
         for name, a, c in (("sp_lf", "ear_left", "ear_left"), ("sp_rt", "ear_right", "ear_right"), ("sp_lf2", "ear_left", "tail_base"), ("sp_rt2", "ear_right", "tail_base")):
-            b.let(1, name, _given(all_have, (p[a] - past[c]).square))
+            b.let(LAST, name, _given(all_have, (p[a] - past[c]).square))
     if ears:
         gap = b.let(0, "_ear_gap", (p["ear_left"] - p["ear_right"]).size)
         for off in (-30, -20, -10, 10, 20, 30):
-            b.let(1, f"ear_o{off}", b.shift(gap, off))
-        b.let(1, "ear_con", ratio(b.roll(S, gap, 30, "centred"), b.roll(M, gap, 30, "centred")))
+            b.let(LAST, f"ear_o{off}", b.shift(gap, off))
+        b.let(LAST, "ear_con", ratio(b.roll(S, gap, 30, "centred"), b.roll(M, gap, 30, "centred")))
         mid = b.point(0, "ear_mid", p["ear_left"].middle(p["ear_right"]))
-        b.let(1, "ear_mid_std", norm(*[b.roll(S, x, 30, least=scaled_rows(5)) for x in (mid.x, mid.y)]))
+        b.let(LAST, "ear_mid_std", norm(*[b.roll(S, x, 30, least=scaled_rows(5)) for x in (mid.x, mid.y)]))
         if centre is not None and nose is not None:
             far = b.let(1, "ear_center_dist", (mid - centre).size)
             b.let(1, "ear_nose_dist", (mid - nose).size)
@@ -68,9 +68,9 @@ def _shape(b: Layers, parts: list[str], section: int, nose: Point | None, centre
         length = b.let(0, "_nt", (nose - tail).size)
         for lag in (10, 20, 40):
             before = b.lag(length, lag)
-            b.let(1, f"nt_lg{lag}", before)
-            b.let(1, f"nt_df{lag}", length - before)
-        b.let(1, "nose_tail_length_std", b.roll(S, length, 30, least=scaled_rows(5)))
+            b.let(LAST, f"nt_lg{lag}", before)
+            b.let(LAST, f"nt_df{lag}", length - before)
+        b.let(LAST, "nose_tail_length_std", b.roll(S, length, 30, least=scaled_rows(5)))
         if centre is not None:
             u, v = nose - centre, tail - centre
             b.let(1, "body_ang", ratio(u.dot(v), u.size * v.size))
@@ -97,12 +97,12 @@ def _motion(b: Layers, section: int, centre: Point, step: Point) -> None:
     for axis, x, d, w_ in (("x", centre.x, step.x, F.col("_w__c_x")), ("y", centre.y, step.y, F.col("_w__c_y"))):
         b.rolls(1, x, {f"c{axis}_m{{w}}": M, f"c{axis}_s{{w}}": S}, windows, None, least=at_least(1))
         for w in windows:
-            b.let(1, f"{axis}_rng{w}", b.roll(MAX, w_, w, "centred") - b.roll(MIN, w_, w, "centred"))
-            b.let(2, f"_sum_{axis}{w}", b.roll(SUM, d, w))
-            b.let(2, f"_var_{axis}{w}", b.roll("var", d, w))
+            b.let(LAST, f"{axis}_rng{w}", b.roll(MAX, w_, w, "centred") - b.roll(MIN, w_, w, "centred"))
+            b.let(LAST, f"_sum_{axis}{w}", b.roll(SUM, d, w))
+            b.let(LAST, f"_var_{axis}{w}", b.roll("var", d, w))
     for w in windows:
-        b.let(3, f"disp{w}", norm(F.col(f"_sum_x{w}"), F.col(f"_sum_y{w}")))
-        b.let(3, f"act{w}", F.sqrt(F.col(f"_var_x{w}") + F.col(f"_var_y{w}")))
+        b.let(LAST + 1, f"disp{w}", norm(F.col(f"_sum_x{w}"), F.col(f"_sum_y{w}")))
+        b.let(LAST + 1, f"act{w}", F.sqrt(F.col(f"_var_x{w}") + F.col(f"_var_y{w}")))
     bend = b.step(2, "c_acc", step)
     curve = b.let(3, "_curve", ratio(F.abs(step.cross(bend)), F.pow(step.size, F.lit(3.0))))
     b.rolls(4, curve, {"curv_mean_{w}": M}, [25, 50, 75] if nine else FOUR, 5, trailing=True)
@@ -111,12 +111,12 @@ def _motion(b: Layers, section: int, centre: Point, step: Point) -> None:
     speed = b.let(2, "_speed", step.size * b.fps)
     scales = [20, 40, 60, 80] if nine else FOUR
     for w in scales:
-        b.rolls(3, speed, {"sp_m{w}": M, "sp_s{w}": S}, [w], 4, trailing=True, early=True, long=True)
+        b.rolls(3, speed, {"sp_m{w}": M, "sp_s{w}": S}, [w], 4, trailing=True, long=True)
         low, high = (b.roll("quantile", speed, w, least=share(4), q=q, long=True) for q in (0.25, 0.75))
-        b.let(4, f"sp_q25_{w}", low)
-        b.let(4, f"sp_q75_{w}", high)
-        b.let(4, f"sp_iqr{w}", high - low)
-    b.let(4, "sp_ratio", ratio(F.col(f"sp_m{scales[0]}"), F.col(f"sp_m{scales[-1]}")))
+        b.let(LAST, f"sp_q25_{w}", low)
+        b.let(LAST, f"sp_q75_{w}", high)
+        b.let(LAST, f"sp_iqr{w}", high - low)
+    b.let(LAST + 1, "sp_ratio", ratio(F.col(f"sp_m{scales[0]}"), F.col(f"sp_m{scales[-1]}")))
     calm = b.let(3, "_calm", b.roll(M, speed, 15, least=share(3)))
     state = b.let(4, "_state", series.speed_state(calm))
     moved = b.let(5, "_moved", changed(state, b.lag(state)).cast("double"))
@@ -245,46 +245,75 @@ GROUPS = ("missing", "shape", "motion", "head", "micro", "arena")
 EXTREMES = {"_x0": F.min, "_x1": F.max, "_y0": F.min, "_y1": F.max}
 
 
-def single_features(df: DataFrame, parts: list[str], section: int, keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS) -> DataFrame:
+def single_features(df: DataFrame, parts: list[str], section: int, keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS, names: list[str] | None = None) -> DataFrame:
     """(keys, frame, features) of wide tracks: ``<part>_x``, ``<part>_y``, ``has_<part>``, fps, and the arena's
     width, height and shape. All frame rates share one plan; all windows share one shuffle, of blocks of rows.
 
-    ``groups`` limits what is computed. Features are floats in a fixed order.
+    ``groups``, and ``names`` of features, limit what is computed. Features are floats in a fixed order.
     """
-    b = Layers()
-    miss, nose_ok, centre_ok = missing_layer(b, parts, "", "")
-    if "missing" in groups:
-        _streaks_and_means(b, section, miss, nose_ok, centre_ok)
-    nose, centre = first_available(nose_options(parts)), first_available(centre_options(parts))
-    nose = b.point(-1, "n", nose) if nose is not None else None
-    centre = b.point(-1, "c", centre) if centre is not None else None
-    tail = part("tail_base") if "tail_base" in parts else None
-    moving = centre is not None and any(g in groups for g in ("motion", "head", "micro"))
-    step = b.step(1, "c_v", centre) if moving else None
-    if "shape" in groups:
-        _shape(b, parts, section, nose, centre)
-    if centre is not None and "motion" in groups:
-        _motion(b, section, centre, step)
-    if centre is not None and nose is not None and "head" in groups:
-        _head_and_axis(b, section, nose, centre, step, tail)
-    if "micro" in groups:
-        _micro(b, nose, centre, step, tail)
-    if centre is not None and "arena" in groups:
-        _arena(b, section, nose, centre)
-    names = [n for n in b.names if "missing" in groups or not (n.startswith(("kp_", "nose_ok_", "center_ok_")) or n.endswith("_proxy_ok"))]
+    rows, of = _features(df, parts, (section,), keys, frame, groups, names)
+    return rows.select(*keys, frame, *[F.col(f"`{own}`").cast("float").alias(n) for n, own in of[section].items()])
+
+
+def sectioned_features(df: DataFrame, parts: list[str], sections: tuple[int, ...], keys: list[str], frame: str = "frame", groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """(section, keys, frame, features): each row once a section. What the sections share is computed once."""
+    rows, of = _features(df, parts, sections, keys, frame, groups, None)
+    every = list(dict.fromkeys(n for own in of.values() for n in own))
+    value = lambda own, n: (F.col(f"`{own[n]}`") if n in own else F.lit(None)).cast("float").alias(n)
+    per = [F.struct(F.lit(s).alias("section"), *[value(own, n) for n in every]) for s, own in of.items()]
+    return rows.select(*keys, frame, F.inline(F.array(*per))).select("section", *keys, frame, *[F.col(f"`{n}`") for n in every])
+
+
+def _features(df: DataFrame, parts: list[str], sections: tuple[int, ...], keys: list[str], frame: str, groups: tuple[str, ...], only: list[str] | None) -> tuple[DataFrame, dict[int, dict[str, str]]]:
+    """Rows with the features' columns, and for each section the column of each feature."""
+    b, of = Layers(), {}
+    for section in sections:
+        b.section(section)
+        miss, nose_ok, centre_ok = missing_layer(b, parts, "", "")
+        if "missing" in groups:
+            _streaks_and_means(b, section, miss, nose_ok, centre_ok)
+        nose, centre = first_available(nose_options(parts)), first_available(centre_options(parts))
+        nose = b.point(-1, "n", nose) if nose is not None else None
+        centre = b.point(-1, "c", centre) if centre is not None else None
+        tail = part("tail_base") if "tail_base" in parts else None
+        moving = centre is not None and any(g in groups for g in ("motion", "head", "micro"))
+        step = b.step(1, "c_v", centre) if moving else None
+        if "shape" in groups:
+            _shape(b, parts, section, nose, centre)
+        if centre is not None and "motion" in groups:
+            _motion(b, section, centre, step)
+        if centre is not None and nose is not None and "head" in groups:
+            _head_and_axis(b, section, nose, centre, step, tail)
+        if "micro" in groups:
+            _micro(b, nose, centre, step, tail)
+        if centre is not None and "arena" in groups:
+            _arena(b, section, nose, centre)
+        of[section] = {n: own for n, own in b.names.items() if "missing" in groups or not (n.startswith(("kp_", "nose_ok_", "center_ok_")) or n.endswith("_proxy_ok"))}
     whole, carry = {}, []
     if "missing" in groups:
         carry = [Roll(f"{n}_missing_streak", "streak", (f"_{n}_gone",)) for n in ("nose", "center")]
     if centre is not None and "motion" in groups:
         carry += [Roll(f"{axis}_e{s}", "ewm", (f"_c_{axis}",), s) for s in (30, 60, 120) for axis in "xy"]
+    if only is not None:
+        carry = [r for r in carry if r.name in only]
     if centre is not None and "arena" in groups:
         whole = {n: f(f"_c_{n[1]}") for n, f in EXTREMES.items()}
-    names += [r.name for r in carry]
+    for own in of.values():
+        own |= {r.name: r.name for r in carry}
+        if only is not None:
+            own.update({n: own.pop(n) for n in only})
+            for n in [n for n in own if n not in only]:
+                del own[n]
+    names = list(dict.fromkeys(c for own in of.values() for c in own.values()))
+    read = {*names, *(c for r in carry for c in r.columns), *(f"_c_{n[1]}" for n in whole), *(f"_c_{a}" for a in "xy" if centre is not None and "motion" in groups)}
+    gone = any(c.endswith("_gone") for r in carry for c in r.columns)
+    b.only(read | ({"nose_proxy_ok", "center_proxy_ok"} if gone else set()))
     t = Tracks(keys, frame)
     fps = F.coalesce(F.col("fps").cast("double"), F.lit(REFERENCE_FPS))
-    rows = b.before_blocks(df).withColumns({"_nose_gone": ind(nose_ok < 0.5), "_center_gone": ind(centre_ok < 0.5)})
-    if centre is not None and "motion" in groups:
-        rows = series.winsorised(rows, t, ["_c_x", "_c_y"])
+    rows = b.before_blocks(df, [*keys, frame, "fps"])
+    if gone:
+        rows = rows.withColumns({"_nose_gone": ind(nose_ok < 0.5), "_center_gone": ind(centre_ok < 0.5)})
+    bounded = {f"_c_{a}" for a in "xy"} if any(b.reads(f"_w__c_{a}") for a in "xy") else set()
     b.wanted[LAST] += carry
-    rows = b.apply(in_blocks(rows, t, *b.reach(), fps, whole, carry), [*keys, frame, *names])
-    return rows.where("_own").select(*keys, frame, *[F.col(f"`{n}`").cast("float").alias(n) for n in names])
+    rows = b.apply(in_blocks(rows, t, *b.reach(), fps, whole, carry, limits=dict.fromkeys(sorted(bounded), (0.01, 0.99))), [*keys, frame, *names])
+    return rows.where("_own"), of
