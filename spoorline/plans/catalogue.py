@@ -375,7 +375,7 @@ def chase_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     select video, agent, target, frame, {_as_float('d', '"A_front_to_B_min"')}, touch as "A_front_contact_5", sum(touch) over ({_PBY} rows between 15 preceding and 14 following) as "A_contact_duration_30" from c""")
 def contact_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["video", "agent", "target"]
-    return _some(lambda names: pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("contact",), names=names), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
+    return _some(lambda names: pair_features(pairs(spark, sf_dir), PARTS, keys, groups=("contact",), names=names, steps=_STEPS), [*keys, "frame"], ["A_front_to_B_min", "A_front_contact_5", "A_contact_duration_30"])
 
 
 @_query("""select a.vec_id as vec_id, b.vec_id as other_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine
