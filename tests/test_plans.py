@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from spoorline.functions import rolling
+from spoorline.operators.boosting import Tree
 from spoorline.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,22 @@ def test_pairs_are_joined_once_and_dealt_without_their_distances(spark):
     assert "nose+tail_base" not in dealt and "nose+tail_base" in text
 
 
+
+
+def test_leaves_by_column_are_those_of_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 64, (500, 3)).astype(np.uint8)
+    x[rng.random((500, 3)) < 0.2] = 0
+    tree = Tree()
+    left, right = tree.split(0, 1, 20, True)
+    tree.split(left, 0, 63, False)
+    tree.split(right, 2, 1, True)
+
+    def walk(row):
+        node = 0
+        while tree.feature[node] >= 0:
+            b = row[tree.feature[node]]
+            node = tree.left[node] if (tree.missing[node] if b == 0 else b <= tree.bin[node]) else tree.right[node]
+        return node
+
+    assert tree.leaves(np.ascontiguousarray(x.T)).tolist() == tree.place(x).tolist() == [walk(r) for r in x]
