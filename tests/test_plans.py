@@ -2,10 +2,12 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from spoorline.functions import rolling
 from spoorline.operators.boosting import Tree
-from spoorline.plans import catalogue
+from spoorline.plans import catalogue, feature_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,6 +40,28 @@ def test_pairs_are_joined_once_and_dealt_without_their_distances(spark):
     assert "nose+tail_base" not in dealt and "nose+tail_base" in text
 
 
+@pytest.mark.parametrize("name, passes", [("single_motion", 2), ("single_head", 1), ("single_shape", 1), ("pair_bodies", 1), ("all_pair_features", 1), ("all_single_features", 2)])
+def test_the_row_before_takes_no_pass(spark, name, passes):
+    text = catalogue.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == passes
+    # Windows over the row before follow the sort of the blocks: the pass's rows are sorted and dealt once, the tracks' frames before.
+    ours = text[text.index("MapInArrow") :]
+    one = ours[: ours.index("Exchange")]
+    assert one.count("Sort [") == 1
+
+
+def test_rounding_is_that_of_decimals(spark):
+    halves = spark.range(400_000).select((F.col("id") / 32768.0 - 6).cast("float").cast("double").alias("x"))
+    rest = spark.range(20_000).select(F.explode(F.array(*[((F.rand(i) - 0.5) * 10**i).cast("float").cast("double") for i in range(9)])).alias("x"))
+    odd = spark.sql("select explode(array(double('NaN'), double('Infinity'), null, -0.00001D, 100D, -100000D)) as x")
+    x = F.col("x")
+    plain = F.when(F.abs(x) < 100, F.round(x, 4)).when(F.abs(x) < 100_000, F.round(x, 1)).otherwise(F.round(x, -2))
+    rows = halves.union(rest).union(odd).select(feature_queries.rounded(x).alias("a"), plain.alias("b"))
+    assert rows.where("not a <=> b").count() == 0
+    # No value is written out as a decimal, which took most of a query's time.
+    assert "round(" not in str(feature_queries.rounded(x)).split("ELSE round(")[0]
+
+
 
 
 def test_leaves_by_column_are_those_of_a_walk():
