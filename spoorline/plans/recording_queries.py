@@ -6,9 +6,14 @@ frame, by the kind of event. What the program reads from files is written to the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,17 +97,68 @@ def _model_sql(model: Ensemble) -> str:
     return " + ".join([repr(model.start), *(node(t, 0) for t in model.trees)])
 
 
+def _recordings_of(batch: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], pa.RecordBatch]]:
+    """The stretches of one (lab_id, video_id) in a sorted batch."""
+    lab, video = batch.column("lab_id"), batch.column("video_id")
+    new = pc.or_kleene(*[pc.fill_null(pc.not_equal(c[1:], c[:-1]), True) for c in (lab, video)])
+    ends = [*(pc.indices_nonzero(new).to_numpy() + 1).tolist(), batch.num_rows]
+    for at, end in zip([0, *ends], ends, strict=False):
+        yield (lab[at].as_py(), video[at].as_py()), batch.slice(at, end - at)
+
+
+def _file_writer(root: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over rows sorted by (lab_id, video_id) that writes ``root/<lab>/<video>.parquet`` of each; how many.
+
+    A file gets its name when it is whole, so a task that is run again leaves no part of one.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, key, out, staged = 0, None, None, None
+
+        def finish() -> None:
+            out.close()
+            os.replace(staged, f"{root}/{key[0]}/{key[1]}.parquet")
+
+        for batch in batches:
+            for now, rows in _recordings_of(batch) if batch.num_rows else ():
+                if now != key:
+                    if out:
+                        finish()
+                    if None in now:
+                        raise ValueError(f"a recording without a lab or a number has no file: {now}")
+                    n, key, staged = n + 1, now, f"{root}/{now[0]}/_{uuid.uuid4().hex}"
+                    os.makedirs(os.path.dirname(staged), exist_ok=True)
+                    out = pq.ParquetWriter(staged, rows.select(columns).schema)
+                out.write_batch(rows.select(columns))
+        if out:
+            finish()
+        yield pa.RecordBatch.from_pydict({"files": [n]})
+
+    return write
+
+
 def per_recording(rows: DataFrame, schema: str) -> str:
-    """Writes rows (lab_id, video_id, columns of ``schema``) as one file a recording, ``<lab>/<video>.parquet``; the folder."""
+    """Writes rows (lab_id, video_id, columns of ``schema``) as one file a recording, ``<lab>/<video>.parquet``; the folder.
+
+    On a file system of the machine, tasks write the files themselves: Hadoop starts processes to set the permissions of
+    each file there, which takes longer than writing it. Elsewhere Spark writes them, and they are renamed.
+    """
     spark = rows.sparkSession
-    root = Stages(spark).root
-    columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in schema.split(", "))]
-    rows.select("lab_id", "video_id", *columns).repartition("video_id").write.partitionBy("lab_id", "video_id").parquet(f"{root}/dealt")
-    hadoop = spark._jvm.org.apache.hadoop.fs
+    hadoop, root = spark._jvm.org.apache.hadoop.fs, Stages(spark).root
     files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = files.makeQualified(hadoop.Path(f"{root}/files"))
+    files.mkdirs(made)
+    columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in schema.split(", "))]
+    rows = rows.select("lab_id", "video_id", *columns)
+    if made.toUri().getScheme() == "file":
+        # As many tasks as shuffles have: by their bytes, small files would share a few.
+        dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id").sortWithinPartitions("lab_id", "video_id")
+        dealt.mapInArrow(_file_writer(made.toUri().getPath(), rows.columns[2:]), "files long").agg(F.sum("files")).collect()
+        return f"{root}/files"
+    rows.repartition("video_id").write.partitionBy("lab_id", "video_id").parquet(f"{root}/dealt")
     for status in files.globStatus(hadoop.Path(f"{root}/dealt/lab_id=*/video_id=*/part-*")):
         lab, video = (p.split("=", 1)[1] for p in status.getPath().toString().split("/")[-3:-1])
-        folder = hadoop.Path(hadoop.Path(f"{root}/files"), unquote(lab))
+        folder = hadoop.Path(made, unquote(lab))
         files.mkdirs(folder)
         files.rename(status.getPath(), hadoop.Path(folder, f"{video}.parquet"))
     return f"{root}/files"

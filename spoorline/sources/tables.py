@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from urllib.parse import unquote, urlsplit
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 METADATA = """lab_id string, video_id long, behaviors_labeled string, body_parts_tracked string, frames_per_second double,
@@ -18,6 +19,7 @@ INTERVALS = "video_id long, agent_id string, target_id string, action string, st
 UNLABELLED = "MABe22"
 #: Fixed value: the row that stands for a result without rows.
 PLACEHOLDER = (438887472, "mouse1", "self", "rear", 278, 500)
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 
 
 def without_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -38,31 +40,51 @@ def read_metadata(spark: SparkSession, path: str, skip_prefix: str | None = UNLA
     return meta.withColumn("n_mice", count_known([f"mouse{i}_strain" for i in range(1, 5)]))
 
 
+def _names(reader: DataFrameReader, spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(lab, file name) of the files ``root/<lab>/<video>.parquet``; they come as one text, not a call each."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    there = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", _all_files(reader, root)._jdf.inputFiles())
+    paths, parts = (urlsplit(p).path.split("/") for p in there.split("\n")), files.makeQualified(at).depth() + 3
+    return [(unquote(p[-2]), unquote(p[-1])) for p in paths if len(p) == parts]
+
+
+def _all_files(reader: DataFrameReader, root: str) -> DataFrame:
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+
+
+def _scan(reader: DataFrameReader, spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One scan over the files. Spark lists each path in a task of its own, up to 10,000; here a task lists many."""
+    known = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(known), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return reader.parquet(*paths)
+    finally:
+        spark.conf.set(_LISTING, known)
+
+
 def _per_video(spark: SparkSession, root: str, schema: str, wanted: DataFrame | None) -> DataFrame:
     """Files ``root/<lab>/<video>.parquet`` in one scan; the keys come from their paths.
 
-    ``wanted`` (lab_id, video_id): only these recordings' files are listed to the scan, none that is not there. Their
-    names, one a recording, pass the driver, as the listing of all files does anyway.
+    ``wanted`` (lab_id, video_id): only these recordings' files are listed to the scan, none that is not there. The names
+    of the files that are there pass the driver, as the listing of all files does anyway; what is wanted does not.
     """
     path = F.col("_metadata.file_path")
-    reader = spark.read.schema(schema)
     if wanted is None:
-        table = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
+        table = _all_files(spark.read.schema(schema), root)
     else:
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        found, at = [], hadoop.Path(root)
-        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
-        by_lab: dict[str, set[str]] = {}
-        for r in wanted.select("lab_id", "video_id").where("lab_id is not null and video_id is not null").distinct().collect():
-            by_lab.setdefault(r.lab_id, set()).add(f"{r.video_id}.parquet")
-        for lab, names in sorted(by_lab.items()):
-            folder = hadoop.Path(at, lab)
-            if files.exists(folder):
-                found += [s.getPath().toString() for s in files.listStatus(folder) if s.getPath().getName() in names]
-        table = reader.parquet(*found) if found else spark.createDataFrame([], schema).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
-    keys = F.regexp_extract(path, r"([^/]+)/([^/]+)\.parquet$", 1), F.regexp_extract(path, r"([^/]+)/([^/]+)\.parquet$", 2)
+        names, found = _names(spark.read.schema(schema), spark, root), []
+        if names:
+            there = spark.createDataFrame(pa.table({"lab_id": [n[0] for n in names], "file": [n[1] for n in names]}))
+            asked = wanted.select("lab_id", F.concat(F.col("video_id").cast("string"), F.lit(".parquet")).alias("file"))
+            found = sorted(f"{root}/{r.lab_id}/{r.file}" for r in asked.join(there, ["lab_id", "file"]).distinct().collect())
+        table = _scan(spark.read.schema(schema), spark, found) if found else spark.createDataFrame([], schema).withColumn("_metadata", F.struct(F.lit("").alias("file_path")))
+    # Cut by its slashes: a pattern would be tried at every place of the path, for every row.
+    lab, file = F.substring_index(F.substring_index(path, "/", -2), "/", 1), F.substring_index(path, "/", -1)
     columns = [c.split()[0] for c in schema.split(", ")]
-    return table.select(F.url_decode(keys[0]).alias("lab_id"), keys[1].cast("long").alias("video_id"), *columns)
+    return table.select(F.url_decode(lab).alias("lab_id"), F.substring(file, F.lit(1), F.length(file) - len(".parquet")).cast("long").alias("video_id"), *columns)
 
 
 def read_tracking(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame:
