@@ -151,7 +151,7 @@ def per_recording(rows: DataFrame, schema: str) -> str:
     columns = [F.col(n).cast(kind).alias(n) for n, kind in (c.split() for c in schema.split(", "))]
     rows = rows.select("lab_id", "video_id", *columns)
     if made.toUri().getScheme() == "file":
-        # As many tasks as shuffles have: by their bytes, small files would share a few.
+        # A given number of tasks: by their bytes, many small files would share a few.
         dealt = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "video_id").sortWithinPartitions("lab_id", "video_id")
         dealt.mapInArrow(_file_writer(made.toUri().getPath(), rows.columns[2:]), "files long").agg(F.sum("files")).collect()
         return f"{root}/files"
