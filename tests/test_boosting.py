@@ -1,13 +1,16 @@
 """Boosted trees against a plain leaf-wise version, and their storage."""
 
 import heapq
+import pickle
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spoorline.operators import boosting, learn
+from spoorline.sources.stages import Stages
 
 
 def table(n=1500, seed=1):
@@ -131,3 +134,43 @@ def test_writing_scores_between_trees_changes_nothing(spark, monkeypatch):
         monkeypatch.setattr(boosting, "WRITE_EVERY", every)
         made.append(boosting.fit(df, list("abcd"), ["y"], trees=5, bins=8, rate=0.3)["y", -1])
     assert made[0].trees == made[1].trees
+
+
+def test_rows_bind_where_they_say_more_than_the_weight(spark):
+    x, y = table(500)
+    settings = {"trees": 2, "bins": 10, "least_weight": 0.5, "least_rows": 60, "rate": 0.3}
+    m = boosting.fit(frame(spark, x, y), list("abcd"), ["y"], **settings)["y", -1]
+    np.testing.assert_allclose(m.raw(boosting.binned(x, m.cuts)), plain_fit(boosting.binned(x, m.cuts), y, boosting.Settings(**settings)), rtol=1e-9, atol=1e-9)
+
+
+def test_a_pass_deals_rows_of_one_file_evenly_and_no_older_trees(spark, monkeypatch):
+    x, y = table(1600)
+    df, settings, seen, made = frame(spark, x, y), {"trees": 6, "rate": 0.3, "bins": 16}, [], []
+
+    def recorded(blocks, one):
+        held = blocks.map(lambda b: len(b.row)).glom().map(sum).collect()
+        seen.append((held, len(pickle.dumps(one)), one.tree, len(one.growing[0].feature)))
+        return gathered(blocks, one)
+
+    gathered = boosting._gathered
+    monkeypatch.setattr(boosting, "TASK_ROWS", 200)
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "_gathered", recorded)
+        made.append(boosting.fit(df, list("abcd"), ["y"], **settings)["y", -1])
+    assert all(len(held) > 4 and sum(held) == 1600 and max(held) < 400 for held, *_ in seen)
+    # A pass's size does not grow with the trees before it.
+    first = {tree: size for _, size, tree, nodes in seen if nodes == 1}
+    assert len(first) == 6 and max(first.values()) - min(first.values()) < 50
+    # Blocks that are lost, or were never kept, are made again from their rows.
+    monkeypatch.setattr(Stages, "keep", lambda self, rdd, write=False: rdd)
+    made.append(boosting.fit(df, list("abcd"), ["y"], **settings)["y", -1])
+    assert made[0].trees == made[1].trees
+
+
+def test_blocks_hold_all_rows_and_few():
+    row = np.arange(1050)
+    packed = pa.RecordBatch.from_arrays([pa.array(row), pa.array(row % 5, pa.int32()), boosting._binary((row[:, None] % [7, 9, 11]).astype(np.uint8)), boosting._binary(row[:, None] / 2)], names=["row", "fold", "x", "y"])
+    made = pa.Table.from_batches(boosting._in_blocks(iter([packed.slice(0, 90), packed.slice(90, 0), packed.slice(90)]), 100)).to_pylist()
+    blocks = list(boosting._blocks((tuple(r.values()) for r in made), 3, 1, [(0, -1)]))
+    assert max(len(b.row) for b in blocks) == 100 and [v for b in blocks for v in b.row] == row.tolist()
+    assert all((b.x == b.row % np.array([[7], [9], [11]])).all() and (b.fold == b.row % 5).all() and (b.y == b.row / 2).all() and b.score.shape == (1, len(b.row)) for b in blocks)
